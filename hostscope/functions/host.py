@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hostscope.functions import lists
 from hostscope.functions.chars import js_space_class, py_digit_class, py_space_class
-from hostscope.functions.urls import ColumnOrName, _col, py_strip
+from hostscope.functions.urls import ColumnOrName, _col, js_trim, py_strip
 
 
 def _count(c: Column, pattern: str) -> Column:
@@ -183,7 +183,7 @@ def valid_client(raw: ColumnOrName) -> Column:
     """V2: browser-side input check (true/false, never null)."""
     r = _col(raw)
     ws = js_space_class()
-    s = F.regexp_replace(r, f"^{ws}+|{ws}+$", "")
+    s = js_trim(r)
     d = F.regexp_replace(s, r"(?i)^https?://", "")
     d = F.substring_index(F.substring_index(d, "/", 1), ":", 1)
     octet = r"(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hostscope.functions.chars import py_space_class
+from hostscope.functions.chars import python_space_points
 
 ColumnOrName = Column | str
 
@@ -46,9 +46,16 @@ def netloc_notebook(url: ColumnOrName) -> Column:
 
 
 def py_strip(c: ColumnOrName) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    ws = py_space_class()
-    return F.regexp_replace(_col(c), f"^{ws}+|{ws}+$", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends
+    (a set-based ``btrim``, no regex)."""
+    return F.btrim(_col(c), F.lit("".join(chr(p) for p in python_space_points())))
+
+
+def js_trim(c: ColumnOrName) -> Column:
+    """JavaScript ``String.prototype.trim``."""
+    from hostscope.functions.chars import JS_SPACE_POINTS
+
+    return F.btrim(_col(c), F.lit("".join(chr(p) for p in JS_SPACE_POINTS)))
 
 
 def clean_host(domain: ColumnOrName) -> Column:

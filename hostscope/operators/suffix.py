@@ -24,6 +24,17 @@ from hostscope.functions.urls import ColumnOrName, _col, py_strip
 from hostscope.sources.suffix_list import max_rule_labels, suffix_rule_rows, suffix_rules
 
 
+_RULES: dict = {}
+
+
+def default_rules(spark) -> DataFrame:
+    """The bundled rule table, built once per session."""
+    key = spark.sparkContext.applicationId
+    if key not in _RULES:
+        _RULES[key] = suffix_rules(spark)
+    return _RULES[key]
+
+
 def lenient_host(host: ColumnOrName) -> Column:
     """Host part the suffix lookup sees: no path/query/fragment, userinfo,
     port, surrounding spaces or trailing root dots; ideographic full stops
@@ -50,7 +61,7 @@ def split_registered(
     """Add ``subdomain``, ``root`` and ``suffix`` columns for ``host``."""
     spark = df.sparkSession
     if rules is None:
-        rules = suffix_rules(spark)
+        rules = default_rules(spark)
         max_labels = max_labels or max_rule_labels(suffix_rule_rows())
     k_max = max_labels or 4
 
@@ -66,15 +77,17 @@ def split_registered(
         out = out.withColumn(
             f"{tmp}_s{k}", F.when(n >= k, F.array_join(F.slice(lowered, -k, k), "."))
         )
+    # The same broadcast relation is joined K times under aliases, so the
+    # planner ships the table once and reuses that exchange for every join.
     small = F.broadcast(rules)
     for k in range(1, k_max + 1):
-        r = small.select(
-            F.col("key").alias(f"{tmp}_k{k}"),
-            F.col("is_exact").alias(f"{tmp}_e{k}"),
-            F.col("is_wild_parent").alias(f"{tmp}_w{k}"),
-            F.col("is_exception").alias(f"{tmp}_x{k}"),
+        a = f"{tmp}r{k}"
+        out = out.join(small.alias(a), F.col(f"{tmp}_s{k}") == F.col(f"{a}.key"), "left").select(
+            *[F.col(c) for c in out.columns],
+            F.col(f"{a}.is_exact").alias(f"{tmp}_e{k}"),
+            F.col(f"{a}.is_wild_parent").alias(f"{tmp}_w{k}"),
+            F.col(f"{a}.is_exception").alias(f"{tmp}_x{k}"),
         )
-        out = out.join(r, F.col(f"{tmp}_s{k}") == F.col(f"{tmp}_k{k}"), "left")
 
     cands = [F.lit(0)]
     for k in range(1, k_max + 1):

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from hostscope.functions import lists
 from hostscope.functions.chars import (
+    JS_SPACE_POINTS,
     js_space_class,
     py_digit_class,
     py_space_class,
+    python_space_points,
 )
 from hostscope.functions.host import IPV6_PATTERN
 from hostscope.sources.suffix_list import suffix_rule_rows
@@ -24,9 +26,12 @@ def in_list(x: str, values: list[str]) -> str:
     return f"coalesce(({x}) IN ({', '.join(q(v) for v in values)}), false)"
 
 
+def _chars(points) -> str:
+    return "(" + " || ".join(f"chr({p})" for p in points) + ")"
+
+
 def py_strip(x: str) -> str:
-    ws = py_space_class()
-    return f"regexp_replace({x}, '^{ws}+|{ws}+$', '', 'g')"
+    return f"trim({x}, {_chars(python_space_points())})"
 
 
 def _netloc(x: str) -> str:
@@ -175,7 +180,7 @@ def valid_server(x: str) -> str:
 
 def valid_client(x: str) -> str:
     ws = js_space_class()
-    s = f"regexp_replace({x}, '^{ws}+|{ws}+$', '', 'g')"
+    s = js_trim(x)
     d = f"split_part(split_part(regexp_replace({s}, '(?i)^https?://', ''), '/', 1), ':', 1)"
     octet = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
     v4 = rf"^({octet}\.){{3}}{octet}$"
@@ -194,8 +199,7 @@ def valid_client(x: str) -> str:
 
 
 def js_trim(x: str) -> str:
-    ws = js_space_class()
-    return f"regexp_replace({x}, '^{ws}+|{ws}+$', '', 'g')"
+    return f"trim({x}, {_chars(JS_SPACE_POINTS)})"
 
 
 # ------------------------------------------------------------ suffix split

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostscope.functions import lists
-from hostscope.functions.chars import js_space_class
-from hostscope.functions.urls import netloc_app, netloc_notebook, py_strip
+from hostscope.functions.urls import js_trim, netloc_app, netloc_notebook, py_strip
 from hostscope.operators.dataset import keep_first, union_all
 
 LABELLED_SCHEMA = "domain string, label string"
@@ -176,11 +175,6 @@ def batch_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Pasted text -> one trimmed, non-empty line per row, numbered
     from 1 within its text.  Whole texts are split; nothing is dropped but
     blank lines."""
-    ws = js_space_class()
     lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("i", "raw"))
-    out = lines.select(
-        id_col,
-        (F.col("i") + 1).alias("line_no"),
-        F.regexp_replace("raw", f"^{ws}+|{ws}+$", "").alias("line"),
-    )
+    out = lines.select(id_col, (F.col("i") + 1).alias("line_no"), js_trim("raw").alias("line"))
     return out.where(F.length("line") > 0)

@@ -28,7 +28,7 @@ from hostscope.functions.host import reject_reason
 from hostscope.operators.model import score_domains
 from hostscope.operators.scanlog import raw_tld
 from hostscope.session import shared_path
-from hostscope.functions.chars import js_space_class
+from hostscope.functions.urls import js_trim
 from hostscope.sources.tables import SCAN_SCHEMA, scan_rows, write_batch
 
 
@@ -38,8 +38,7 @@ def submitted_lines(spark: SparkSession, source_dir: str, max_files: int | None
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    ws = js_space_class()
-    line = F.regexp_replace("value", f"^{ws}+|{ws}+$", "")
+    line = js_trim("value")
     return reader.load(source_dir).select(line.alias("domain")).where(F.length("domain") > 0)
 
 
