@@ -111,6 +111,18 @@ CURATED_PHISHING = [
 ]
 CURATED_COPIES = 500
 
+# Notebook: known legitimate subdomains added to the combined set (22).
+NOTEBOOK_SUBDOMAINS = [
+    "mail.google.com", "drive.google.com", "accounts.google.com",
+    "docs.google.com", "maps.google.com", "login.microsoftonline.com",
+    "outlook.office365.com", "portal.office.com", "aws.amazon.com",
+    "console.aws.amazon.com", "business.facebook.com",
+    "developers.facebook.com", "support.apple.com", "id.apple.com",
+    "mail.yahoo.com", "finance.yahoo.com", "login.live.com",
+    "account.live.com", "mail.proton.me", "calendar.google.com",
+    "web.whatsapp.com", "business.whatsapp.com",
+]
+
 # Class labels; alphabetical order is the encoded order (legitimate=0).
 LEGITIMATE = "legitimate"
 PHISHING = "phishing"

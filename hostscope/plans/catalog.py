@@ -239,10 +239,9 @@ def host_features(spark, sf):
     return _round_entropy(out.drop("url"))
 
 
-_NB_SQL = (
-    _with(["domains"], [Q.rules_cte(), *Q.split_ctes("domains", "domain", "nb",
-                                                     names=("nb_sub", "nb_root", "nb_suffix"))])
-    + "SELECT id, "
+_NB_CTES = [Q.rules_cte(), *Q.split_ctes("domains", "domain", "nb", names=("nb_sub", "nb_root", "nb_suffix"))]
+_NB_SELECT = (
+    "SELECT id, "
     + ", ".join([
         f"{Q.length('domain')} AS length", f"{Q.subdomain_count('domain')} AS subdomain_count",
         f"{Q.subdomain_count('domain')} AS domain_depth", f"{Q.hyphen_count('domain')} AS hyphen_count",
@@ -259,6 +258,7 @@ _NB_SQL = (
     ])
     + " FROM nb"
 )
+_NB_SQL = _with(["domains"], _NB_CTES) + _NB_SELECT
 
 
 @register("notebook_features", _NB_SQL)
@@ -654,3 +654,82 @@ def roc_auc(spark, sf):
 def sliced_accuracy(spark, sf):
     out = M.sliced_accuracy(DV.spark_predictions(spark, sf))
     return out.withColumn("accuracy", _r(F.col("accuracy")))
+
+
+# ------------------------------------------------------------ notebook build, P12-P14
+
+
+def _nb_feeds(spark, sf):
+    from hostscope.sources.feeds import notebook_subdomains
+
+    part = DV.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("pos"),
+        F.expr(DV.gen_url("p_partkey", "p_name", "p_size", "spark")).alias("url"),
+    )
+    phish = part.select(netloc_notebook("url").alias("domain"), F.lit(lists.PHISHING).alias("label"),
+                        F.lit(1).alias("source_prio"), "pos")
+    ranked = DV.spark_ranked(spark, sf).where(F.col("rank") <= lists.RANKED_HEAD_NOTEBOOK).select(
+        "domain", F.lit(lists.LEGITIMATE).alias("label"), F.lit(2).alias("source_prio"),
+        F.col("rank").cast("long").alias("pos"),
+    )
+    return [phish, ranked, notebook_subdomains(spark, 3)]
+
+
+_NB_SUBS_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({Q.q(d)}, {i})" for i, d in enumerate(lists.NOTEBOOK_SUBDOMAINS)) + ") t(domain, pos)"
+
+
+@register(
+    "dedupe_first_notebook",
+    _with(["feed_text_raw", "ranked"], [
+        ("nb_subs", _NB_SUBS_SQL),
+        ("nb_feeds",
+         f"SELECT lower({Q.py_strip('domain')}) AS domain, label, source_prio, pos FROM ("
+         f"SELECT {Q.netloc_notebook('url')} AS domain, 'phishing' AS label, 1 AS source_prio, pos::BIGINT AS pos FROM feed_text_raw "
+         f"UNION ALL SELECT domain, 'legitimate', 2, rank::BIGINT FROM ranked WHERE rank <= {lists.RANKED_HEAD_NOTEBOOK} "
+         "UNION ALL SELECT domain, 'legitimate', 3, pos::BIGINT FROM nb_subs) WHERE domain IS NOT NULL"),
+    ])
+    + "SELECT domain, label, source_prio, pos FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY domain ORDER BY source_prio, pos) AS rn FROM nb_feeds) WHERE rn = 1 AND length(domain) > 0",
+)
+def dedupe_first_notebook(spark, sf):
+    from hostscope.sources.feeds import combine_feeds
+
+    out = combine_feeds(_nb_feeds(spark, sf), notebook=True)
+    return out.select("domain", "label", F.col("source_prio").cast("int"), "pos")
+
+
+@register(
+    "report_flip",
+    _with(["scans"])
+    + "SELECT id, domain, CASE WHEN label = 'phishing' THEN 'legitimate' ELSE 'phishing' END AS corrected_label, "
+    f"length({Q.py_strip('domain')}) > 0 AND (CASE WHEN label = 'phishing' THEN 'legitimate' ELSE 'phishing' END) "
+    "IN ('legitimate', 'phishing') AS valid FROM scans",
+)
+def report_flip(spark, sf):
+    from hostscope.sources.tables import flip_label, valid_correction
+
+    s = DV.spark_scans(spark, sf)
+    flipped = flip_label(F.col("label"))
+    return s.select("id", "domain", flipped.alias("corrected_label"),
+                    valid_correction(F.col("domain"), flipped).alias("valid"))
+
+
+_NB_HAVE = {"length", "subdomain_count", "hyphen_count", "digit_count", "special_char_count", "entropy",
+            *[f"has_{w}" for w in lists.FEATURE_KEYWORDS], "brand_match", "known_brand_root",
+            "min_brand_distance", "has_punycode", "contains_unicode", "unicode_ratio", "is_common_tld",
+            "is_suspicious_tld"}
+
+
+@register(
+    "aligned_features",
+    _with(["domains"], _NB_CTES + [("nbf", _NB_SELECT)])
+    + "SELECT id, "
+    + ", ".join(c if c in _NB_HAVE else f"0 AS {c}" for c in lists.FEATURE_ORDER)
+    + " FROM nbf",
+)
+def aligned_features(spark, sf):
+    from hostscope.operators.requests import align_features
+
+    nb = notebook_features(spark, sf)
+    return align_features(nb, lists.FEATURE_ORDER, keep=["id"])

@@ -151,6 +151,12 @@ def curated_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, LABELLED_SCHEMA)
 
 
+def notebook_subdomains(spark: SparkSession, prio: int = 3) -> DataFrame:
+    """S10 (notebook): known legitimate subdomains, after the ranked list."""
+    rows = [(d, lists.LEGITIMATE, prio, i) for i, d in enumerate(lists.NOTEBOOK_SUBDOMAINS)]
+    return spark.createDataFrame(rows, "domain string, label string, source_prio int, pos long")
+
+
 CORRECTION_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("domain", T.StringType()),
