@@ -79,7 +79,7 @@ def top_risky_tlds(log: DataFrame, k: int = lists.TOP_TLDS, clean_first: bool =
 
     w = Window.orderBy(F.desc("count"), F.asc("first_id"))
     return top.select(
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("long").alias("rank"),
         "tld",
         F.col("count").cast("long").alias("count"),
         half_up_pct(F.col("count") / F.max("count").over(Window.partitionBy())).alias("bar_pct"),

@@ -50,6 +50,14 @@ def _rs(x: str) -> str:
 
 # ------------------------------------------------------------ shared pieces
 
+# Timestamps in reports: fixed text with microseconds on both engines.
+_TS_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def _ts_text(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 
 def _hosts(spark, sf):
     """Every URL with its cleaned host and registered-domain parts."""
@@ -338,11 +346,12 @@ def dedupe_first(spark, sf):
 @register(
     "dedupe_last",
     _with(["corrections"])
-    + "SELECT domain, label, ts, id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, id DESC) rn "
+    + f"SELECT domain, label, {_TS_SQL} AS ts, id FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, id DESC) rn "
     "FROM corrections) WHERE rn = 1",
 )
 def dedupe_last(spark, sf):
-    return D.keep_last(DV.spark_corrections(spark, sf), "domain", ("ts", "id")).select("domain", "label", "ts", "id")
+    out = D.keep_last(DV.spark_corrections(spark, sf), "domain", ("ts", "id"))
+    return out.select("domain", "label", _ts_text(F.col("ts")).alias("ts"), "id")
 
 
 def _curated(spark):
@@ -365,14 +374,14 @@ _DATASET_SQL = _FEEDS_SQL + [
      "SELECT domain, label FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts DESC, id DESC) rn "
      "FROM corrections) WHERE rn = 1"),
     ("dataset",
-     "SELECT domain, label, CAST(NULL AS INTEGER) AS copy FROM combined "
+     "SELECT domain, label, CAST(0 AS INTEGER) AS copy FROM combined "
      f"UNION ALL SELECT domain, label, CAST(g.copy AS INTEGER) FROM curated, generate_series(1, {lists.CURATED_COPIES}) g(copy) "
      f"UNION ALL SELECT domain, label, CAST(g.copy AS INTEGER) FROM corr_last, generate_series(1, {lists.CURATED_COPIES}) g(copy)"),
 ]
 
 
 def _dataset(spark, sf):
-    base = dedupe_first(spark, sf).select("domain", "label", F.lit(None).cast("int").alias("copy"))
+    base = dedupe_first(spark, sf).select("domain", "label", F.lit(0).cast("int").alias("copy"))
     curated = D.replicate(_curated(spark)).withColumn("copy", F.col("copy").cast("int"))
     with_curated = D.union_all([base, curated])
     corr = DV.spark_corrections(spark, sf)
@@ -544,7 +553,7 @@ _HIST_SQL = _with(["scans"], [
             f"{Q.has_mixed_script('__host')} AS has_mixed_script, "
             f"{Q.in_list('__suffix', lists.HIGH_RISK_TLDS)} AS tld_is_risky FROM lhp"),
 ]) + (
-    "SELECT *, floor(confidence * 100.0 + 0.5)::BIGINT AS confidence_pct, "
+    f"SELECT * REPLACE ({_TS_SQL} AS ts), floor(confidence * 100.0 + 0.5)::BIGINT AS confidence_pct, "
     "coalesce(nullif(concat_ws(',', CASE WHEN is_ip THEN 'is_ip' END, CASE WHEN has_mixed_script THEN 'has_mixed_script' END, "
     "CASE WHEN tld_is_risky THEN 'tld_is_risky' END), ''), 'none') AS triggered FROM ind"
 )
@@ -552,7 +561,8 @@ _HIST_SQL = _with(["scans"], [
 
 @register("scan_history", _HIST_SQL)
 def scan_history(spark, sf):
-    return S.scan_history(DV.spark_scans(spark, sf))
+    out = S.scan_history(DV.spark_scans(spark, sf))
+    return out.withColumn("ts", _ts_text(F.col("ts")))
 
 
 @register(

@@ -182,5 +182,5 @@ def batch_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     from 1 within its text.  Whole texts are split; nothing is dropped but
     blank lines."""
     lines = df.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("i", "raw"))
-    out = lines.select(id_col, (F.col("i") + 1).alias("line_no"), js_trim("raw").alias("line"))
+    out = lines.select(id_col, (F.col("i") + 1).cast("long").alias("line_no"), js_trim("raw").alias("line"))
     return out.where(F.length("line") > 0)
