@@ -75,7 +75,7 @@ def keyword_flags(d: ColumnOrName) -> list[Column]:
 
 def has_punycode(d: ColumnOrName) -> Column:
     """H12."""
-    return _col(d).contains("xn--").cast("int")
+    return _col(d).contains(lists.PUNYCODE_PREFIX).cast("int")
 
 
 def unicode_count(d: ColumnOrName) -> Column:
@@ -146,8 +146,9 @@ def has_mixed_script(d: ColumnOrName) -> Column:
     """Latin and Cyrillic letters together, or any non-ASCII character
     unless the host starts with ``xn--``."""
     c = _col(d)
-    mixed = c.rlike("[a-zA-Z]") & c.rlike(r"[\x{400}-\x{4FF}]")
-    non_ascii = c.rlike(r"[^\x00-\x7F]") & ~c.startswith("xn--")
+    cyrillic = f"[\\x{{{lists.CYRILLIC_FIRST:X}}}-\\x{{{lists.CYRILLIC_LAST:X}}}]"
+    mixed = c.rlike("[a-zA-Z]") & c.rlike(cyrillic)
+    non_ascii = c.rlike(r"[^\x00-\x7F]") & ~c.startswith(lists.PUNYCODE_PREFIX)
     return F.coalesce(mixed | non_ascii, F.lit(False))
 
 
@@ -159,13 +160,13 @@ def valid_server(raw: ColumnOrName) -> Column:
     r = _col(raw)
     s = F.lower(py_strip(r))
     has_space = s.rlike(py_space_class())
-    d = F.regexp_replace(s, r"^https?://", "")
+    d = F.regexp_replace(s, lists.HTTP_PREFIX_RE, "")
     d = F.substring_index(F.substring_index(d, "/", 1), ":", 1)
     tld = F.substring_index(d, ".", -1)
     before = F.regexp_replace(d, r"\.[^.]*$", "")
     shaped = (
         d.contains(".")
-        & (F.length(tld) >= 2)
+        & (F.length(tld) >= lists.MIN_TLD_LENGTH)
         & tld.rlike(r"^[\p{L}\p{N}]+$")
         & (F.length(F.replace(before, F.lit("."), F.lit(""))) > 0)
     )
@@ -184,9 +185,9 @@ def valid_client(raw: ColumnOrName) -> Column:
     r = _col(raw)
     ws = js_space_class()
     s = js_trim(r)
-    d = F.regexp_replace(s, r"(?i)^https?://", "")
+    d = F.regexp_replace(s, "(?i)" + lists.HTTP_PREFIX_RE, "")
     d = F.substring_index(F.substring_index(d, "/", 1), ":", 1)
-    octet = r"(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+    octet = lists.CLIENT_IPV4_OCTET_RE
     v4 = rf"^({octet}\.){{3}}{octet}$"
     tld = F.substring_index(d, ".", -1)
     # JavaScript string length counts UTF-16 units.
@@ -196,7 +197,7 @@ def valid_client(raw: ColumnOrName) -> Column:
         d.contains(".")
         & (last_dot > 1)
         & (last_dot < F.length(d))
-        & (tld_len >= 2)
+        & (tld_len >= lists.MIN_TLD_LENGTH)
         & tld.rlike(r"^\p{L}+$")
     )
     ok = (

@@ -153,6 +153,14 @@ NOTEBOOK_FEATURE_FRACTION = 0.8
 NOTEBOOK_MIN_CHILD = 3
 NOTEBOOK_FEATURES = ["is_suspicious_tld", "brand_match", "length"]
 
+# Literals and patterns of the host rules.
+HTTP_PREFIX_RE = r"^https?://"
+WWW = "www."
+PUNYCODE_PREFIX = "xn--"
+CYRILLIC_FIRST, CYRILLIC_LAST = 0x0400, 0x04FF
+CLIENT_IPV4_OCTET_RE = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+MIN_TLD_LENGTH = 2
+
 # Default history size.
 HISTORY_LIMIT = 50
 TOP_TLDS = 5

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hostscope.functions import lists
 from hostscope.functions.chars import python_space_points
 
 ColumnOrName = Column | str
@@ -37,12 +38,12 @@ def _split_netloc(url: Column) -> Column:
 
 def netloc_app(url: ColumnOrName) -> Column:
     """Lower-cased netloc with every ``www.`` removed; port/userinfo kept."""
-    return F.replace(F.lower(_split_netloc(_col(url))), F.lit("www."), F.lit(""))
+    return F.replace(F.lower(_split_netloc(_col(url))), F.lit(lists.WWW), F.lit(""))
 
 
 def netloc_notebook(url: ColumnOrName) -> Column:
     """Lower-cased netloc with only a leading ``www.`` removed."""
-    return F.regexp_replace(F.lower(_split_netloc(_col(url))), r"^www\.", "")
+    return F.regexp_replace(F.lower(_split_netloc(_col(url))), "^" + lists.WWW.replace(".", r"\."), "")
 
 
 def py_strip(c: ColumnOrName) -> Column:
@@ -61,6 +62,6 @@ def js_trim(c: ColumnOrName) -> Column:
 def clean_host(domain: ColumnOrName) -> Column:
     """Strip, lower, drop ``http(s)://``, cut at first '/', then first ':'."""
     d = F.lower(py_strip(domain))
-    d = F.regexp_replace(d, r"^https?://", "")
+    d = F.regexp_replace(d, lists.HTTP_PREFIX_RE, "")
     d = F.substring_index(d, "/", 1)
     return F.substring_index(d, ":", 1)
