@@ -743,3 +743,22 @@ def aligned_features(spark, sf):
 
     nb = notebook_features(spark, sf)
     return align_features(nb, lists.FEATURE_ORDER, keep=["id"])
+
+
+@register(
+    "union_weighted",
+    _with(["feed_text_raw", "feed_csv_raw", "ranked", "corrections"], _DATASET_SQL[:-1] + [
+        ("dataset_w",
+         "SELECT domain, label, 1.0::DOUBLE AS weight FROM combined "
+         f"UNION ALL SELECT domain, label, {float(lists.CURATED_COPIES)}::DOUBLE FROM curated "
+         f"UNION ALL SELECT domain, label, {float(lists.CURATED_COPIES)}::DOUBLE FROM corr_last"),
+    ])
+    + "SELECT * FROM dataset_w",
+)
+def union_weighted(spark, sf):
+    """A2 scalable mode: curated rows and latest corrections once each,
+    carrying ``weight = 500`` instead of 500 copies."""
+    base = dedupe_first(spark, sf).select("domain", "label", F.lit(1.0).alias("weight"))
+    curated = D.as_weighted(_curated(spark))
+    corr = D.keep_last(DV.spark_corrections(spark, sf), "domain", ("ts", "id")).select("domain", "label")
+    return D.union_all([base, curated, D.as_weighted(corr)]).select("domain", "label", "weight")

@@ -100,3 +100,22 @@ def test_streaming_scoring_and_stats(spark, tmp_dir):
     q2.stop()
     assert total == 4
     assert running_label_counts is not None
+
+
+def test_notebook_variant_with_weights(spark, tmp_dir):
+    lab = spark_labelled(spark, "/root/testdata/sf0.001").select("domain", "label")
+    res = train_job(spark, lab, None, settings=TreeSettings.notebook(trees=3, depth=3))
+    names = [f for f, _ in res.importances]
+    assert sorted(names) == sorted(lists.NOTEBOOK_FEATURES)
+    assert res.model.stages[-1].getWeightCol() == "weight"
+
+
+def test_weighted_dataset_mode(spark):
+    from hostscope.operators.training import build_dataset
+
+    lab = spark_labelled(spark, "/root/testdata/sf0.001").select("domain", "label")
+    copies = build_dataset(spark, lab, None, copies=500).count()
+    weighted = build_dataset(spark, lab, None, copies=500, weighted=True)
+    assert copies == lab.count() + 14 * 500
+    assert weighted.count() == lab.count() + 14
+    assert weighted.agg(F.sum("weight")).first()[0] == lab.count() + 14 * 500

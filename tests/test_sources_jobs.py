@@ -102,3 +102,10 @@ def test_jobs_cli(spark, raw_dir, tmp_dir, capsys):
     st = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert st["share"]["total_scanned"] == 2
     assert F is not None
+
+
+def test_write_and_read_labelled(spark, tmp_dir):
+    df = spark.createDataFrame([("a.com", "legitimate", 1)], "domain string, label string, extra int")
+    feeds.write_labelled(df, f"{tmp_dir}/combined")
+    back = feeds.read_labelled(spark, f"{tmp_dir}/combined")
+    assert back.columns == ["domain", "label"] and back.count() == 1
