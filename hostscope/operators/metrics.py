@@ -38,54 +38,35 @@ def _safe_div(a, b):
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b.cast("double"))
 
 
-def _per_class(cm: DataFrame) -> DataFrame:
-    # precision/recall/f1 per class from the four counts; 0 when undefined
-    rows = []
-    for cls, tp, fp, fn in ((0, "tn", "fn", "fp"), (1, "tp", "fp", "fn")):
-        tp_c, fp_c, fn_c = F.col(tp), F.col(fp), F.col(fn)
-        prec = _safe_div(tp_c, tp_c + fp_c)
-        rec = _safe_div(tp_c, tp_c + fn_c)
-        rows.append(
-            cm.select(
-                F.lit(cls).alias("cls"),
-                F.lit(lists.LABELS[cls]).alias("label"),
-                prec.alias("precision"),
-                rec.alias("recall"),
-                (tp_c + fn_c).alias("support"),
-                F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"),
-            )
-        )
-    out = rows[0].unionByName(rows[1])
-    f1 = _safe_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
-    return out.withColumn("f1", f1)
-
-
 def class_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """Per-class precision / recall / F1 / support, plus the accuracy,
-    macro-average and weighted-average rows of a classification report."""
-    per = _per_class(_counts(df, y, pred))
-    body = per.select("label", "precision", "recall", "f1", F.col("support").cast("long").alias("support"))
-    agg = per.groupBy().agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"),
-        F.sum("support").alias("n"),
-        F.first(F.col("tn") + F.col("tp")).alias("correct"),
+    macro-average and weighted-average rows of a classification report.
+
+    One aggregation (one scan) yields the four counts; the five report rows
+    are built from that single row and exploded."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    n = tn + fp + fn + tp
+    p0, r0 = _safe_div(tn, tn + fn), _safe_div(tn, tn + fp)
+    p1, r1 = _safe_div(tp, tp + fp), _safe_div(tp, tp + fn)
+    f0 = _safe_div(2 * p0 * r0, p0 + r0)
+    f1 = _safe_div(2 * p1 * r1, p1 + r1)
+    s0, s1 = tn + fp, fn + tp
+
+    def row(label, prec, rec, f, sup):
+        return F.struct(F.lit(label).alias("label"), prec.cast("double").alias("precision"),
+                        rec.cast("double").alias("recall"), f.cast("double").alias("f1"),
+                        sup.cast("long").alias("support"))
+
+    none = F.lit(None).cast("double")
+    rows = F.array(
+        row(lists.LABELS[0], p0, r0, f0, s0),
+        row(lists.LABELS[1], p1, r1, f1, s1),
+        row("accuracy", none, none, _safe_div(tn + tp, n), n),
+        row("macro avg", (p0 + p1) / 2.0, (r0 + r1) / 2.0, (f0 + f1) / 2.0, n),
+        row("weighted avg", _safe_div(p0 * s0 + p1 * s1, n), _safe_div(r0 * s0 + r1 * s1, n),
+            _safe_div(f0 * s0 + f1 * s1, n), n),
     )
-    macro = agg.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                       F.col("mr").alias("recall"), F.col("mf").alias("f1"),
-                       F.col("n").cast("long").alias("support"))
-    weighted = agg.select(F.lit("weighted avg").alias("label"),
-                          _safe_div(F.col("wp"), F.col("n")).alias("precision"),
-                          _safe_div(F.col("wr"), F.col("n")).alias("recall"),
-                          _safe_div(F.col("wf"), F.col("n")).alias("f1"),
-                          F.col("n").cast("long").alias("support"))
-    acc = agg.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"),
-                     _safe_div(F.col("correct"), F.col("n")).alias("f1"),
-                     F.col("n").cast("long").alias("support"))
-    return body.unionByName(acc).unionByName(macro).unionByName(weighted)
+    return _counts(df, y, pred).select(F.inline(rows))
 
 
 def weighted_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:

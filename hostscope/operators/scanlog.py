@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hostscope.functions import lists
 from hostscope.operators.dataset import label_histogram
 from hostscope.operators.features import with_indicators
+from hostscope.session import ensure_checkpoint_dir
 
 
 def half_up_pct(x: Column) -> Column:
@@ -101,7 +102,11 @@ def scan_history(log: DataFrame, limit: int = lists.HISTORY_LIMIT, rules: DataFr
     """O2 + L4 + V3 + V4: latest ``limit`` rows (ts desc, id desc) with the
     indicators recomputed from the stored domain."""
     cols = [c for c in ("id", "domain", "label", "confidence", "ts", "features") if c in log.columns]
-    latest = log.select(*cols).orderBy(F.desc("ts"), F.desc("id")).limit(limit)
+    # The top-k runs as its own job so it plans as a per-task top-k
+    # (TakeOrderedAndProject) instead of a full sort of the log; the k rows
+    # are kept with a reliable checkpoint and the indicator joins see only them.
+    ensure_checkpoint_dir(log.sparkSession)
+    latest = log.select(*cols).orderBy(F.desc("ts"), F.desc("id")).limit(limit).checkpoint(eager=True)
     out = with_indicators(latest, "domain", rules)
     return out.select(
         *cols,
