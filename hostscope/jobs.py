@@ -22,12 +22,13 @@ from hostscope.operators.model import TreeSettings, load_model, score_domains
 from hostscope.operators.requests import require_valid
 from hostscope.operators.scanlog import class_share, label_counts, top_risky_tlds
 from hostscope.operators.training import train_job
-from hostscope.session import get_spark
+from hostscope.session import get_spark, input_bytes, size_shuffles
 from hostscope.sources.feeds import read_corrections, resolve_dataset
 from hostscope.sources.tables import append_scans, read_scans
 
 
 def _train(spark, a) -> dict:
+    size_shuffles(spark, input_bytes(spark, [a.data] + ([a.cache] if a.cache else [])))
     data = resolve_dataset(spark, a.data)
     corr = read_corrections(spark, a.corrections) if a.corrections else None
     s = TreeSettings(trees=a.trees) if a.trees else TreeSettings()
@@ -36,6 +37,7 @@ def _train(spark, a) -> dict:
 
 
 def _score(spark, a) -> dict:
+    size_shuffles(spark, input_bytes(spark, [a.input]))
     model = load_model(a.model)
     lines = spark.read.text(a.input).select(F.col("value").alias("domain"))
     ok = require_valid(lines)
@@ -45,6 +47,7 @@ def _score(spark, a) -> dict:
 
 
 def _stats(spark, a) -> dict:
+    size_shuffles(spark, input_bytes(spark, [a.log]))
     log = read_scans(spark, a.log, ["id", "domain", "label"])
     out = {
         "share": class_share(log).first().asDict(),

@@ -68,3 +68,32 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A fresh path under the shared checkpoint folder (for written tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts, uuid.uuid4().hex)
+
+
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the given Hadoop paths (metadata only, no data read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            total += fs.getContentSummary(path).getLength()
+    return int(total)
+
+
+def size_shuffles(spark: SparkSession, nbytes: int, target: int = TARGET_PARTITION_BYTES,
+                  lo: int = 200, hi: int = 400_000) -> int:
+    """Set the shuffle partition count so a shuffle of ``nbytes`` lands near
+    ``target`` bytes per partition (AQE coalesces smaller ones at run time;
+    skewed ones are split).  Returns the count used."""
+    n = max(lo, min(hi, -(-nbytes // target)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target // 2))
+    return n

@@ -109,3 +109,18 @@ def test_write_and_read_labelled(spark, tmp_dir):
     feeds.write_labelled(df, f"{tmp_dir}/combined")
     back = feeds.read_labelled(spark, f"{tmp_dir}/combined")
     assert back.columns == ["domain", "label"] and back.count() == 1
+
+
+def test_size_shuffles(spark, tmp_dir):
+    from hostscope.session import input_bytes, size_shuffles
+
+    _write(f"{tmp_dir}/x/a.txt", "a" * 1000)
+    assert input_bytes(spark, [f"{tmp_dir}/x", f"{tmp_dir}/missing"]) == 1000
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 100 * 2**40) == 400_000      # 100 TB -> 256 MB partitions
+        assert size_shuffles(spark, 10 * 2**30) == 200           # small input: floor
+        assert size_shuffles(spark, 1000 * 2**30) == 4000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", old)
