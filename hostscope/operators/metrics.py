@@ -18,6 +18,9 @@ from hostscope.functions import lists
 from hostscope.session import ensure_checkpoint_dir
 
 
+_MAX_BROADCAST_RANGES = 100_000
+
+
 def _counts(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     def c(a, p):
         return F.sum(F.when((F.col(y) == a) & (F.col(pred) == p), 1).otherwise(0)).cast("long")
@@ -118,7 +121,8 @@ def roc_auc(df: DataFrame, y: str = "y", prob: str = "prob", partitions: int | N
     offsets = part_tot.select("pid", F.coalesce(F.sum("neg_p").over(w_off), F.lit(0)).alias("off"))
     w_loc = Window.partitionBy("pid").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("below", F.coalesce(F.sum("neg").over(w_loc), F.lit(0)))
-    joined = local.join(F.broadcast(offsets), "pid")
+    # one offset row per range partition: broadcast only while that count is small
+    joined = local.join(F.broadcast(offsets) if nparts <= _MAX_BROADCAST_RANGES else offsets, "pid")
     contrib = F.col("pos").cast("double") * ((F.col("below") + F.col("off")).cast("double") + F.col("neg") / 2.0)
     tot = joined.agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(contrib).alias("num")

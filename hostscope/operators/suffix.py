@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hostscope.functions.host import is_ipv4
 from hostscope.functions.urls import ColumnOrName, _col, py_strip
-from hostscope.sources.suffix_list import max_rule_labels, suffix_rule_rows, suffix_rules
+from hostscope.sources.suffix_list import MAX_RULES, max_rule_labels, suffix_rule_rows, suffix_rules
 
 
 _RULES: dict = {}
@@ -63,6 +63,11 @@ def split_registered(
     if rules is None:
         rules = default_rules(spark)
         max_labels = max_labels or max_rule_labels(suffix_rule_rows())
+        can_broadcast = True  # built from a size-checked list
+    else:
+        # A caller-supplied table is broadcast only when its size is proven
+        # small; otherwise the joins fall back to shuffle joins.
+        can_broadcast = rules.limit(MAX_RULES + 1).count() <= MAX_RULES
     k_max = max_labels or 4
 
     tmp = "__sfx"
@@ -79,7 +84,7 @@ def split_registered(
         )
     # The same broadcast relation is joined K times under aliases, so the
     # planner ships the table once and reuses that exchange for every join.
-    small = F.broadcast(rules)
+    small = F.broadcast(rules) if can_broadcast else rules
     for k in range(1, k_max + 1):
         a = f"{tmp}r{k}"
         out = out.join(small.alias(a), F.col(f"{tmp}_s{k}") == F.col(f"{a}.key"), "left").select(

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 # Hard size bound for the broadcast side (the real list has ~7.4k rules; all
 # label-form variants stay under 10k).  Anything bigger is not a suffix list.
 MAX_RULES = 100_000
+MAX_LIST_LINES = 1_000_000
 
 RULE_SCHEMA = T.StructType(
     [
@@ -120,7 +121,10 @@ def suffix_rules(
 ) -> DataFrame:
     """The rule table as a DataFrame (size-checked; safe to broadcast)."""
     if path is not None and not os.path.exists(path):
-        lines = [r.value for r in spark.read.text(path).collect()]  # bounded: see MAX_RULES
+        text = spark.read.text(path)  # one file on shared storage, read in order
+        if text.limit(MAX_LIST_LINES + 1).count() > MAX_LIST_LINES:
+            raise ValueError(f"{path} has more than {MAX_LIST_LINES} lines; not a suffix list")
+        lines = [r.value for r in text.collect()]
         rows = rule_rows(icann_rules("\n".join(lines), include_private))
     else:
         rows = list(_rows_for(path, include_private))

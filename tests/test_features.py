@@ -123,3 +123,12 @@ def test_netloc_variants(spark):
     assert tuple(got[2]) == ("ab.com", "awww.b.com")
     assert tuple(got[3]) == (None, None)
     assert tuple(got[4]) == ("a.b.org", "a.www.b.org")
+
+
+def test_custom_rules_table(spark):
+    from hostscope.sources.suffix_list import RULE_SCHEMA
+
+    rules = spark.createDataFrame([("com", True, False, False), ("example", False, True, False)], RULE_SCHEMA)
+    df = spark.createDataFrame([("a.b.example",), ("x.y.com",)], "h string")
+    got = {r["h"]: (r["subdomain"], r["root"], r["suffix"]) for r in split_registered(df, "h", rules).collect()}
+    assert got == {"a.b.example": ("", "a", "b.example"), "x.y.com": ("x", "y", "com")}
