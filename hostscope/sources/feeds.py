@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from hostscope.functions import lists
 from hostscope.functions.urls import js_trim, netloc_app, netloc_notebook, py_strip
-from hostscope.operators.dataset import keep_first, union_all
+from hostscope.operators.dataset import keep_first, keep_last, union_all
 
 LABELLED_SCHEMA = "domain string, label string"
 
@@ -117,7 +117,9 @@ def resolve_dataset(spark: SparkSession, base: str) -> DataFrame:
             "domain", "label"
         )
     if combined:
-        return read_labelled(spark, combined)
+        # The combined file keeps the last row per domain (file order)
+        rows = read_labelled(spark, combined).withColumn("pos", F.monotonically_increasing_id())
+        return keep_last(rows, "domain", ("pos",)).select("domain", "label")
     raise FileNotFoundError(f"no raw feeds and no combined dataset under {base}")
 
 

@@ -37,8 +37,10 @@ def test_resolve_raw_feeds(spark, raw_dir):
 
 
 def test_resolve_combined_and_missing(spark, tmp_dir):
-    _write(f"{tmp_dir}/combined_domains.csv", "domain,label\na.com,legitimate\nb.tk,phishing\n")
-    assert feeds.resolve_dataset(spark, tmp_dir).count() == 2
+    _write(f"{tmp_dir}/combined_domains.csv",
+           "domain,label\na.com,legitimate\nb.tk,phishing\na.com,phishing\n")
+    got = dict(feeds.resolve_dataset(spark, tmp_dir).collect())
+    assert got == {"a.com": "phishing", "b.tk": "phishing"}  # keep-last by file order
     with pytest.raises(FileNotFoundError):
         feeds.resolve_dataset(spark, f"{tmp_dir}/nothing")
 
