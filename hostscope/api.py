@@ -16,7 +16,7 @@ from hostscope.operators.features import with_host_features, with_indicators
 from hostscope.operators.model import score_domains
 from hostscope.operators.requests import require_valid
 from hostscope.operators.scanlog import label_counts, scan_history, scan_stats, top_risky_tlds
-from hostscope.sources.tables import append_scans
+from hostscope.sources.tables import append_corrections, append_scans
 
 
 def _one(spark: SparkSession, value: str) -> DataFrame:
@@ -42,8 +42,19 @@ def is_valid(spark: SparkSession, text: str, client: bool = False) -> bool:
     return bool(_one(spark, text).select(check("domain")).first()[0])
 
 
-def predict_domain(spark: SparkSession, model: PipelineModel, domain: str) -> dict:
-    """M9 for one domain: domain, label, confidence, features, indicators."""
+class InvalidInput(ValueError):
+    """A request the service rules reject."""
+
+
+def predict_domain(spark: SparkSession, model: PipelineModel, domain: str, validate: bool = True) -> dict:
+    """M9 for one domain: domain, label, confidence, features, indicators.
+    With ``validate`` the input is stripped and checked first (P11)."""
+    if validate:
+        domain = (domain or "").strip()
+        if not domain:
+            raise InvalidInput("Domain name cannot be empty")
+        if not is_valid(spark, domain):
+            raise InvalidInput("Please enter a valid URL or domain.")
     r = score_domains(_one(spark, domain), model).first()
     return {
         "domain": r["domain"],
@@ -66,6 +77,13 @@ def predict_batch(spark: SparkSession, model: PipelineModel, domains: list[str],
     return scored
 
 
+def report_mistake(spark: SparkSession, path: str, domain: str, corrected_label: str, batch_id: int) -> None:
+    """L1: validate (P12) and store one correction (trimmed, lower-cased)."""
+    reports = spark.createDataFrame([(domain, corrected_label)], "domain string, corrected_label string")
+    if append_corrections(reports, path, batch_id).count():
+        raise InvalidInput("Invalid domain or label.")
+
+
 def aggregate_stats(log: DataFrame) -> dict:
     """Total, per-label counts (both classes present) and the top
     risky TLDs -- bounded results (labels, k rows) read on the driver."""

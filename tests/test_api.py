@@ -52,3 +52,18 @@ def test_single_and_batch_then_stats_and_history(spark, model, tmp_dir):
         api.predict_batch(spark, model, ["dfsdf", "12345"])
     with pytest.raises(EmptyBatchError):
         api.predict_batch(spark, model, [])
+
+
+def test_request_validation_and_reports(spark, model, tmp_dir):
+    from hostscope.sources.feeds import read_corrections
+
+    with pytest.raises(api.InvalidInput, match="cannot be empty"):
+        api.predict_domain(spark, model, "   ")
+    with pytest.raises(api.InvalidInput, match="valid URL or domain"):
+        api.predict_domain(spark, model, "dfsdf")
+    assert api.predict_domain(spark, model, " sbi-banking-verify.in ")["domain"] == "sbi-banking-verify.in"
+    path = os.path.join(tmp_dir, "corr")
+    api.report_mistake(spark, path, " Evil.TK ", "phishing", batch_id=1)
+    with pytest.raises(api.InvalidInput):
+        api.report_mistake(spark, path, "x.com", "spam", batch_id=2)
+    assert [(r["domain"], r["label"]) for r in read_corrections(spark, path).collect()] == [("evil.tk", "phishing")]
