@@ -119,3 +119,22 @@ def test_weighted_dataset_mode(spark):
     assert copies == lab.count() + 14 * 500
     assert weighted.count() == lab.count() + 14
     assert weighted.agg(F.sum("weight")).first()[0] == lab.count() + 14 * 500
+
+
+def test_training_is_deterministic_and_auc_floor(spark):
+    from hostscope.operators import dataset as D
+    from hostscope.operators import metrics as M
+    from hostscope.operators.model import predict
+
+    lab = spark_labelled(spark, SF)
+    rows = D.stratified_split(lab, F.col("id"))
+    feats = with_host_features(rows, "domain")
+    train = feats.where(F.col("split") == "train")
+    s = TreeSettings(trees=6, depth=4)
+    a = [r["importance"] for r in feature_importance(fit(train, s)).orderBy("feature").collect()]
+    m = fit(train, s)
+    b = [r["importance"] for r in feature_importance(m).orderBy("feature").collect()]
+    assert a == b
+    test = predict(m, feats.where(F.col("split") == "test")).select(
+        F.when(F.col("label") == "phishing", 1).otherwise(0).alias("y"), F.col("pred_idx").alias("pred"), "prob")
+    assert M.roc_auc(test).first()["auc"] > 0.75
