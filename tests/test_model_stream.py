@@ -138,3 +138,10 @@ def test_training_is_deterministic_and_auc_floor(spark):
     test = predict(m, feats.where(F.col("split") == "test")).select(
         F.when(F.col("label") == "phishing", 1).otherwise(0).alias("y"), F.col("pred_idx").alias("pred"), "prob")
     assert M.roc_auc(test).first()["auc"] > 0.75
+
+
+def test_scoring_keeps_a_given_label(spark):
+    model = _model(spark)
+    df = spark.createDataFrame([("google.com", "weird-class")], "domain string, label string")
+    r = score_domains(df, model).first()
+    assert r["given_label"] == "weird-class" and r["label"] == "legitimate"
