@@ -161,6 +161,13 @@ CYRILLIC_FIRST, CYRILLIC_LAST = 0x0400, 0x04FF
 CLIENT_IPV4_OCTET_RE = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 MIN_TLD_LENGTH = 2
 
+# File names the dataset resolver looks for (in the folder or its data/).
+FEED_TEXT_FILE = "openphish.txt"
+FEED_CSV_FILE = "openphish.csv"
+FEED_CSV2_FILE = "verified_online.csv"
+RANKED_FILE = "top-1m.csv"
+COMBINED_FILE = "combined_domains.csv"
+
 # Default history size.
 HISTORY_LIMIT = 50
 TOP_TLDS = 5

@@ -106,11 +106,12 @@ def resolve_dataset(spark: SparkSession, base: str) -> DataFrame:
     def cand(name):
         return [f"{base}/{name}", f"{base}/data/{name}"]
 
-    text = find_first(spark, cand("openphish.txt"))
-    csv1 = find_first(spark, cand("openphish.csv"))
-    csv2 = find_first(spark, cand("verified_online.csv"))
-    ranked = find_first(spark, cand("top-1m.csv"))
-    combined = find_first(spark, cand("combined_domains.csv") + cand("combined_domains.parquet"))
+    text = find_first(spark, cand(lists.FEED_TEXT_FILE))
+    csv1 = find_first(spark, cand(lists.FEED_CSV_FILE))
+    csv2 = find_first(spark, cand(lists.FEED_CSV2_FILE))
+    ranked = find_first(spark, cand(lists.RANKED_FILE))
+    combined = find_first(spark, cand(lists.COMBINED_FILE)
+                          + cand(lists.COMBINED_FILE.replace(".csv", ".parquet")))
     if csv2 and (text or csv1) and ranked:
         first = read_text_feed(spark, text, 1) if text else read_csv_feed(spark, csv1, 1)
         return combine_feeds([first, read_csv_feed(spark, csv2, 2), read_ranked(spark, ranked)]).select(

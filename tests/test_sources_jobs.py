@@ -20,10 +20,10 @@ def _write(path, text):
 
 @pytest.fixture
 def raw_dir(tmp_dir):
-    _write(f"{tmp_dir}/data/openphish.txt", "http://www.evil-login.tk/a\nhttps://paypal.com.verify.xyz/x\n")
-    _write(f"{tmp_dir}/data/verified_online.csv",
+    _write(f"{tmp_dir}/data/{lists.FEED_TEXT_FILE}", "http://www.evil-login.tk/a\nhttps://paypal.com.verify.xyz/x\n")
+    _write(f"{tmp_dir}/data/{lists.FEED_CSV2_FILE}",
            "phish_id,url\n1,http://evil-login.tk/b\n2,https://bad.example.top/\n3,https://google.com/phish\n")
-    _write(f"{tmp_dir}/data/top-1m.csv", "1,google.com\n2,evil-login.tk\n3,wikipedia.org\n")
+    _write(f"{tmp_dir}/data/{lists.RANKED_FILE}", "1,google.com\n2,evil-login.tk\n3,wikipedia.org\n")
     return tmp_dir
 
 
@@ -37,7 +37,7 @@ def test_resolve_raw_feeds(spark, raw_dir):
 
 
 def test_resolve_combined_and_missing(spark, tmp_dir):
-    _write(f"{tmp_dir}/combined_domains.csv",
+    _write(f"{tmp_dir}/{lists.COMBINED_FILE}",
            "domain,label\na.com,legitimate\nb.tk,phishing\na.com,phishing\n")
     got = dict(feeds.resolve_dataset(spark, tmp_dir).collect())
     assert got == {"a.com": "phishing", "b.tk": "phishing"}  # keep-last by file order
