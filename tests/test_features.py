@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from hostscope.functions import host as H
 from hostscope.functions.urls import clean_host, netloc_app, netloc_notebook
