@@ -31,7 +31,9 @@ def default_rules(spark) -> DataFrame:
     """The bundled rule table, built once per session."""
     key = spark.sparkContext.applicationId
     if key not in _RULES:
-        _RULES[key] = suffix_rules(spark)
+        # kept in memory (a few hundred KB) so every query's broadcast is
+        # built from cached rows; a lost block is rebuilt from the driver's list
+        _RULES[key] = suffix_rules(spark).persist()
     return _RULES[key]
 
 
