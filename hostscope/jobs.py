@@ -3,6 +3,7 @@ or ``python -m hostscope.jobs <job> ...`` from any scheduler.
 
 Jobs
   train  --data DIR [--corrections PATH] [--cache PATH] --model PATH [--trees N] [--weighted]
+         [--write-combined PATH]
   score  --model PATH --input PATH --log PATH [--batch-id N]
   stats  --log PATH [--out PATH]
   stream --model PATH --input DIR --log PATH [--rejects PATH] [--trigger SEC]
@@ -23,13 +24,16 @@ from hostscope.operators.requests import require_valid
 from hostscope.operators.scanlog import class_share, label_counts, top_risky_tlds
 from hostscope.operators.training import train_job
 from hostscope.session import get_spark, input_bytes, size_shuffles
-from hostscope.sources.feeds import read_corrections, resolve_dataset
+from hostscope.sources.feeds import read_corrections, read_labelled, resolve_dataset, write_labelled
 from hostscope.sources.tables import append_scans, read_scans
 
 
 def _train(spark, a) -> dict:
     size_shuffles(spark, input_bytes(spark, [a.data] + ([a.cache] if a.cache else [])))
     data = resolve_dataset(spark, a.data)
+    if a.write_combined:  # S6: the deduplicated set, before augmentation
+        write_labelled(data, a.write_combined)
+        data = read_labelled(spark, a.write_combined)
     corr = read_corrections(spark, a.corrections) if a.corrections else None
     s = TreeSettings(trees=a.trees) if a.trees else TreeSettings()
     res = train_job(spark, data, corr, cache_path=a.cache, model_path=a.model, settings=s, weighted=a.weighted)
@@ -77,6 +81,7 @@ def main(argv=None) -> None:
     t.add_argument("--model", required=True)
     t.add_argument("--trees", type=int)
     t.add_argument("--weighted", action="store_true")
+    t.add_argument("--write-combined", dest="write_combined")
     s = sub.add_parser("score")
     s.add_argument("--model", required=True)
     s.add_argument("--input", required=True)

@@ -127,12 +127,15 @@ def resolve_dataset(spark: SparkSession, base: str) -> DataFrame:
 # ------------------------------------------------------------ S8, S9
 
 
-def read_feature_cache(spark: SparkSession, path: str, required: Sequence[str] = lists.FEATURE_ORDER):
-    """The cache if it exists and has every model column (deduplicated
-    by domain), else ``None`` (caller re-extracts)."""
-    if not path_exists(spark, path):
+def read_feature_cache(spark: SparkSession, path: str | Sequence[str],
+                       required: Sequence[str] = lists.FEATURE_ORDER):
+    """The first existing cache of ``path`` (one path or candidates in
+    order); used only if it has every model column (deduplicated by
+    domain), else ``None`` (caller re-extracts)."""
+    found = find_first(spark, [path] if isinstance(path, str) else list(path))
+    if found is None:
         return None
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(found)
     if not set(required) <= set(df.columns):
         return None
     return df.dropDuplicates(["domain"])

@@ -55,6 +55,7 @@ def test_feature_cache_column_check(spark, tmp_dir):
     assert feeds.read_feature_cache(spark, path) is None
     spark.createDataFrame([("a.com", 1)], "domain string, length int").write.parquet(path)
     assert feeds.read_feature_cache(spark, path) is None  # columns missing -> re-extract
+    assert feeds.read_feature_cache(spark, [f"{tmp_dir}/v3", path]) is None
 
 
 def test_corrections_roundtrip(spark, tmp_dir):
@@ -93,7 +94,9 @@ def test_jobs_cli(spark, raw_dir, tmp_dir, capsys):
     from hostscope import jobs
 
     model = f"{tmp_dir}/model"
-    jobs.main(["train", "--data", raw_dir, "--model", model, "--cache", f"{tmp_dir}/cache", "--trees", "3"])
+    jobs.main(["train", "--data", raw_dir, "--model", model, "--cache", f"{tmp_dir}/cache", "--trees", "3",
+               "--write-combined", f"{tmp_dir}/combined"])
+    assert feeds.read_labelled(spark, f"{tmp_dir}/combined").count() == 5
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert "test" in out["metrics"]
     _write(f"{tmp_dir}/in/batch.txt", "google.com\nbad-login.tk\ndfsdf\n")
