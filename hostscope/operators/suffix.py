@@ -8,7 +8,8 @@ shuffled and the whole split is one narrow stage.
 
 The chosen suffix is the longest of
   * an exact rule ``s_k``,
-  * a wildcard: ``s_{k-1}`` has a ``*.`` rule and ``s_k`` is not an exception,
+  * a wildcard: the host has a k-th label, ``s_{k-1}`` has a ``*.`` rule and
+    ``s_k`` is not an exception,
   * an exception ``!s_k``, which yields ``s_{k-1}``.
 No match -> empty suffix, the last label is the root.  A dotted-quad IPv4 with
 no suffix is its own root.  A host equal to a suffix has an empty root.
@@ -103,8 +104,9 @@ def split_registered(
         cands.append(F.when(e, F.lit(k)))
         cands.append(F.when(x, F.lit(k - 1)))
         if k >= 2:
+            # a wildcard needs a k-th label to stand for the '*'
             w = F.coalesce(F.col(f"{tmp}_w{k - 1}"), F.lit(False))
-            cands.append(F.when(w & ~x, F.lit(k)))
+            cands.append(F.when(w & ~x & (n >= k), F.lit(k)))
     L = F.greatest(*cands)
 
     out = out.withColumn(f"{tmp}_slen", L)

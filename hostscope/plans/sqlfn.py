@@ -245,7 +245,8 @@ def split_ctes(src: str, host: str, out: str, k_max: int = 4,
         cands.append(f"CASE WHEN coalesce(r{k}.is_exception, false) THEN {k - 1} END")
         if k >= 2:
             cands.append(
-                f"CASE WHEN coalesce(r{k - 1}.is_wild_parent, false) AND NOT coalesce(r{k}.is_exception, false) THEN {k} END"
+                f"CASE WHEN coalesce(r{k - 1}.is_wild_parent, false) AND NOT coalesce(r{k}.is_exception, false) "
+                f"AND t.__n >= {k} THEN {k} END"
             )
     ip = f"(__sl = 0 AND __n = 4 AND regexp_matches(__h, '^[0-9]') AND {is_ipv4('__h')})"
     helper = ["__h", "__l", "__ll", "__n", "__sl"] + [f"__s{k}" for k in range(1, k_max + 1)]

@@ -20,6 +20,7 @@ TRICKY = [
     "x²y.net", "a..b.com", "trailing.dot.com.", "sbi.co.in", "onlinesbi.sbi", "aws.amazon.com",
     "  WWW.Google.COM  ", "http://bad.tk/login", "a.b.c.d.sch.uk", "1.2.3.4.5", "01.02.03.004",
     "payрal.com", "xn--pple-43d.com", "secure-paypal-login.netlify.app",
+    "kawasaki.jp", "bd", "sch.uk", "www.kawasaki.jp", "ck",
 ]
 
 
