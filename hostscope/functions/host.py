@@ -121,6 +121,8 @@ def _ipv6_pattern() -> str:
 
 
 IPV6_PATTERN = _ipv6_pattern()
+# Address literal only: optional zone id, nothing around it.
+IPV6_STRICT_PATTERN = IPV6_PATTERN.replace(r"(?:%.+)?\s*$", r"(?:%[^%]+)?$")
 
 
 def is_ip(d: ColumnOrName) -> Column:
@@ -138,8 +140,7 @@ def is_ip_strict(d: ColumnOrName) -> Column:
     c = _col(d)
     octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     v4 = rf"^{octet}(?:\.{octet}){{3}}$"
-    v6 = IPV6_PATTERN.replace(r"(?:%.+)?\s*$", r"(?:%[^%]+)?$")
-    return F.coalesce(c.rlike(v4) | c.rlike(v6), F.lit(False)).cast("int")
+    return F.coalesce(c.rlike(v4) | c.rlike(IPV6_STRICT_PATTERN), F.lit(False)).cast("int")
 
 
 def has_mixed_script(d: ColumnOrName) -> Column:

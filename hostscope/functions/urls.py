@@ -33,7 +33,32 @@ def _split_netloc(url: Column) -> Column:
     net = F.regexp_extract(u, _NETLOC_RE, 1)
     # Unbalanced IPv6 brackets make urlsplit raise -> the helper returns None.
     bad = net.contains("[") != net.contains("]")
-    return F.when(url.isNull(), F.lit(None)).when(bad, F.lit(None)).otherwise(net)
+    both = net.contains("[") & net.contains("]")
+    return (
+        F.when(url.isNull(), F.lit(None))
+        .when(bad, F.lit(None))
+        .when(both & ~_bracketed_ok(net), F.lit(None))
+        .otherwise(net)
+    )
+
+
+def bracketed_netloc_re() -> tuple[str, str]:
+    """Patterns for urlsplit's check of a netloc holding brackets, applied to
+    the part after the last '@': either ``[literal]`` with an optional
+    ``:port`` (literal = IPv6 address with optional zone id, or IPvFuture
+    ``v<hex>.<text>``), or -- without '[' there -- an IPvFuture host
+    before the first ':'."""
+    from hostscope.functions.host import IPV6_STRICT_PATTERN
+
+    v6 = IPV6_STRICT_PATTERN[1:-1].replace("(?:%[^%]+)?", r"(?:%[^%\]]+)?")
+    future = r"v[a-fA-F0-9]+\.[^\]]+"
+    return rf"^\[(?:{v6}|{future})\](?::.*)?$", r"^v[a-fA-F0-9]+\.[^:]+(?::.*)?$"
+
+
+def _bracketed_ok(net: Column) -> Column:
+    hp = F.substring_index(net, "@", -1)
+    in_brackets, bare = bracketed_netloc_re()
+    return F.coalesce(hp.rlike(in_brackets) | (~hp.contains("[") & hp.rlike(bare)), F.lit(False))
 
 
 def netloc_app(url: ColumnOrName) -> Column:

@@ -317,10 +317,10 @@ def _feeds(spark, sf):
         F.col("rank").cast("long").alias("pos"),
     )
     rows = D.union_all([DV.spark_feed_text(spark, sf), DV.spark_feed_csv(spark, sf), ranked])
-    # P5 + P4: drop rows with nulls, strip the domain (app rule: strip only)
+    # Strip the domain (app rule: strip only); P5 happens in the dedupe
     from hostscope.functions.urls import py_strip
 
-    return rows.na.drop().withColumn("domain", py_strip("domain"))
+    return rows.withColumn("domain", py_strip("domain"))
 
 
 _FEEDS_SQL = [
@@ -338,7 +338,7 @@ _FEEDS_SQL = [
 
 @register("dedupe_first", _with(["feed_text_raw", "feed_csv_raw", "ranked"], _FEEDS_SQL) + "SELECT * FROM combined")
 def dedupe_first(spark, sf):
-    return D.keep_first(_feeds(spark, sf), "domain", ("source_prio", "pos")).select(
+    return D.keep_first(_feeds(spark, sf), "domain", ("source_prio", "pos"), drop_null_key=True).select(
         "domain", "label", F.col("source_prio").cast("int"), "pos"
     )
 

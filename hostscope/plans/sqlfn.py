@@ -14,7 +14,7 @@ from hostscope.functions.chars import (
     py_space_class,
     python_space_points,
 )
-from hostscope.functions.host import IPV6_PATTERN
+from hostscope.functions.host import IPV6_PATTERN, IPV6_STRICT_PATTERN
 from hostscope.sources.suffix_list import suffix_rule_rows
 
 
@@ -39,10 +39,21 @@ def _netloc(x: str) -> str:
     net = rf"regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1)"
     return (
         f"CASE WHEN ({x}) IS NULL THEN NULL "
-        f"WHEN contains({net}, '[') <> contains({net}, ']') THEN NULL ELSE {net} END"
+        f"WHEN contains({net}, '[') <> contains({net}, ']') THEN NULL "
+        f"WHEN contains({net}, '[') AND contains({net}, ']') AND NOT {_bracketed_ok(net)} THEN NULL "
+        f"ELSE {net} END"
     )
 
 
+def _bracketed_ok(net: str) -> str:
+    from hostscope.functions.urls import bracketed_netloc_re
+
+    hp = f"string_split({net}, '@')[-1]"
+    in_brackets, bare = bracketed_netloc_re()
+    return (f"coalesce(regexp_matches({hp}, '{in_brackets}') "
+            f"OR (NOT contains({hp}, '[') AND regexp_matches({hp}, '{bare}')), false)")
+
+
 def netloc_app(x: str) -> str:
     return f"replace(lower({_netloc(x)}), 'www.', '')"
 

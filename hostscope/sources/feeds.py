@@ -88,14 +88,15 @@ def write_labelled(df: DataFrame, path: str) -> None:
 def combine_feeds(feeds: Sequence[DataFrame], notebook: bool = False) -> DataFrame:
     """A1 + P5 + P4 + D1 (+ P6 for the notebook): stack the feeds, drop nulls,
     strip (and lower, notebook), keep the first row per domain."""
-    rows = union_all(feeds).na.drop(subset=["domain", "label"])
+    rows = union_all(feeds)
     d = py_strip("domain")
     if notebook:
         d = F.lower(d)
+    # P5: rows whose domain is null are dropped by the dedupe itself (the
+    # label is never null in a feed); P6 (notebook) drops the empty domain.
     rows = rows.withColumn("domain", d)
-    if notebook:
-        rows = rows.where(F.length("domain") > 0)
-    return keep_first(rows, "domain", ("source_prio", "pos"))
+    out = keep_first(rows, "domain", ("source_prio", "pos"), drop_null_key=True)
+    return out.where(F.length("domain") > 0) if notebook else out
 
 
 # ------------------------------------------------------------ S7
