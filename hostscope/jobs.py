@@ -3,7 +3,7 @@ or ``python -m hostscope.jobs <job> ...`` from any scheduler.
 
 Jobs
   train  --data DIR [--corrections PATH] [--cache PATH] --model PATH [--trees N] [--weighted]
-         [--write-combined PATH]
+         [--write-combined PATH] [--variant app|notebook]
   score  --model PATH --input PATH --log PATH [--batch-id N]
   stats  --log PATH [--out PATH]
   stream --model PATH --input DIR --log PATH [--rejects PATH] [--trigger SEC]
@@ -35,8 +35,10 @@ def _train(spark, a) -> dict:
         write_labelled(data, a.write_combined)
         data = read_labelled(spark, a.write_combined)
     corr = read_corrections(spark, a.corrections) if a.corrections else None
-    s = TreeSettings(trees=a.trees) if a.trees else TreeSettings()
-    res = train_job(spark, data, corr, cache_path=a.cache, model_path=a.model, settings=s, weighted=a.weighted)
+    base = TreeSettings.notebook if a.variant == "notebook" else TreeSettings
+    s = base(trees=a.trees) if a.trees else base()
+    res = train_job(spark, data, corr, cache_path=a.cache, model_path=a.model, settings=s, weighted=a.weighted,
+                    variant=a.variant)
     return {"metrics": res.metrics, "importances": res.importances[:10]}
 
 
@@ -82,6 +84,7 @@ def main(argv=None) -> None:
     t.add_argument("--trees", type=int)
     t.add_argument("--weighted", action="store_true")
     t.add_argument("--write-combined", dest="write_combined")
+    t.add_argument("--variant", choices=["app", "notebook"], default="app")
     s = sub.add_parser("score")
     s.add_argument("--model", required=True)
     s.add_argument("--input", required=True)

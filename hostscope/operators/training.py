@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hostscope.functions import lists
 from hostscope.operators import dataset as D
 from hostscope.operators import metrics as M
-from hostscope.operators.features import with_host_features
+from hostscope.operators.features import with_host_features, with_notebook_features
 from hostscope.operators.model import TreeSettings, feature_importance, fit, predict, save_model
 from hostscope.session import ensure_checkpoint_dir
 from hostscope.sources.feeds import append_feature_cache, curated_rows, read_feature_cache
@@ -80,8 +80,16 @@ class TrainResult:
 def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame | None = None,
               cache_path: str | None = None, model_path: str | None = None,
               settings: TreeSettings | None = None, weighted: bool = False,
-              keep_copies_together: bool = False) -> TrainResult:
-    """The full job.  ``labelled`` has ``domain, label``."""
+              keep_copies_together: bool = False, variant: str = "app") -> TrainResult:
+    """The full job.  ``labelled`` has ``domain, label``.
+
+    ``variant="notebook"`` is the notebook's flow (M4): no curated rows or
+    corrections, balancing shrinks only the legitimate class, the notebook
+    feature set (substring brand match, its TLD lists) and, by default,
+    the notebook's tree settings with A7 sample weights.
+    """
+    if variant == "notebook":
+        return _train_notebook(spark, labelled, model_path, settings or TreeSettings.notebook())
     s = settings or TreeSettings()
     ensure_checkpoint_dir(spark)
     data = build_dataset(spark, labelled, corrections, weighted=weighted)
@@ -98,6 +106,10 @@ def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame |
         rows = D.sample_weights(rows)
     train = rows.where(F.col("split") == "train")
     model = fit(train, s)
+    return _finish(model, rows, model_path)
+
+
+def _evaluate(model: PipelineModel, rows: DataFrame) -> dict:
     out: dict = {}
     for name in ("valid", "test"):
         part = predict(model, rows.where(F.col("split") == name))
@@ -112,7 +124,27 @@ def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame |
             "auc": M.roc_auc(preds).first()["auc"],
             "brand_slice": M.sliced_accuracy(preds).first().asDict(),
         }
+    return out
+
+
+def _finish(model: PipelineModel, rows: DataFrame, model_path: str | None) -> TrainResult:
+    metrics = _evaluate(model, rows)
     imps = [(r["feature"], r["importance"]) for r in feature_importance(model).collect()]
     if model_path:
         save_model(model, model_path)
-    return TrainResult(model, out, imps)
+    return TrainResult(model, metrics, imps)
+
+
+def _train_notebook(spark: SparkSession, labelled: DataFrame, model_path: str | None,
+                    s: TreeSettings) -> TrainResult:
+    ensure_checkpoint_dir(spark)
+    data = labelled.select("domain", "label")
+    key = F.concat_ws(":", "domain", "label")
+    balanced = D.balance_downsample(data, key, only_shrink=lists.LEGITIMATE)  # A4 (notebook)
+    feats = with_notebook_features(balanced.select("domain").distinct(), "domain")
+    rows = balanced.join(feats, "domain", "left").checkpoint(eager=True)
+    rows = D.stratified_split(rows, F.concat_ws(":", "domain", "label"))  # A6
+    if s.weight_col == "weight":
+        rows = D.sample_weights(rows)  # A7
+    model = fit(rows.where(F.col("split") == "train"), s)
+    return _finish(model, rows, model_path)

@@ -108,6 +108,9 @@ def test_notebook_variant_with_weights(spark, tmp_dir):
     names = [f for f, _ in res.importances]
     assert sorted(names) == sorted(lists.NOTEBOOK_FEATURES)
     assert res.model.stages[-1].getWeightCol() == "weight"
+    nb = train_job(spark, lab, variant="notebook", settings=TreeSettings.notebook(trees=3, depth=3))
+    assert sorted(f for f, _ in nb.importances) == sorted(lists.NOTEBOOK_FEATURES)
+    assert set(nb.metrics) == {"valid", "test"}
 
 
 def test_weighted_dataset_mode(spark):
