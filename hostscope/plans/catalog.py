@@ -375,8 +375,8 @@ _DATASET_SQL = _FEEDS_SQL + [
      "FROM corrections) WHERE rn = 1"),
     ("dataset",
      "SELECT domain, label, CAST(0 AS INTEGER) AS copy FROM combined "
-     f"UNION ALL SELECT domain, label, CAST(g.copy AS INTEGER) FROM curated, generate_series(1, {lists.CURATED_COPIES}) g(copy) "
-     f"UNION ALL SELECT domain, label, CAST(g.copy AS INTEGER) FROM corr_last, generate_series(1, {lists.CURATED_COPIES}) g(copy)"),
+     f"UNION ALL SELECT domain, label, CAST(unnest(range(1, {lists.CURATED_COPIES + 1})) AS INTEGER) FROM curated "
+     f"UNION ALL SELECT domain, label, CAST(unnest(range(1, {lists.CURATED_COPIES + 1})) AS INTEGER) FROM corr_last"),
 ]
 
 
@@ -407,7 +407,7 @@ _BAL_KEY_SQL = "md5(CAST(id AS VARCHAR) || ':42')"
         ("small", "SELECT min(n) AS m FROM cnt"),
         ("rk", f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_BAL_KEY_SQL}) AS rn FROM labelled"),
     ])
-    + "SELECT id, domain, label FROM rk, small WHERE rn <= m",
+    + "SELECT id, domain, label FROM rk WHERE rn <= (SELECT m FROM small)",
 )
 def balance_downsample(spark, sf):
     lab = DV.spark_labelled(spark, sf)
