@@ -19,6 +19,7 @@ from hostscope.functions import lists
 from hostscope.operators import dataset as D
 from hostscope.operators import metrics as M
 from hostscope.operators.features import with_host_features, with_notebook_features
+from hostscope.operators.joins import hot_keys, key_counts, split_join
 from hostscope.operators.model import TreeSettings, feature_importance, fit, predict, save_model
 from hostscope.session import ensure_checkpoint_dir
 from hostscope.sources.feeds import append_feature_cache, curated_rows, read_feature_cache
@@ -94,10 +95,14 @@ def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame |
     ensure_checkpoint_dir(spark)
     data = build_dataset(spark, labelled, corrections, weighted=weighted)
     balanced = D.balance_downsample(data, row_key(data))  # A4
-    feats = features_with_cache(spark, balanced, cache_path)
+    # rows per domain: the distinct domains for extraction (D3) and the hot
+    # keys for a skew-safe J1, from one checkpointed aggregation
+    counts = key_counts(balanced, ["domain"]).checkpoint(eager=True)
+    feats = features_with_cache(spark, counts.select("domain"), cache_path)
+    hot = hot_keys(counts, ["domain"])
     # J1, then cut the lineage: the split, the fit and both evaluations all
     # read these rows (reliable checkpoint in the shared folder).
-    rows = balanced.join(feats.drop("label"), "domain", "left").checkpoint(eager=True)
+    rows = split_join(balanced, feats.drop("label"), ["domain"], hot).checkpoint(eager=True)
     if keep_copies_together:
         rows = D.stratified_group_split(rows, "domain")
     else:
@@ -141,8 +146,9 @@ def _train_notebook(spark: SparkSession, labelled: DataFrame, model_path: str |
     data = labelled.select("domain", "label")
     key = F.concat_ws(":", "domain", "label")
     balanced = D.balance_downsample(data, key, only_shrink=lists.LEGITIMATE)  # A4 (notebook)
-    feats = with_notebook_features(balanced.select("domain").distinct(), "domain")
-    rows = balanced.join(feats, "domain", "left").checkpoint(eager=True)
+    counts = key_counts(balanced, ["domain"]).checkpoint(eager=True)
+    feats = with_notebook_features(counts.select("domain"), "domain")
+    rows = split_join(balanced, feats, ["domain"], hot_keys(counts, ["domain"])).checkpoint(eager=True)
     rows = D.stratified_split(rows, F.concat_ws(":", "domain", "label"))  # A6
     if s.weight_col == "weight":
         rows = D.sample_weights(rows)  # A7

@@ -486,10 +486,18 @@ def feature_cache_missing(spark, sf):
     + " FROM dataset d LEFT JOIN feat f ON d.domain = f.domain",
 )
 def feature_join(spark, sf):
+    from hostscope.operators.joins import hot_keys, key_counts, split_join
+    from hostscope.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
     data = _dataset(spark, sf)
-    uniq = data.select("domain").distinct()  # D3: features once per domain
-    feats = _round_entropy(FT.with_host_features(uniq, "domain")).select("domain", *lists.FEATURE_ORDER)
-    return data.join(feats, "domain", "left").select("domain", "label", "copy", *lists.FEATURE_ORDER)
+    # D3: features once per domain; the per-domain counts also name the hot
+    # domains, which J1 serves from a broadcast of their feature rows
+    counts = key_counts(data, ["domain"]).checkpoint(eager=True)
+    feats = _round_entropy(FT.with_host_features(counts.select("domain"), "domain"))
+    feats = feats.select("domain", *lists.FEATURE_ORDER)
+    out = split_join(data, feats, ["domain"], hot_keys(counts, ["domain"]))
+    return out.select("domain", "label", "copy", *lists.FEATURE_ORDER)
 
 
 # ------------------------------------------------------------ scan log
