@@ -2,7 +2,7 @@
 
 import math
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 
 from hostscope.operators.features import FEATURE_COLUMNS, with_host_features
@@ -16,7 +16,9 @@ PIECES = ["a", "b", "x", "g", "o", "-", ".", "1", "9", "²", "о", "я", "é", "
 hosts = st.lists(st.sampled_from(PIECES), min_size=0, max_size=12).map("".join)
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+# no shrinking: one batch is one Spark job, and a failing batch is printed whole
+@settings(max_examples=4, deadline=None, phases=[Phase.explicit, Phase.reuse, Phase.generate],
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(batch=st.lists(hosts, min_size=50, max_size=120))
 def test_features_match_oracle(spark, batch):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(batch)], "i int, domain string")
