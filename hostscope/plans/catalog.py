@@ -449,10 +449,7 @@ def sample_weights(spark, sf):
 # ------------------------------------------------------------ J1, J2, L3
 
 
-def _cache(spark, sf):
-    """The feature cache a previous run left: features of the ranked list."""
-    r = DV.spark_ranked(spark, sf).select("domain").distinct()
-    return FT.with_host_features(r, "domain")
+# The feature cache a previous run left holds the ranked-list domains.
 
 
 @register(
@@ -467,7 +464,7 @@ def _cache(spark, sf):
 )
 def feature_cache_missing(spark, sf):
     wanted = DV.spark_labelled(spark, sf).select("domain").distinct()
-    cached = _cache(spark, sf).select("domain")
+    cached = DV.spark_ranked(spark, sf).select("domain")  # the cache's keys
     missing = wanted.join(cached, "domain", "left_anti")
     return _round_entropy(FT.with_host_features(missing, "domain"))
 
