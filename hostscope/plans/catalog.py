@@ -254,7 +254,7 @@ _NB_SELECT = (
         f"{Q.length('domain')} AS length", f"{Q.subdomain_count('domain')} AS subdomain_count",
         f"{Q.subdomain_count('domain')} AS domain_depth", f"{Q.hyphen_count('domain')} AS hyphen_count",
         f"{Q.digit_count('domain')} AS digit_count", f"{Q.special_char_count('domain')} AS special_char_count",
-        f"{_rs(Q.entropy('domain'))} AS entropy",
+        f"{_rs(Q.entropy('domain'))} AS entropy", f"{Q.is_ip_strict('domain')} AS is_ip_address",
         *[f"{Q.has_keyword('domain', w)} AS has_{w}" for w in lists.FEATURE_KEYWORDS],
         f"{Q.brand_match_substring('domain')} AS brand_match",
         f"{Q.known_brand_root('nb_root', 'nb_suffix', lists.NOTEBOOK_ROOTS)} AS known_brand_root",
@@ -272,7 +272,7 @@ _NB_SQL = _with(["domains"], _NB_CTES) + _NB_SELECT
 @register("notebook_features", _NB_SQL)
 def notebook_features(spark, sf):
     out = FT.with_notebook_features(DV.spark_domains(spark, sf), "domain")
-    return _round_entropy(out.drop("domain", "is_ip_address"))
+    return _round_entropy(out.drop("domain"))
 
 
 # ------------------------------------------------------------ V1, V2, P11, S16

@@ -131,6 +131,13 @@ def is_ip(x: str) -> str:
     return f"({is_ipv4(x)} OR coalesce(regexp_matches({x}, '{IPV6_PATTERN}'), false))"
 
 
+def is_ip_strict(x: str) -> str:
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    v4 = rf"^{octet}(?:\.{octet}){{3}}$"
+    return (f"CAST(coalesce(regexp_matches({x}, '{v4}') OR regexp_matches({x}, '{IPV6_STRICT_PATTERN}'), false) "
+            "AS INTEGER)")
+
+
 def has_mixed_script(x: str) -> str:
     return (
         rf"coalesce((regexp_matches({x}, '[a-zA-Z]') AND regexp_matches({x}, '[\x{{400}}-\x{{4FF}}]')) "
