@@ -71,7 +71,13 @@ def gen_domain(key: str, name: str, size: str, dialect: str) -> str:
     )
     tld = _pick(GEN_TLDS, f"{size} % {len(GEN_TLDS)}", dialect)
     sub = _pick(GEN_SUBS, f"{_div(key, 16, dialect)} % {len(GEN_SUBS)}", dialect)
-    return f"({sub} || {core} || '.' || {tld})"
+    text = "STRING" if dialect == "spark" else "VARCHAR"
+    # every 13th key is a dotted quad (some octets above 255); every 11th
+    # core carries an ACE-style 'xn--' prefix
+    quad = (f"CAST({key} % 256 AS {text}) || '.' || CAST({_div(key, 256, dialect)} % 256 AS {text}) "
+            f"|| '.1.' || CAST({key} % 300 AS {text})")
+    ace = f"CASE WHEN {key} % 11 = 7 THEN 'xn--' ELSE '' END"
+    return f"(CASE WHEN {key} % 13 = 5 THEN {quad} ELSE {sub} || {ace} || ({core}) || '.' || {tld} END)"
 
 
 def gen_url(key: str, name: str, size: str, dialect: str) -> str:
@@ -80,7 +86,10 @@ def gen_url(key: str, name: str, size: str, dialect: str) -> str:
     user = f"CASE WHEN {key} % 7 = 3 THEN 'user:pw@' ELSE '' END"
     port = _pick(GEN_PORTS, f"{key} % {len(GEN_PORTS)}", dialect)
     path = _pick(GEN_PATHS, f"{size} % {len(GEN_PATHS)}", dialect)
-    return f"({scheme} || {user} || {gen_domain(key, name, size, dialect)} || {port} || {path})"
+    # every 17th URL is pasted with surrounding blanks
+    lead = f"CASE WHEN {key} % 17 = 2 THEN '  ' ELSE '' END"
+    trail = f"CASE WHEN {key} % 17 = 2 THEN ' ' ELSE '' END"
+    return f"({lead} || {scheme} || {user} || {gen_domain(key, name, size, dialect)} || {port} || {path} || {trail})"
 
 
 def _brand_host(key: str, tld_key: str, dialect: str, extra: str | None = None) -> str:
