@@ -95,8 +95,8 @@ def combine_feeds(feeds: Sequence[DataFrame], notebook: bool = False) -> DataFra
     # P5: rows whose domain is null are dropped by the dedupe itself (the
     # label is never null in a feed); P6 (notebook) drops the empty domain.
     rows = rows.withColumn("domain", d)
-    out = keep_first(rows, "domain", ("source_prio", "pos"), drop_null_key=True)
-    return out.where(F.length("domain") > 0) if notebook else out
+    empty = (F.length("domain") == 0) if notebook else None
+    return keep_first(rows, "domain", ("source_prio", "pos"), drop_null_key=True, drop_if=empty)
 
 
 # ------------------------------------------------------------ S7
