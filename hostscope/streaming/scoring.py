@@ -52,12 +52,16 @@ def start_scoring(spark: SparkSession, source_dir: str, model: PipelineModel | s
     checkpoint = checkpoint or shared_path(spark, "streams", "scoring")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        tagged = batch.withColumn("reason", reject_reason("domain"))
-        if reject_path:
-            write_batch(tagged.where(F.col("reason").isNotNull()), reject_path, batch_id)
-        valid = tagged.where(F.col("reason").isNull()).select("domain")
-        scored = score_domains(valid, model, "domain")
-        write_batch(scan_rows(scored, batch_id), log_path, batch_id)
+        # both sinks read the tagged batch: keep it for the two writes
+        tagged = batch.withColumn("reason", reject_reason("domain")).persist()
+        try:
+            if reject_path:
+                write_batch(tagged.where(F.col("reason").isNotNull()), reject_path, batch_id)
+            valid = tagged.where(F.col("reason").isNull()).select("domain")
+            scored = score_domains(valid, model, "domain")
+            write_batch(scan_rows(scored, batch_id), log_path, batch_id)
+        finally:
+            tagged.unpersist()
 
     w = lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     if trigger_seconds:
