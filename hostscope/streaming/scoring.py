@@ -90,12 +90,24 @@ def running_tld_counts(log: DataFrame) -> DataFrame:
 
 
 def start_stats(spark: SparkSession, log_path: str, sink: str = "memory", name: str = "scan_stats",
-                checkpoint: str | None = None) -> tuple[StreamingQuery, StreamingQuery]:
-    """R2: two complete-mode aggregations over the live log."""
+                checkpoint: str | None = None, out_path: str | None = None,
+                trigger_seconds: int | None = None) -> tuple[StreamingQuery, StreamingQuery]:
+    """R2: two complete-mode aggregations over the live log.
+
+    With ``out_path`` each trigger overwrites ``<out_path>/labels`` and
+    ``<out_path>/tlds`` (tables on shared storage, one row per label / TLD);
+    otherwise results go to ``sink`` (e.g. the in-memory sink for tests)."""
     log = log_stream(spark, log_path)
     cp = checkpoint or shared_path(spark, "streams", "stats")
-    q1 = (running_label_counts(log).writeStream.outputMode("complete").format(sink)
-          .queryName(f"{name}_labels").option("checkpointLocation", cp + "/labels").start())
-    q2 = (running_tld_counts(log).writeStream.outputMode("complete").format(sink)
-          .queryName(f"{name}_tlds").option("checkpointLocation", cp + "/tlds").start())
-    return q1, q2
+    queries = []
+    for part, df in (("labels", running_label_counts(log)), ("tlds", running_tld_counts(log))):
+        w = df.writeStream.outputMode("complete").option("checkpointLocation", f"{cp}/{part}")
+        if trigger_seconds:
+            w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+        if out_path:
+            target = f"{out_path}/{part}"
+            w = w.foreachBatch(lambda batch, _id, target=target: batch.write.mode("overwrite").parquet(target))
+        else:
+            w = w.format(sink).queryName(f"{name}_{part}")
+        queries.append(w.start())
+    return queries[0], queries[1]

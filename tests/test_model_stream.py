@@ -148,3 +148,25 @@ def test_scoring_keeps_a_given_label(spark):
     df = spark.createDataFrame([("google.com", "weird-class")], "domain string, label string")
     r = score_domains(df, model).first()
     assert r["given_label"] == "weird-class" and r["label"] == "legitimate"
+
+
+def test_stats_stream_to_tables(spark, tmp_dir):
+    from hostscope.sources.tables import write_batch
+    from hostscope.streaming.scoring import start_stats
+
+    log = os.path.join(tmp_dir, "log")
+    rows = spark.createDataFrame(
+        [(1, "a.tk", "phishing", 0.9, None, None), (2, "b.tk", "phishing", 0.8, None, None),
+         (3, "c.com", "legitimate", 0.7, None, None)],
+        "id long, domain string, label string, confidence double, ts timestamp, "
+        "features struct<length:int>",
+    ).drop("features")
+    write_batch(rows, log, 0)
+    out = os.path.join(tmp_dir, "stats")
+    q1, q2 = start_stats(spark, log, checkpoint=os.path.join(tmp_dir, "ck"), out_path=out)
+    q1.processAllAvailable()
+    q2.processAllAvailable()
+    q1.stop()
+    q2.stop()
+    assert dict(spark.read.parquet(f"{out}/labels").collect()) == {"phishing": 2, "legitimate": 1}
+    assert [tuple(r)[:2] for r in spark.read.parquet(f"{out}/tlds").collect()] == [("tk", 2)]
