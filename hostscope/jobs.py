@@ -7,6 +7,7 @@ Jobs
   score  --model PATH --input PATH --log PATH [--batch-id N]
   stats  --log PATH [--out PATH]
   stream --model PATH --input DIR --log PATH [--rejects PATH] [--trigger SEC]
+  stream-stats --log PATH --out PATH [--trigger SEC]
 
 All paths are Hadoop paths (shared storage on a cluster).
 """
@@ -73,6 +74,15 @@ def _stream(spark, a) -> dict:
     return {}
 
 
+def _stream_stats(spark, a) -> dict:
+    from hostscope.streaming.scoring import start_stats
+
+    q1, q2 = start_stats(spark, a.log, out_path=a.out, trigger_seconds=a.trigger)
+    q1.awaitTermination()
+    q2.awaitTermination()
+    return {}
+
+
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="hostscope.jobs")
     sub = p.add_subparsers(dest="job", required=True)
@@ -99,9 +109,14 @@ def main(argv=None) -> None:
     sm.add_argument("--log", required=True)
     sm.add_argument("--rejects")
     sm.add_argument("--trigger", type=int)
+    ss = sub.add_parser("stream-stats")
+    ss.add_argument("--log", required=True)
+    ss.add_argument("--out", required=True)
+    ss.add_argument("--trigger", type=int)
     a = p.parse_args(argv)
     spark = get_spark()
-    out = {"train": _train, "score": _score, "stats": _stats, "stream": _stream}[a.job](spark, a)
+    jobs = {"train": _train, "score": _score, "stats": _stats, "stream": _stream, "stream-stats": _stream_stats}
+    out = jobs[a.job](spark, a)
     print(json.dumps(out, default=str))
 
 
