@@ -94,5 +94,20 @@ def aggregate_stats(log: DataFrame) -> dict:
 
 
 def history(log: DataFrame, limit: int = lists.HISTORY_LIMIT) -> list[dict]:
-    """O2 + L4: the latest ``limit`` scans with recomputed indicators."""
-    return [r.asDict(recursive=True) for r in scan_history(log, limit).collect()]
+    """O2 + L4: the latest ``limit`` scans (newest first) in the service's
+    response shape, indicators recomputed; ``confidence_pct`` and
+    ``triggered`` are the display derivations (V3, V4)."""
+    out = []
+    for r in scan_history(log, limit).collect():
+        d = r.asDict(recursive=True)
+        out.append({
+            "domain": d["domain"],
+            "label": d["label"],
+            "confidence": d["confidence"],
+            "timestamp": d["ts"],
+            "features": d.get("features") or {},
+            "additional_indicators": {k: d[k] for k in ("is_ip", "has_mixed_script", "tld_is_risky")},
+            "confidence_pct": d["confidence_pct"],
+            "triggered": d["triggered"],
+        })
+    return out

@@ -48,6 +48,8 @@ def test_single_and_batch_then_stats_and_history(spark, model, tmp_dir):
     assert sum(st["label_counts"].values()) == 3
     hist = api.history(scans, limit=10)
     assert len(hist) == 3 and all("triggered" in h for h in hist)
+    assert set(hist[0]) >= {"domain", "label", "confidence", "timestamp", "features", "additional_indicators"}
+    assert set(hist[0]["additional_indicators"]) == {"is_ip", "has_mixed_script", "tld_is_risky"}
     with pytest.raises(EmptyBatchError):
         api.predict_batch(spark, model, ["dfsdf", "12345"])
     with pytest.raises(EmptyBatchError):
