@@ -32,6 +32,7 @@ def test_score_override_and_roundtrip(spark, tmp_dir):
     df = spark.createDataFrame([("docs.google.com",), ("paypal-secure-update.com",), ("google.com",)], "domain string")
     out = {r["domain"]: r for r in score_domains(df, model).collect()}
     assert out["docs.google.com"]["label"] == "legitimate" and out["docs.google.com"]["confidence"] == 1.0
+    assert out["paypal-secure-update.com"]["label"] == "phishing"  # not overridden, and learnt
     assert out["google.com"]["domain"] == "google.com"
     for r in out.values():
         assert r["label"] in lists.LABELS and 0.0 <= r["confidence"] <= 1.0
