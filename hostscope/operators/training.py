@@ -54,10 +54,14 @@ def row_key(df: DataFrame):
     return F.concat_ws(":", "domain", "label", "src", F.col("copy").cast("string"))
 
 
-def features_with_cache(spark: SparkSession, domains: DataFrame, cache_path: str | None) -> DataFrame:
+def features_with_cache(spark: SparkSession, domains: DataFrame, cache_path: str | None,
+                        distinct: bool = False) -> DataFrame:
     """S8 + J2 + H22 + S9 (L3): features for every domain, extracting only
-    the ones the cache lacks and appending those to it."""
-    uniq = domains.select("domain").distinct()  # D3: once per domain
+    the ones the cache lacks and appending those to it.  ``distinct`` says
+    the domains are already unique (no extra shuffle)."""
+    uniq = domains.select("domain")
+    if not distinct:
+        uniq = uniq.distinct()  # D3: once per domain
     cached = read_feature_cache(spark, cache_path) if cache_path else None
     if cached is None:
         feats = with_host_features(uniq, "domain")
@@ -98,7 +102,7 @@ def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame |
     # rows per domain: the distinct domains for extraction (D3) and the hot
     # keys for a skew-safe J1, from one checkpointed aggregation
     counts = key_counts(balanced, ["domain"]).checkpoint(eager=True)
-    feats = features_with_cache(spark, counts.select("domain"), cache_path)
+    feats = features_with_cache(spark, counts.select("domain"), cache_path, distinct=True)
     hot = hot_keys(counts, ["domain"])
     # J1, then cut the lineage: the split, the fit and both evaluations all
     # read these rows (reliable checkpoint in the shared folder).
