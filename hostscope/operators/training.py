@@ -98,7 +98,8 @@ def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame |
     s = settings or TreeSettings()
     ensure_checkpoint_dir(spark)
     data = build_dataset(spark, labelled, corrections, weighted=weighted)
-    balanced = D.balance_downsample(data, row_key(data))  # A4
+    # A4; written once: the counts and both branches of the join read it
+    balanced = D.balance_downsample(data, row_key(data)).checkpoint(eager=True)
     # rows per domain: the distinct domains for extraction (D3) and the hot
     # keys for a skew-safe J1, from one checkpointed aggregation
     counts = key_counts(balanced, ["domain"]).checkpoint(eager=True)
