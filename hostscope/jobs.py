@@ -24,6 +24,7 @@ from hostscope.operators.model import TreeSettings, load_model, score_domains
 from hostscope.operators.requests import require_valid
 from hostscope.operators.scanlog import class_share, label_counts, top_risky_tlds
 from hostscope.operators.training import train_job
+from hostscope.functions.urls import py_strip
 from hostscope.session import get_spark, input_bytes, size_shuffles
 from hostscope.sources.feeds import read_corrections, read_labelled, resolve_dataset, write_labelled
 from hostscope.sources.tables import append_scans, read_scans
@@ -47,7 +48,7 @@ def _score(spark, a) -> dict:
     size_shuffles(spark, input_bytes(spark, [a.input]))
     model = load_model(a.model)
     lines = spark.read.text(a.input).select(F.col("value").alias("domain"))
-    ok = require_valid(lines)
+    ok = require_valid(lines).select(py_strip("domain").alias("domain"))  # the service strips
     scored = score_domains(ok, model)
     append_scans(scored, a.log, a.batch_id if a.batch_id is not None else int(time.time()))
     return {"log": a.log}

@@ -28,7 +28,7 @@ from hostscope.functions.host import reject_reason
 from hostscope.operators.model import score_domains
 from hostscope.operators.scanlog import raw_tld
 from hostscope.session import shared_path
-from hostscope.functions.urls import js_trim
+from hostscope.functions.urls import js_trim, py_strip
 from hostscope.sources.tables import SCAN_SCHEMA, scan_rows, write_batch
 
 
@@ -57,7 +57,7 @@ def start_scoring(spark: SparkSession, source_dir: str, model: PipelineModel | s
         try:
             if reject_path:
                 write_batch(tagged.where(F.col("reason").isNotNull()), reject_path, batch_id)
-            valid = tagged.where(F.col("reason").isNull()).select("domain")
+            valid = tagged.where(F.col("reason").isNull()).select(py_strip("domain").alias("domain"))
             scored = score_domains(valid, model, "domain")
             write_batch(scan_rows(scored, batch_id), log_path, batch_id)
         finally:
