@@ -86,6 +86,7 @@ def _stream_stats(spark, a) -> dict:
 
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="hostscope.jobs")
+    p.add_argument("--master", help="only when not launched by spark-submit, e.g. local[8]")
     sub = p.add_subparsers(dest="job", required=True)
     t = sub.add_parser("train")
     t.add_argument("--data", required=True)
@@ -115,7 +116,7 @@ def main(argv=None) -> None:
     ss.add_argument("--out", required=True)
     ss.add_argument("--trigger", type=int)
     a = p.parse_args(argv)
-    spark = get_spark()
+    spark = get_spark(a.master)
     jobs = {"train": _train, "score": _score, "stats": _stats, "stream": _stream, "stream-stats": _stream_stats}
     out = jobs[a.job](spark, a)
     print(json.dumps(out, default=str))
