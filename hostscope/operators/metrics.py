@@ -11,7 +11,7 @@ step gathers rows into a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostscope.functions import lists
@@ -114,8 +114,6 @@ def roc_auc(df: DataFrame, y: str = "y", prob: str = "prob", partitions: int | N
         .checkpoint(eager=True)
     )
     part_tot = ranged.groupBy("pid").agg(F.sum("neg").alias("neg_p"), F.min("s").alias("lo"))
-    from pyspark.sql import Window
-
     # offsets: negatives in all lower-valued ranges (tiny: one row per range)
     w_off = Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     offsets = part_tot.select("pid", F.coalesce(F.sum("neg_p").over(w_off), F.lit(0)).alias("off"))

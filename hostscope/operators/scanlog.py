@@ -8,10 +8,11 @@ reports are ``orderBy(...).limit(k)``, which Spark runs as a per-task top-k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostscope.functions import lists
+from hostscope.functions.urls import clean_host
 from hostscope.operators.dataset import label_histogram
 from hostscope.operators.features import with_indicators
 from hostscope.session import ensure_checkpoint_dir
@@ -62,11 +63,7 @@ def raw_tld(domain: Column) -> Column:
 def top_risky_tlds(log: DataFrame, k: int = lists.TOP_TLDS, clean_first: bool = False) -> DataFrame:
     """G3 + O3 + G6: the k most frequent TLDs among phishing rows, ties by
     first appearance (smallest id); ``bar_pct`` scales by the top count."""
-    d = F.col("domain")
-    if clean_first:
-        from hostscope.functions.urls import clean_host
-
-        d = clean_host(d)
+    d = clean_host(F.col("domain")) if clean_first else F.col("domain")
     tlds = (
         log.where(F.col("label") == lists.PHISHING)
         .select(raw_tld(d).alias("tld"), "id")
@@ -76,8 +73,6 @@ def top_risky_tlds(log: DataFrame, k: int = lists.TOP_TLDS, clean_first: bool =
     )
     top = tlds.orderBy(F.desc("count"), F.asc("first_id")).limit(k)
     # k rows at most: the window below runs on that tiny result
-    from pyspark.sql import Window
-
     w = Window.orderBy(F.desc("count"), F.asc("first_id"))
     return top.select(
         F.row_number().over(w).cast("long").alias("rank"),
