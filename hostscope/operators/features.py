@@ -126,6 +126,22 @@ def with_host_features(
     return parts.select(*[F.col(c) for c in base], *extra, *_feature_exprs(d, root, suffix))
 
 
+def with_host_features_distinct(df: DataFrame, domain: str = "domain",
+                                rules: DataFrame | None = None) -> DataFrame:
+    """H22 computed once per distinct ``domain`` and joined back (for
+    tables whose hosts repeat heavily).  The per-domain counts are
+    checkpointed; domains above 0.1 % of the rows join through a bounded
+    broadcast, the rest through a shuffle join.  Rows whose domain is null
+    get null features."""
+    from hostscope.operators.joins import hot_keys, key_counts, split_join
+    from hostscope.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = key_counts(df.where(F.col(domain).isNotNull()), [domain]).checkpoint(eager=True)
+    feats = with_host_features(counts.select(domain), domain, rules)
+    return split_join(df, feats, [domain], hot_keys(counts, [domain]))
+
+
 def with_indicators(df: DataFrame, domain: ColumnOrName = "domain", rules: DataFrame | None = None) -> DataFrame:
     """``is_ip``, ``has_mixed_script``, ``tld_is_risky`` (booleans)."""
     base = list(df.columns)

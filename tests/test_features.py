@@ -155,3 +155,13 @@ def test_split_matches_bundled_matcher(spark):
         assert mine == matcher.getDomainRoot(h, icann), h
         checked += 1
     assert checked > 1000
+
+
+def test_distinct_first_features_match_per_row(spark):
+    from hostscope.operators.features import with_host_features_distinct
+
+    rows = [("google.com",)] * 400 + [(h,) for h in TRICKY if h] + [("paypal-login.tk",)] * 50
+    df = spark.createDataFrame(rows, "domain string")
+    a = sorted(tuple(r) for r in with_host_features(df, "domain").collect())
+    b = sorted(tuple(r) for r in with_host_features_distinct(df, "domain").select(*with_host_features(df, "domain").columns).collect())
+    assert a == b
