@@ -150,7 +150,8 @@ def _train_notebook(spark: SparkSession, labelled: DataFrame, model_path: str |
     ensure_checkpoint_dir(spark)
     data = labelled.select("domain", "label")
     key = F.concat_ws(":", "domain", "label")
-    balanced = D.balance_downsample(data, key, only_shrink=lists.LEGITIMATE)  # A4 (notebook)
+    # A4 (notebook); written once: the counts and both join branches read it
+    balanced = D.balance_downsample(data, key, only_shrink=lists.LEGITIMATE).checkpoint(eager=True)
     counts = key_counts(balanced, ["domain"]).checkpoint(eager=True)
     feats = with_notebook_features(counts.select("domain"), "domain")
     rows = split_join(balanced, feats, ["domain"], hot_keys(counts, ["domain"])).checkpoint(eager=True)
