@@ -129,3 +129,21 @@ def test_size_shuffles(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", old)
+
+
+def test_batch_ids_unique_and_replay_safe(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from hostscope.sources.tables import batch_ids, write_batch
+
+    path = f"{tmp_dir}/t"
+    df = spark.range(0, 5000, numPartitions=7).select(F.col("id").alias("v"))
+    write_batch(df.select("v", batch_ids(3).alias("id")), path, 3)
+    write_batch(df.select("v", batch_ids(4).alias("id")), path, 4)
+    write_batch(df.select("v", batch_ids(4).alias("id")), path, 4)  # replay of batch 4
+    out = spark.read.parquet(path)
+    assert out.count() == 10000
+    assert out.select("id").distinct().count() == 10000
+    b3 = out.where("batch_id = 3").agg(F.max("id")).first()[0]
+    b4 = out.where("batch_id = 4").agg(F.min("id")).first()[0]
+    assert b3 < b4
