@@ -49,8 +49,10 @@ def _with_pos(df: DataFrame, prio: int) -> DataFrame:
 
 
 def read_text_feed(spark: SparkSession, path: str, prio: int = 1, notebook: bool = False) -> DataFrame:
-    """Headerless one-URL-per-line feed -> domain, label=phishing."""
-    df = _with_pos(spark.read.text(path).withColumnRenamed("value", "url"), prio)
+    """Headerless one-URL-per-line feed -> domain, label=phishing.
+    Read as a one-column CSV, as the source does: quotes are removed and
+    blank lines skipped."""
+    df = _with_pos(spark.read.schema("url STRING").csv(path), prio)
     host = netloc_notebook("url") if notebook else netloc_app("url")
     return df.select(host.alias("domain"), F.lit(lists.PHISHING).alias("label"), "source_prio", "pos")
 

@@ -147,3 +147,9 @@ def test_batch_ids_unique_and_replay_safe(spark, tmp_dir):
     b3 = out.where("batch_id = 3").agg(F.max("id")).first()[0]
     b4 = out.where("batch_id = 4").agg(F.min("id")).first()[0]
     assert b3 < b4
+
+
+def test_text_feed_reads_like_csv(spark, tmp_dir):
+    _write(f"{tmp_dir}/feed.txt", 'http://a.tk/x\n\n"https://www.b.xyz/login"\nhttp://c.top\n')
+    got = [r["domain"] for r in feeds.read_text_feed(spark, f"{tmp_dir}/feed.txt").orderBy("pos").collect()]
+    assert got == ["a.tk", "b.xyz", "c.top"]
