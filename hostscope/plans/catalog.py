@@ -487,7 +487,8 @@ def feature_join(spark, sf):
     from hostscope.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    data = _dataset(spark, sf)
+    # written once: the counts and both branches of the join read it
+    data = _dataset(spark, sf).checkpoint(eager=True)
     # D3: features once per domain; the per-domain counts also name the hot
     # domains, which J1 serves from a broadcast of their feature rows
     counts = key_counts(data, ["domain"]).checkpoint(eager=True)
