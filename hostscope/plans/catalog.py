@@ -768,3 +768,29 @@ def union_weighted(spark, sf):
     curated = D.as_weighted(_curated(spark))
     corr = D.keep_last(DV.spark_corrections(spark, sf), "domain", ("ts", "id")).select("domain", "label")
     return D.union_all([base, curated, D.as_weighted(corr)]).select("domain", "label", "weight")
+
+
+# ------------------------------------------------------------ variants
+
+
+@register(
+    "top_risky_tlds_clean",
+    _with(["scans"], [
+        ("t", f"SELECT lower(string_split(h, '.')[-1]) AS tld, id FROM (SELECT {Q.clean_host('domain')} AS h, id, "
+              "label FROM scans) WHERE label = 'phishing' AND contains(h, '.')"),
+        ("g", "SELECT tld, count(*) AS cnt, min(id) AS first_id FROM t GROUP BY tld"),
+        ("top", f"SELECT * FROM g ORDER BY cnt DESC, first_id ASC LIMIT {lists.TOP_TLDS}"),
+    ])
+    + "SELECT row_number() OVER (ORDER BY cnt DESC, first_id ASC) AS rank, tld, cnt::BIGINT AS count, "
+    "floor(cnt / max(cnt) OVER () * 100.0 + 0.5)::BIGINT AS bar_pct FROM top",
+)
+def top_risky_tlds_clean(spark, sf):
+    """G3 variant: TLDs of the cleaned host instead of the raw stored text."""
+    return S.top_risky_tlds(DV.spark_scans(spark, sf), clean_first=True)
+
+
+@register("host_features_distinct", HP + f"SELECT src, uid, {_feature_sql()} FROM hp")
+def host_features_distinct(spark, sf):
+    """H22 once per distinct URL, joined back through the skew-safe split join."""
+    out = FT.with_host_features_distinct(DV.spark_urls(spark, sf), "url")
+    return _round_entropy(out.select("src", "uid", *FT.FEATURE_COLUMNS))
