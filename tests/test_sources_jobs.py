@@ -153,3 +153,12 @@ def test_text_feed_reads_like_csv(spark, tmp_dir):
     _write(f"{tmp_dir}/feed.txt", 'http://a.tk/x\n\n"https://www.b.xyz/login"\nhttp://c.top\n')
     got = [r["domain"] for r in feeds.read_text_feed(spark, f"{tmp_dir}/feed.txt").orderBy("pos").collect()]
     assert got == ["a.tk", "b.xyz", "c.top"]
+
+
+def test_shared_paths_live_under_checkpoint_dir(spark):
+    from hostscope.session import ensure_checkpoint_dir, shared_path
+
+    base = ensure_checkpoint_dir(spark)
+    assert base and spark.sparkContext.getCheckpointDir()
+    a, b = shared_path(spark, "streams", "x"), shared_path(spark, "streams", "x")
+    assert a.startswith(base) and b.startswith(base) and a != b
