@@ -109,3 +109,27 @@ def scan_history(log: DataFrame, limit: int = lists.HISTORY_LIMIT, rules: DataFr
         half_up_pct(F.col("confidence")).alias("confidence_pct"),
         triggered_indicators().alias("triggered"),
     )
+
+
+def stats_document(log: DataFrame, k: int = lists.TOP_TLDS) -> DataFrame:
+    """G4 as one row: ``total_scanned``, ``label_counts`` (map label -> n,
+    both classes present) and ``top_risky_tlds`` (array of {tld, count} in
+    rank order).  The three parts are bounded (one row, #labels, k rows);
+    they are stacked and folded by one tiny aggregation -- no cross join."""
+    counts_t = "map<string,bigint>"
+    top_t = "array<struct<tld:string,count:bigint>>"
+    total = scan_stats(log).select(
+        F.col("total_scanned"), F.lit(None).cast(counts_t).alias("label_counts"),
+        F.lit(None).cast(top_t).alias("top_risky_tlds"))
+    labels = label_counts(log).agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("label_counts")
+    ).select(F.lit(None).cast("bigint").alias("total_scanned"), "label_counts",
+             F.lit(None).cast(top_t).alias("top_risky_tlds"))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "tld", "count")))
+    top = top_risky_tlds(log, k).agg(
+        F.transform(ranked, lambda x: F.struct(x["tld"].alias("tld"), x["count"].alias("count"))).alias("t")
+    ).select(F.lit(None).cast("bigint").alias("total_scanned"), F.lit(None).cast(counts_t).alias("label_counts"),
+             F.coalesce(F.col("t"), F.array().cast(top_t)).alias("top_risky_tlds"))
+    both = total.unionByName(labels).unionByName(top)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c)
+                      for c in ("total_scanned", "label_counts", "top_risky_tlds")])

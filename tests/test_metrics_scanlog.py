@@ -105,3 +105,18 @@ def test_top_tld_ties_first_seen_and_raw_domain(spark):
     assert [r["tld"] for r in top] == ["xyz", "top", "tk/login", "cc", "ml"]
     clean = S.top_risky_tlds(_log(spark, rows), clean_first=True).collect()
     assert "tk" in [r["tld"] for r in clean]
+
+
+def test_stats_document(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    log = _log(spark, [(1, "legit1.com", "legitimate", 0.95, t), (2, "phish1.tk", "phishing", 0.88, t),
+                       (3, "phish2.tk", "phishing", 0.92, t)])
+    r = S.stats_document(log).first()
+    assert r["total_scanned"] == 3
+    assert r["label_counts"] == {"legitimate": 1, "phishing": 2}
+    assert [(x["tld"], x["count"]) for x in r["top_risky_tlds"]] == [("tk", 2)]
+    e = S.stats_document(_log(spark, [])).first()
+    assert e["total_scanned"] == 0 and e["label_counts"] == {"legitimate": 0, "phishing": 0}
+    assert e["top_risky_tlds"] == []
