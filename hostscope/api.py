@@ -15,7 +15,7 @@ from hostscope.functions.host import valid_client, valid_server
 from hostscope.operators.features import with_host_features, with_indicators
 from hostscope.operators.model import score_domains
 from hostscope.operators.requests import require_valid
-from hostscope.operators.scanlog import label_counts, scan_history, scan_stats, top_risky_tlds
+from hostscope.operators.scanlog import scan_history, stats_document
 from hostscope.sources.tables import append_corrections, append_scans
 
 
@@ -86,11 +86,13 @@ def report_mistake(spark: SparkSession, path: str, domain: str, corrected_label:
 
 def aggregate_stats(log: DataFrame) -> dict:
     """Total, per-label counts (both classes present) and the top
-    risky TLDs -- bounded results (labels, k rows) read on the driver."""
-    total = scan_stats(log).first()["total_scanned"]
-    counts = {r["label"]: r["n"] for r in label_counts(log).collect()}
-    top = [{"tld": r["tld"], "count": r["count"]} for r in top_risky_tlds(log, lists.TOP_TLDS).collect()]
-    return {"total_scanned": total, "label_counts": counts, "top_risky_tlds": top}
+    risky TLDs, read from the one-row stats document (one action)."""
+    r = stats_document(log, lists.TOP_TLDS).first()
+    return {
+        "total_scanned": r["total_scanned"],
+        "label_counts": dict(r["label_counts"]),
+        "top_risky_tlds": [{"tld": x["tld"], "count": x["count"]} for x in r["top_risky_tlds"]],
+    }
 
 
 def history(log: DataFrame, limit: int = lists.HISTORY_LIMIT) -> list[dict]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hostscope.operators.model import TreeSettings, load_model, score_domains
 from hostscope.operators.requests import require_valid
-from hostscope.operators.scanlog import class_share, label_counts, top_risky_tlds
+from hostscope.operators.scanlog import class_share, stats_document
 from hostscope.operators.training import train_job
 from hostscope.functions.urls import py_strip
 from hostscope.session import get_spark, input_bytes, size_shuffles
@@ -57,10 +57,11 @@ def _score(spark, a) -> dict:
 def _stats(spark, a) -> dict:
     size_shuffles(spark, input_bytes(spark, [a.log]))
     log = read_scans(spark, a.log, ["id", "domain", "label"])
+    doc = stats_document(log).first()
     out = {
         "share": class_share(log).first().asDict(),
-        "labels": {r["label"]: r["n"] for r in label_counts(log).collect()},
-        "top_risky_tlds": [r.asDict() for r in top_risky_tlds(log).collect()],
+        "labels": dict(doc["label_counts"]),
+        "top_risky_tlds": [x.asDict() for x in doc["top_risky_tlds"]],
     }
     if a.out:
         spark.createDataFrame([(json.dumps(out, default=str),)], "stats string").write.mode("overwrite").text(a.out)
