@@ -64,7 +64,7 @@ def _hosts(spark, sf):
     return FT.with_host_parts(DV.spark_urls(spark, sf), "url")
 
 
-def _host_sql(names: list[str] | None = None) -> list[tuple[str, str]]:
+def _host_sql() -> list[tuple[str, str]]:
     rules = Q.rules_cte()
     return [
         rules,
