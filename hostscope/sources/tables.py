@@ -96,3 +96,55 @@ def append_corrections(reports: DataFrame, path: str, batch_id: int) -> DataFram
     )
     write_batch(good, path, batch_id)
     return reports.where(~ok | ok.isNull())
+
+
+# ------------------------------------------------------------ service database
+
+SERVICE_SCANS = "domain_scans"
+SERVICE_REPORTS = "reported_mistakes"
+
+
+def scans_from_service(df: DataFrame) -> DataFrame:
+    """The service's scan table (id, domain, label, confidence, timestamp,
+    features_json) in this library's log layout: ``ts`` and a typed
+    ``features`` struct parsed from the JSON text."""
+    return df.select(
+        F.col("id").cast("long").alias("id"),
+        F.col("domain").cast("string").alias("domain"),
+        F.col("label").cast("string").alias("label"),
+        F.col("confidence").cast("double").alias("confidence"),
+        F.col("timestamp").cast("timestamp").alias("ts"),
+        F.from_json(F.col("features_json").cast("string"), FEATURE_STRUCT).alias("features"),
+    )
+
+
+def reports_from_service(df: DataFrame) -> DataFrame:
+    """The service's corrections table in this library's layout."""
+    return df.select(
+        F.col("id").cast("long").alias("id"),
+        F.col("domain").cast("string").alias("domain"),
+        F.col("corrected_label").cast("string").alias("corrected_label"),
+        F.col("timestamp").cast("timestamp").alias("ts"),
+    )
+
+
+def read_service_table(spark: SparkSession, url: str, table: str, properties: dict | None = None,
+                       partitions: int = 64) -> DataFrame:
+    """A service table over JDBC, read in ``partitions`` parallel ranges of
+    ``id`` (bounds from one MIN/MAX query).  Needs the database's JDBC driver
+    on the classpath."""
+    props = dict(properties or {})
+    bounds = spark.read.jdbc(url, f"(SELECT MIN(id) AS lo, MAX(id) AS hi FROM {table}) b", properties=props).first()
+    if bounds is None or bounds["lo"] is None:
+        return spark.read.jdbc(url, table, properties=props)
+    return spark.read.jdbc(url, table, column="id", lowerBound=int(bounds["lo"]),
+                           upperBound=int(bounds["hi"]) + 1, numPartitions=partitions, properties=props)
+
+
+def import_service_log(spark: SparkSession, url: str, log_path: str, reports_path: str,
+                       properties: dict | None = None, batch_id: int = 0) -> None:
+    """Copy the service's scan log and corrections into the Parquet tables
+    (one batch partition each, rewritten on a re-run)."""
+    write_batch(scans_from_service(read_service_table(spark, url, SERVICE_SCANS, properties)), log_path, batch_id)
+    write_batch(reports_from_service(read_service_table(spark, url, SERVICE_REPORTS, properties)),
+                reports_path, batch_id)

@@ -162,3 +162,21 @@ def test_shared_paths_live_under_checkpoint_dir(spark):
     assert base and spark.sparkContext.getCheckpointDir()
     a, b = shared_path(spark, "streams", "x"), shared_path(spark, "streams", "x")
     assert a.startswith(base) and b.startswith(base) and a != b
+
+
+def test_service_tables_convert(spark):
+    from hostscope.operators.scanlog import scan_history
+    from hostscope.sources.tables import reports_from_service, scans_from_service
+
+    scans = spark.createDataFrame(
+        [(1, "legit1.com", "legitimate", 0.95, "2024-01-01 10:00:00", '{"length": 10, "tld": "com", "entropy": 2.5}'),
+         (2, "phish1.tk", "phishing", 0.88, "2024-01-01 11:00:00", "{}")],
+        "id int, domain string, label string, confidence float, timestamp string, features_json string")
+    log = scans_from_service(scans)
+    rows = {r["id"]: r for r in log.collect()}
+    assert rows[1]["features"]["length"] == 10 and rows[1]["features"]["tld"] == "com"
+    assert rows[2]["features"]["length"] is None
+    assert [r["id"] for r in scan_history(log, 10).collect()] == [2, 1]
+    reps = reports_from_service(spark.createDataFrame(
+        [(7, "x.tk", "phishing", "2024-01-02 00:00:00")], "id int, domain string, corrected_label string, timestamp string"))
+    assert reps.columns == ["id", "domain", "corrected_label", "ts"]
