@@ -8,6 +8,7 @@ Jobs
   stats  --log PATH [--out PATH]
   stream --model PATH --input DIR --log PATH [--rejects PATH] [--trigger SEC]
   stream-stats --log PATH --out PATH [--trigger SEC]
+  import-service --url JDBC_URL --log PATH --reports PATH [--user U --password P --driver CLASS]
 
 All paths are Hadoop paths (shared storage on a cluster).
 """
@@ -85,6 +86,16 @@ def _stream_stats(spark, a) -> dict:
     return {}
 
 
+def _import_service(spark, a) -> dict:
+    from hostscope.sources.tables import import_service_log
+
+    props = {"user": a.user, "password": a.password} if a.user else {}
+    if a.driver:
+        props["driver"] = a.driver
+    import_service_log(spark, a.url, a.log, a.reports, props, a.batch_id)
+    return {"log": a.log, "reports": a.reports}
+
+
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="hostscope.jobs")
     p.add_argument("--master", help="only when not launched by spark-submit, e.g. local[8]")
@@ -112,13 +123,22 @@ def main(argv=None) -> None:
     sm.add_argument("--log", required=True)
     sm.add_argument("--rejects")
     sm.add_argument("--trigger", type=int)
+    im = sub.add_parser("import-service")
+    im.add_argument("--url", required=True, help="JDBC url of the service database")
+    im.add_argument("--log", required=True)
+    im.add_argument("--reports", required=True)
+    im.add_argument("--user")
+    im.add_argument("--password")
+    im.add_argument("--driver")
+    im.add_argument("--batch-id", type=int, default=0, dest="batch_id")
     ss = sub.add_parser("stream-stats")
     ss.add_argument("--log", required=True)
     ss.add_argument("--out", required=True)
     ss.add_argument("--trigger", type=int)
     a = p.parse_args(argv)
     spark = get_spark(a.master)
-    jobs = {"train": _train, "score": _score, "stats": _stats, "stream": _stream, "stream-stats": _stream_stats}
+    jobs = {"train": _train, "score": _score, "stats": _stats, "stream": _stream, "stream-stats": _stream_stats,
+            "import-service": _import_service}
     out = jobs[a.job](spark, a)
     print(json.dumps(out, default=str))
 
