@@ -66,8 +66,3 @@ def py_digit_class() -> str:
 
 def js_space_class() -> str:
     return java_class(list(JS_SPACE_POINTS))
-
-
-def re2_class(codepoints) -> str:
-    """Same class in RE2 syntax (DuckDB)."""
-    return java_class(list(codepoints))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from hostscope.functions import lists
 from hostscope.functions.urls import js_trim, netloc_app, netloc_notebook, py_strip
-from hostscope.operators.dataset import keep_first, keep_last, union_all
+from hostscope.operators.dataset import keep_first, keep_last, union_all, unique_by
 
 LABELLED_SCHEMA = "domain string, label string"
 
@@ -141,7 +141,7 @@ def read_feature_cache(spark: SparkSession, path: str | Sequence[str],
     df = spark.read.parquet(found)
     if not set(required) <= set(df.columns):
         return None
-    return df.dropDuplicates(["domain"])
+    return unique_by(df, "domain")  # D4
 
 
 def append_feature_cache(features: DataFrame, path: str) -> None:
