@@ -7,11 +7,11 @@ So hot keys are split out explicitly:
 
 * ``key_counts`` counts rows per key (partial aggregation before the
   shuffle, and the distinct keys come for free);
-* ``hot_keys`` returns the keys holding more than ``share`` of all rows --
-  at most ``1 / share`` keys can, so the list is bounded;
+* ``hot_keys`` returns the heaviest keys above min(0.1 % of all rows,
+  5 x the average rows per shuffle partition), at most 10,000 of them;
 * ``split_join`` joins rows of hot keys against a broadcast of the
-  one-row-per-key side restricted to those keys (at most ``1 / share``
-  rows: a proven bound) and all other rows through the ordinary shuffle join.
+  one-row-per-key side restricted to those keys (at most 10,000 rows: a
+  proven bound) and all other rows through the ordinary shuffle join.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001  # a key is hot above 0.1 % of all rows -> at most 1,000 hot keys
+HOT_SHARE = 0.001      # above 0.1 % of all rows a key is always hot
+SKEW_FACTOR = 5.0      # ... and above 5x the average rows of a shuffle partition
+MAX_HOT_KEYS = 10_000  # broadcast bound: the heaviest 10,000 keys at most
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,15 +32,18 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], share: float = HOT_SHARE,
-             total: int | None = None) -> list[tuple]:
-    """Keys whose row count exceeds ``share`` of the total (bounded list).
-    ``counts`` is read twice when ``total`` is not given: pass a
+             total: int | None = None, partitions: int | None = None,
+             max_keys: int = MAX_HOT_KEYS) -> list[tuple]:
+    """The heaviest keys (at most ``max_keys``) whose row count exceeds
+    min(``share`` of all rows, ``SKEW_FACTOR`` x the average rows per shuffle
+    partition).  ``counts`` is read twice when ``total`` is not given: pass a
     checkpointed relation."""
     if total is None:
         total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = int(1 / share) + 1
-    threshold = total * share
-    rows = counts.where(F.col("n") > F.lit(threshold)).orderBy(F.desc("n")).limit(limit).collect()
+    if partitions is None:
+        partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    threshold = min(total * share, SKEW_FACTOR * total / max(partitions, 1))
+    rows = counts.where(F.col("n") > F.lit(threshold)).orderBy(F.desc("n")).limit(max_keys).collect()
     return [tuple(r[k] for k in keys) for r in rows]
 
 
