@@ -794,3 +794,17 @@ def host_features_distinct(spark, sf):
     """H22 once per distinct URL, joined back through the skew-safe split join."""
     out = FT.with_host_features_distinct(DV.spark_urls(spark, sf), "url")
     return _round_entropy(out.select("src", "uid", *FT.FEATURE_COLUMNS))
+
+
+@register(
+    "batch_lines_valid",
+    "SELECT doc_id, line_no, " + Q.valid_client("line") + " AS valid_client, " + Q.valid_server("line")
+    + " AS valid_server FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, "
+    f"{Q.js_trim('unnest(string_split(text, chr(10)))')} AS line FROM documents) WHERE length(line) > 0",
+)
+def batch_lines_valid(spark, sf):
+    """S16 -> V2 -> V1: every pasted line of every document, checked by the
+    browser rule and the server rule (multilingual text)."""
+    lines = batch_lines(DV.table(spark, sf, "documents"), "doc_id", "text")
+    return lines.select("doc_id", "line_no", H.valid_client("line").alias("valid_client"),
+                        H.valid_server("line").alias("valid_server"))
