@@ -55,3 +55,16 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_has_oracle_or_is_model_backed():
     q, o = _e.queries(), _e.oracle_sql()
     assert set(q) - set(o) == {"score_domains", "feature_importance"}
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+
+    env = dict(os.environ, BENCH_SF_DIR=SF, BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(ROOT, "bench.py"), "scan_stats", "host_clean"],
+                         capture_output=True, text=True, env=env, timeout=600, cwd=ROOT)
+    lines = [x for x in out.stdout.splitlines() if x.strip()]
+    assert len(lines) == 1, out.stdout
+    d = json.loads(lines[0])
+    assert d["unit"] == "sec" and set(d["queries"]) == {"scan_stats", "host_clean"} and "errors" not in d
