@@ -121,8 +121,10 @@ def _ipv6_pattern() -> str:
 
 
 IPV6_PATTERN = _ipv6_pattern()
-# Address literal only: optional zone id, nothing around it.
-IPV6_STRICT_PATTERN = IPV6_PATTERN.replace(r"(?:%.+)?\s*$", r"(?:%[^%]+)?$")
+# Address literal only: optional zone id, nothing around it.  Patterns that
+# must end at the very end of the text use \z: Java's $ also matches before
+# a final line terminator (\n, \r, U+0085, U+2028, U+2029).
+IPV6_STRICT_PATTERN = IPV6_PATTERN.replace(r"(?:%.+)?\s*$", r"(?:%[^%]+)?\z")
 
 
 def is_ip(d: ColumnOrName) -> Column:
@@ -139,7 +141,7 @@ def is_ip_strict(d: ColumnOrName) -> Column:
     """
     c = _col(d)
     octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    v4 = rf"^{octet}(?:\.{octet}){{3}}$"
+    v4 = rf"^{octet}(?:\.{octet}){{3}}\z"
     return F.coalesce(c.rlike(v4) | c.rlike(IPV6_STRICT_PATTERN), F.lit(False)).cast("int")
 
 
@@ -168,7 +170,7 @@ def valid_server(raw: ColumnOrName) -> Column:
     shaped = (
         d.contains(".")
         & (F.length(tld) >= lists.MIN_TLD_LENGTH)
-        & tld.rlike(r"^[\p{L}\p{N}]+$")
+        & tld.rlike(r"^[\p{L}\p{N}]+\z")
         & (F.length(F.replace(before, F.lit("."), F.lit(""))) > 0)
     )
     ok = (
@@ -189,7 +191,7 @@ def valid_client(raw: ColumnOrName) -> Column:
     d = F.regexp_replace(s, "(?i)" + lists.HTTP_PREFIX_RE, "")
     d = F.substring_index(F.substring_index(d, "/", 1), ":", 1)
     octet = lists.CLIENT_IPV4_OCTET_RE
-    v4 = rf"^({octet}\.){{3}}{octet}$"
+    v4 = rf"^({octet}\.){{3}}{octet}\z"
     tld = F.substring_index(d, ".", -1)
     # JavaScript string length counts UTF-16 units.
     tld_len = F.length(tld) + F.regexp_count(tld, F.lit(r"[\x{10000}-\x{10FFFF}]"))
@@ -199,7 +201,7 @@ def valid_client(raw: ColumnOrName) -> Column:
         & (last_dot > 1)
         & (last_dot < F.length(d))
         & (tld_len >= lists.MIN_TLD_LENGTH)
-        & tld.rlike(r"^\p{L}+$")
+        & tld.rlike(r"^\p{L}+\z")
     )
     ok = (
         F.when(r.isNull() | (F.length(r) == 0), False)

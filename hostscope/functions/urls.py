@@ -50,9 +50,10 @@ def bracketed_netloc_re() -> tuple[str, str]:
     before the first ':'."""
     from hostscope.functions.host import IPV6_STRICT_PATTERN
 
-    v6 = IPV6_STRICT_PATTERN[1:-1].replace("(?:%[^%]+)?", r"(?:%[^%\]]+)?")
+    assert IPV6_STRICT_PATTERN.startswith("^") and IPV6_STRICT_PATTERN.endswith(r"\z")
+    v6 = IPV6_STRICT_PATTERN[1:-2].replace("(?:%[^%]+)?", r"(?:%[^%\]]+)?")
     future = r"v[a-fA-F0-9]+\.[^\]]+"
-    return rf"^\[(?:{v6}|{future})\](?::.*)?$", r"^v[a-fA-F0-9]+\.[^:]+(?::.*)?$"
+    return rf"^\[(?:{v6}|{future})\](?::.*)?\z", r"^v[a-fA-F0-9]+\.[^:]+(?::.*)?\z"
 
 
 def _bracketed_ok(net: Column) -> Column:

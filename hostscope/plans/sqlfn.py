@@ -133,7 +133,7 @@ def is_ip(x: str) -> str:
 
 def is_ip_strict(x: str) -> str:
     octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    v4 = rf"^{octet}(?:\.{octet}){{3}}$"
+    v4 = rf"^{octet}(?:\.{octet}){{3}}\z"
     return (f"CAST(coalesce(regexp_matches({x}, '{v4}') OR regexp_matches({x}, '{IPV6_STRICT_PATTERN}'), false) "
             "AS INTEGER)")
 
@@ -186,7 +186,7 @@ def valid_server(x: str) -> str:
     tld = f"string_split({d}, '.')[-1]"
     before = rf"regexp_replace({d}, '\.[^.]*$', '')"
     shaped = (
-        f"(contains({d}, '.') AND length({tld}) >= 2 AND regexp_matches({tld}, '^[\\p{{L}}\\p{{N}}]+$') "
+        f"(contains({d}, '.') AND length({tld}) >= 2 AND regexp_matches({tld}, '^[\\p{{L}}\\p{{N}}]+\\z') "
         f"AND length(replace({before}, '.', '')) > 0)"
     )
     return (
@@ -201,13 +201,13 @@ def valid_client(x: str) -> str:
     s = js_trim(x)
     d = f"split_part(split_part(regexp_replace({s}, '(?i)^https?://', ''), '/', 1), ':', 1)"
     octet = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-    v4 = rf"^({octet}\.){{3}}{octet}$"
+    v4 = rf"^({octet}\.){{3}}{octet}\z"
     tld = f"string_split({d}, '.')[-1]"
     tld_len = rf"(length({tld}) + length({tld}) - length(regexp_replace({tld}, '[\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
     last_dot = f"(length({d}) - length({tld}))"
     shaped = (
         f"(contains({d}, '.') AND {last_dot} > 1 AND {last_dot} < length({d}) AND {tld_len} >= 2 "
-        f"AND regexp_matches({tld}, '^\\p{{L}}+$'))"
+        f"AND regexp_matches({tld}, '^\\p{{L}}+\\z'))"
     )
     return (
         f"coalesce(CASE WHEN ({x}) IS NULL OR length({x}) = 0 THEN false "
