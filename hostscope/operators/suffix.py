@@ -52,6 +52,12 @@ def lenient_host(host: ColumnOrName) -> Column:
     return F.translate(h, "。．｡", "...")
 
 
+def _rule_depth(rules: DataFrame) -> int | None:
+    """Labels of the longest suffix the rule table can produce."""
+    labels = F.size(F.split("key", r"\.")) + F.col("is_wild_parent").cast("int")
+    return rules.agg(F.max(labels)).first()[0]
+
+
 def split_registered(
     df: DataFrame,
     host: ColumnOrName,
@@ -71,7 +77,8 @@ def split_registered(
         # A caller-supplied table is broadcast only when its size is proven
         # small; otherwise the joins fall back to shuffle joins.
         can_broadcast = rules.limit(MAX_RULES + 1).count() <= MAX_RULES
-    k_max = max_labels or 4
+        max_labels = max_labels or _rule_depth(rules)
+    k_max = max_labels or 1
 
     tmp = "__sfx"
     h = lenient_host(host)

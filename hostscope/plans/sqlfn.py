@@ -223,12 +223,20 @@ def js_trim(x: str) -> str:
 # ------------------------------------------------------------ suffix split
 
 
+RULES = "{{suffix rules}}"  # stands for the rule rows until ``fill_rules``
+
+
 def rules_cte() -> tuple[str, str]:
+    return "psl_rules", f"SELECT * FROM (VALUES {RULES}) AS t(key, is_exact, is_wild_parent, is_exception)"
+
+
+def fill_rules(sql: dict[str, str]) -> dict[str, str]:
+    """The oracle texts with the suffix rules written out."""
     rows = suffix_rule_rows()
     vals = ",".join(
         f"({q(k)},{str(e).lower()},{str(w).lower()},{str(x).lower()})" for k, e, w, x in rows
     )
-    return "psl_rules", f"SELECT * FROM (VALUES {vals}) AS t(key, is_exact, is_wild_parent, is_exception)"
+    return {name: text.replace(RULES, vals) for name, text in sql.items()}
 
 
 def lenient_host(x: str) -> str:

@@ -2,9 +2,10 @@
 
 The list is a fixed reference file of a few thousand lines; it is parsed once
 on the driver into ``rules(key, is_exact, is_wild_parent, is_exception)``.
-By default the ICANN section of the copy that ships inside Spark's
-``httpclient`` jar is used; pass ``path`` to use another snapshot (the file may
-be on any Hadoop-readable path: it is read with ``spark.read.text``).
+By default the ICANN section of the snapshot in ``hostscope/data`` is used (the
+list is published under the MPL 2.0; the notice is in the file's head); pass
+``path`` to use another snapshot (the file may be on any Hadoop-readable path:
+it is read with ``spark.read.text``).
 
 Each multi-label rule is also keyed in every mix of Unicode / punycode label
 forms, so hosts written either way find their suffix without decoding.
@@ -12,11 +13,10 @@ forms, so hosts written either way find their suffix without decoding.
 
 from __future__ import annotations
 
-import glob
 import itertools
 import os
-import zipfile
 from functools import lru_cache
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -37,14 +37,7 @@ RULE_SCHEMA = T.StructType(
 
 
 def _bundled_text() -> str:
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for jar in sorted(glob.glob(os.path.join(jars, "httpclient-*.jar"))):
-        with zipfile.ZipFile(jar) as z:
-            if "mozilla/public-suffix-list.txt" in z.namelist():
-                return z.read("mozilla/public-suffix-list.txt").decode("utf-8")
-    raise FileNotFoundError("no public-suffix-list.txt in the Spark jars")
+    return resources.files("hostscope").joinpath("data", "public_suffix_list.dat").read_text("utf-8")
 
 
 def icann_rules(text: str, include_private: bool = False) -> list[str]:
