@@ -37,6 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000  # ids and other few-column rows: some tens of MB
+
+
+def joinable(side: DataFrame, name: str) -> DataFrame:
+    """A stored side of a join with whole texts: broadcast if it has at most
+    ``BROADCAST_ROWS`` rows, so that texts are not shuffled; else as it is, for a
+    shuffled join."""
+    side = stored(side, name)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def python_ready(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it (on a
     cluster it is installed, and this adds nothing), and hand them texts in

@@ -179,6 +179,7 @@ def mix_documents(docs: DataFrame, cap: int = 3, weights: tuple[float, ...] = (5
         F.first("copies").alias("copies"))
     plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                        F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    plan = C.joinable(plan, "plan")
     # the word count is part of the key: rows that share an id stay apart
     sized = docs.withColumn("__words", C.word_count(F.col("text").cast("string")))
     return (

@@ -357,7 +357,7 @@ def ngram_components(
         pairs = C.stored(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
         wanted = ends.join(classes, "class").select("class", F.col("rep").alias("doc_id"))
-        items = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        items = texts.join(C.joinable(wanted.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi")
         items = items.mapInArrow(_emit_sets(width), "class long, items binary")
         items = C.stored(items.join(ends, "class", "left_semi").dropDuplicates(["class"]), "items")
         x = items.select(F.col("class").alias("a"), F.col("items").alias("x"))
@@ -442,10 +442,8 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     group and stay; exactly repeated rows of a kept document are returned once."""
     parts = ngram_components(docs, width=width, threshold=threshold)
     leaving = parts.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
-    leaving = C.stored(leaving, "leaving")
-    stay = docs.join(leaving, "doc_id", "left_anti")
-    named = stay.where("doc_id IS NOT NULL")
-    repeated = C.stored(named.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"), "twice")
-    once = named.join(repeated, "doc_id", "left_anti")
-    again = named.join(repeated, "doc_id", "left_semi").distinct()
-    return once.unionByName(again).unionByName(stay.where("doc_id IS NULL"))
+    stay = docs.join(C.joinable(leaving, "leaving"), "doc_id", "left_anti")
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    twice = C.joinable(twice, "twice")
+    once = stay.join(twice, "doc_id", "left_anti")
+    return once.unionByName(stay.join(twice, "doc_id", "left_semi").distinct())
