@@ -17,8 +17,9 @@ dear keys out loses no pair.  The costs come from a bounded list of frequent
 keys; they only choose among valid allocations, never whether a pair is found.
 
 Verification.  Equal sets become one class first (by their 64-bit set hash,
-which includes the size).  Every bucket of a key first links its classes to the
-smallest one: a linear number of pairs, verified exactly on the shingle sets.
+which includes the size).  Every bucket of a key pairs its classes with the
+smallest one; of its pairs every class has one verified, exactly on the shingle
+sets: a linear number.
 Where a bucket still spans several components, its remaining pairs across
 components are joined (small buckets) or compared in blocks of ``BLOCK``
 classes, with a sound filter (the
@@ -359,12 +360,12 @@ def ngram_components(
         wanted = ends.join(classes, "class").select("class", F.col("rep").alias("doc_id"))
         items = texts.join(C.joinable(wanted.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi")
         items = items.mapInArrow(_emit_sets(width), "class long, items binary")
-        items = C.stored(items.join(ends, "class", "left_semi").dropDuplicates(["class"]), "items")
+        items = C.stored(items.join(ends, "class", "left_semi"), "items")
         x = items.select(F.col("class").alias("a"), F.col("items").alias("x"))
         y = items.select(F.col("class").alias("b"), F.col("items").alias("y"))
         return C.stored(
             pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-            .mapInArrow(_verify(num, den), "a long, b long"), "links")
+            .mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
 
     def near(pairs: DataFrame) -> DataFrame:
         x = classes.select(F.col("class").alias("a"), F.col("bins").alias("ba"))
@@ -386,7 +387,10 @@ def ngram_components(
         return ends.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(
             "class", F.coalesce("component", "rep").alias("component"))
 
-    links = verified(near(buckets.select("a", "b").distinct()))
+    # one pair per class first: what it links need not be verified again
+    tried = C.stored(
+        near(buckets.select("a", "b").distinct()).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    links = verified(tried)
     parts = C.stored(contracted(links), "parts")
 
     # what the buckets still have to say: pairs across components
@@ -412,8 +416,7 @@ def ngram_components(
         )
         rest = rest.unionByName(
             spread.groupBy("key", "one", "two").applyInPandas(_cross_pairs(num, den), "a long, b long")).distinct()
-    known = buckets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(rest.join(known, ["a", "b"], "left_anti"))
+    more = verified(rest.join(tried, ["a", "b"], "left_anti"))  # a < b in both
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = C.stored(contracted(links), "parts")
