@@ -47,7 +47,8 @@ GROWTH = 1.5  # size ratio of neighbouring bands
 DELETION_H = 3  # differences up to which the one-deletion neighbourhood is used
 SPARE = 0.1  # segments beyond H + 1, as a share of H
 FREQUENT_TASK, FREQUENT_ALL = 2_048, 65_536  # frequent keys kept: a task, in all
-BINS = 32  # histogram bins of the filter
+BIN_BITS = 8
+BINS = 1 << BIN_BITS  # histogram bins of the filter
 FEW = 64  # classes of a bucket up to which its pairs are joined directly
 BLOCK = 1_000  # classes that are compared with each other at once
 FLUSH = 4_000_000  # keys a task holds before it sends them on
@@ -150,7 +151,7 @@ def _describe(width: int, scheme: Scheme):
             size, label, bins = [0] * len(ids), [None] * len(ids), [None] * len(ids)
             for i, s in _shingle_sets(batch, width):
                 size[i], label[i] = len(s), _set_class(s)
-                bins[i] = np.bincount((s >> _U(59)).astype(np.int64), minlength=BINS).astype("<u4").tobytes()
+                bins[i] = np.bincount((s >> _U(64 - BIN_BITS)).astype(np.int64), minlength=BINS).astype("<u4").tobytes()
                 if label[i] not in seen:  # copies do not make a key dear
                     if len(seen) < 1_000_000:
                         seen.add(label[i])
@@ -269,7 +270,7 @@ def _filter_pairs(num: int, den: int):
                 bins = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, BINS).astype(np.int64)
                         for c in ("ba", "bb")]
                 ok = _near(bins[0].sum(1), bins[0], bins[1].sum(1), bins[1], num, den)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                yield batch.select(["a", "b", "n"]).filter(pa.array(ok))
 
     return run
 
@@ -370,8 +371,8 @@ def ngram_components(
     def near(pairs: DataFrame) -> DataFrame:
         x = classes.select(F.col("class").alias("a"), F.col("bins").alias("ba"))
         y = classes.select(F.col("class").alias("b"), F.col("bins").alias("bb"))
-        return (pairs.join(x, "a").join(y, "b").select("a", "b", "ba", "bb")
-                .mapInArrow(_filter_pairs(num, den), "a long, b long"))
+        return (pairs.join(x, "a").join(y, "b").select("a", "b", "n", "ba", "bb")
+                .mapInArrow(_filter_pairs(num, den), "a long, b long, n long"))
 
     def contracted(links: DataFrame) -> DataFrame:
         """(class, component) with the smallest id as component; also joins the
@@ -388,8 +389,10 @@ def ngram_components(
             "class", F.coalesce("component", "rep").alias("component"))
 
     # one pair per class first: what it links need not be verified again
+    # (the one with the most buckets in common)
+    common = near(buckets.groupBy("a", "b").agg(F.count("*").alias("n")))
     tried = C.stored(
-        near(buckets.select("a", "b").distinct()).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+        common.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"), "tried")
     links = verified(tried)
     parts = C.stored(contracted(links), "parts")
 
@@ -405,7 +408,8 @@ def ngram_components(
     # at most FEW / 2 pairs per row of a small bucket
     x = few.select("key", F.col("class").alias("a"), F.col("component").alias("ca"))
     y = few.select("key", F.col("class").alias("b"), F.col("component").alias("cb"))
-    rest = near(x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct())
+    rest = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    rest = near(rest.withColumn("n", F.lit(0).cast("long"))).select("a", "b")
     if not many.isEmpty():
         spread = (
             many.join(classes.select("class", "bins"), "class")
