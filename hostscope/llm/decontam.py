@@ -140,6 +140,16 @@ def _lookup(shared):
     return hits
 
 
+def _merge(*blocks: pa.Array) -> pa.Array:
+    out = []
+    for row in zip(*(b.to_pylist() for b in blocks)):
+        best: dict[int, int] = {}
+        for hit in (h for hits in row for h in hits or ()):
+            best[hit["item_id"]] = max(best.get(hit["item_id"], 0), hit["words"])
+        out.append([{"item_id": k, "words": best[k]} for k in sorted(best)])
+    return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("words", pa.int32())])))
+
+
 def benchmark_hits(spark, benchmark: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text") -> Column:
     """A column ``array<struct<item_id, words>>`` for a text column: the items
     found in it, by id, with the equal words of the best alignment."""
@@ -152,12 +162,7 @@ def benchmark_hits(spark, benchmark: DataFrame, text: Column, id_col: str = "ite
         return F.expr(f"CAST(array() AS {HITS})")
     if len(found) == 1:
         return found[0]
-    # pieces of one item may be hit in several blocks
-    every = F.flatten(F.array(*found))
-    ids = F.array_sort(F.array_distinct(F.transform(every, lambda x: x["item_id"])))
-    return F.transform(ids, lambda i: F.struct(
-        i.alias("item_id"),
-        F.array_max(F.transform(F.filter(every, lambda x: x["item_id"] == i), lambda x: x["words"])).alias("words")))
+    return F.arrow_udf(_merge, HITS)(*found)  # pieces of one item may be hit in several blocks
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
