@@ -46,16 +46,21 @@ class InvalidInput(ValueError):
     """A request the service rules reject."""
 
 
-def predict_domain(spark: SparkSession, model: PipelineModel, domain: str, validate: bool = True) -> dict:
+def predict_domain(spark: SparkSession, model: PipelineModel, domain: str, validate: bool = True,
+                   log_path: str | None = None) -> dict:
     """M9 for one domain: domain, label, confidence, features, indicators.
-    With ``validate`` the input is stripped and checked first (P11)."""
+    With ``validate`` the input is stripped and checked first (P11); with
+    ``log_path`` the result is appended to the scan log."""
     if validate:
         domain = (domain or "").strip()
         if not domain:
-            raise InvalidInput("Domain name cannot be empty")
+            raise InvalidInput("empty input")
         if not is_valid(spark, domain):
-            raise InvalidInput("Please enter a valid URL or domain.")
-    r = score_domains(_one(spark, domain), model).first()
+            raise InvalidInput("neither a URL nor a domain")
+    scored = score_domains(_one(spark, domain), model)
+    if log_path:
+        append_scans(scored, log_path)
+    r = scored.first()
     return {
         "domain": r["domain"],
         "label": r["label"],
@@ -66,7 +71,7 @@ def predict_domain(spark: SparkSession, model: PipelineModel, domain: str, valid
 
 
 def predict_batch(spark: SparkSession, model: PipelineModel, domains: list[str],
-                  log_path: str | None = None, batch_id: int = 0) -> DataFrame:
+                  log_path: str | None = None, batch_id: int | None = None) -> DataFrame:
     """Batch request: drop invalid lines (error if none is valid), score the
     rest in order, optionally append them to the scan log."""
     rows = spark.createDataFrame([(i, d.strip()) for i, d in enumerate(domains)], "pos long, domain string")
@@ -77,11 +82,12 @@ def predict_batch(spark: SparkSession, model: PipelineModel, domains: list[str],
     return scored
 
 
-def report_mistake(spark: SparkSession, path: str, domain: str, corrected_label: str, batch_id: int) -> None:
+def report_mistake(spark: SparkSession, path: str, domain: str, corrected_label: str,
+                   batch_id: int | None = None) -> None:
     """L1: validate (P12) and store one correction (trimmed, lower-cased)."""
     reports = spark.createDataFrame([(domain, corrected_label)], "domain string, corrected_label string")
     if append_corrections(reports, path, batch_id).count():
-        raise InvalidInput("Invalid domain or label.")
+        raise InvalidInput("a correction needs a domain and one of the two labels")
 
 
 def aggregate_stats(log: DataFrame) -> dict:

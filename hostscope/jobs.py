@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import time
 
 from pyspark.sql import functions as F
 
@@ -51,7 +50,7 @@ def _score(spark, a) -> dict:
     lines = spark.read.text(a.input).select(F.col("value").alias("domain"))
     ok = require_valid(lines).select(py_strip("domain").alias("domain"))  # the service strips
     scored = score_domains(ok, model)
-    append_scans(scored, a.log, a.batch_id if a.batch_id is not None else int(time.time()))
+    append_scans(scored, a.log, a.batch_id)
     return {"log": a.log}
 
 

@@ -27,9 +27,9 @@ def require_valid(df: DataFrame, col: str = "domain") -> DataFrame:
     where no line is valid, is an error; otherwise the valid rows."""
     ok, _ = split_valid(df, col)
     if df.isEmpty():
-        raise EmptyBatchError("Domain list cannot be empty")
+        raise EmptyBatchError("empty batch")
     if ok.isEmpty():
-        raise EmptyBatchError("Domain list must contain at least one valid URL or domain.")
+        raise EmptyBatchError("no line of the batch is a URL or a domain")
     return ok
 
 

@@ -9,7 +9,7 @@ the 23 feature importances).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +96,8 @@ def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame |
     if variant == "notebook":
         return _train_notebook(spark, labelled, model_path, settings or TreeSettings.notebook())
     s = settings or TreeSettings()
+    if weighted and s.weight_col is None:
+        s = replace(s, weight_col="weight")  # curated rows and corrections count as their copies
     ensure_checkpoint_dir(spark)
     data = build_dataset(spark, labelled, corrections, weighted=weighted)
     # A4; written once: the counts and both branches of the join read it
@@ -114,6 +116,9 @@ def train_job(spark: SparkSession, labelled: DataFrame, corrections: DataFrame |
         rows = D.stratified_split(rows, row_key(rows))  # A6
     if s.weight_col == "weight" and not weighted:
         rows = D.sample_weights(rows)
+    elif s.weight_col == "weight" and settings is not None and settings.weight_col == "weight":
+        # both asked for: copies times the row weights
+        rows = D.sample_weights(rows, "__a7").withColumn("weight", F.col("weight") * F.col("__a7")).drop("__a7")
     train = rows.where(F.col("split") == "train")
     model = fit(train, s)
     return _finish(model, rows, model_path)

@@ -64,6 +64,11 @@ def _hosts(spark, sf):
     return FT.with_host_parts(DV.spark_urls(spark, sf), "url")
 
 
+def _cleaned(spark, sf):
+    """Every URL with its cleaned host; the suffix is not needed."""
+    return DV.spark_urls(spark, sf).withColumn("host", clean_host("url"))
+
+
 def _host_sql() -> list[tuple[str, str]]:
     rules = Q.rules_cte()
     return [
@@ -115,7 +120,7 @@ def registered_domain(spark, sf):
 )
 def host_structure(spark, sf):
     h = F.col("host")
-    return _hosts(spark, sf).select(
+    return _cleaned(spark, sf).select(
         "src", "uid", H.length(h).alias("length"), H.subdomain_count(h).alias("subdomain_count"),
         H.hyphen_count(h).alias("hyphen_count"), H.digit_count(h).alias("digit_count"),
         H.special_char_count(h).alias("special_char_count"),
@@ -124,7 +129,7 @@ def host_structure(spark, sf):
 
 @register("host_entropy", HP + f"SELECT src, uid, host, {_rs(Q.entropy('host'))} AS entropy FROM hp")
 def host_entropy(spark, sf):
-    return _hosts(spark, sf).select("src", "uid", "host", _r(H.entropy("host")).alias("entropy"))
+    return _cleaned(spark, sf).select("src", "uid", "host", _r(H.entropy("host")).alias("entropy"))
 
 
 @register(
@@ -134,7 +139,7 @@ def host_entropy(spark, sf):
     + " FROM hp",
 )
 def host_keywords(spark, sf):
-    return _hosts(spark, sf).select("src", "uid", *H.keyword_flags("host"))
+    return _cleaned(spark, sf).select("src", "uid", *H.keyword_flags("host"))
 
 
 @register("brand_match_exact",
@@ -186,7 +191,7 @@ def trusted_root(spark, sf):
 )
 def unicode_flags(spark, sf):
     h = F.col("host")
-    return _hosts(spark, sf).select(
+    return _cleaned(spark, sf).select(
         "src", "uid", H.has_punycode(h).alias("has_punycode"), H.contains_unicode(h).alias("contains_unicode"),
         H.unicode_ratio(h).alias("unicode_ratio"),
     )
@@ -464,7 +469,8 @@ def sample_weights(spark, sf):
 )
 def feature_cache_missing(spark, sf):
     wanted = DV.spark_labelled(spark, sf).select("domain").distinct()
-    cached = DV.spark_ranked(spark, sf).select("domain")  # the cache's keys
+    # the cache's keys, each once: an anti-join cannot split a hot key on this side
+    cached = DV.spark_ranked(spark, sf).select("domain").distinct()
     missing = wanted.join(cached, "domain", "left_anti")
     return _round_entropy(FT.with_host_features(missing, "domain"))
 

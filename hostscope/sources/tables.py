@@ -1,9 +1,9 @@
 """Scan log and corrections tables.
 
-Both are append-only Parquet tables.  Writers never rewrite old files, so a
-retried write adds no duplicate rows only when it replaces its own output:
-batch appends therefore go to their own ``batch_id=<n>`` partition written
-in overwrite mode (see ``write_batch``).
+Both are append-only Parquet tables of ``batch_id=<n>`` folders.  An append
+without a number takes the next free one and never touches rows that are there;
+a caller that names a batch (a stream replaying it) replaces that batch alone.
+Streams number from ``STREAM_BASE``, so they share a log with other writers.
 """
 
 from __future__ import annotations
@@ -33,19 +33,34 @@ SCAN_SCHEMA = T.StructType([
 ])
 
 
-def batch_ids(batch_id: int, max_partitions: int = 1024) -> Column:
-    """Unique, increasing ids inside one write: ``batch_id << 43`` plus the
-    partition-local id (valid for up to 1024 partitions of < 2**33 rows)."""
-    del max_partitions
-    return (F.lit(batch_id).cast("long") * F.lit(1 << 43)) + F.monotonically_increasing_id()
+ID_BITS = 43  # ids of one batch number: 1,024 partitions; a wider write takes more numbers
+STREAM_BASE = 1 << 19  # batch numbers of streams
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, max_partitions: int = 1024) -> None:
-    """Idempotent append: the rows of batch ``batch_id`` (re)written as their
-    own partition directory, so a replay replaces instead of duplicating."""
-    if df.rdd.getNumPartitions() > max_partitions:
-        df = df.coalesce(max_partitions)
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def batch_ids(batch_id: int) -> Column:
+    """Unique ids of one write: ``batch_id << 43`` plus the partition-local id.
+    A write of more than 1,024 partitions reaches into the following numbers,
+    which ``next_batch`` then skips."""
+    return (F.lit(batch_id).cast("long") * F.lit(1 << ID_BITS)) + F.monotonically_increasing_id()
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The first batch number below ``STREAM_BASE`` that neither a folder nor an
+    id in the table uses."""
+    n = 0
+    if path_exists(spark, path):
+        ids = spark.read.schema("id long").parquet(path).where(F.col("id") < (STREAM_BASE << ID_BITS))
+        top = ids.agg(F.max("id")).first()[0]  # from column statistics, not from rows
+        n = 0 if top is None else (top >> ID_BITS) + 1
+    while path_exists(spark, f"{path}/batch_id={n}"):
+        n += 1
+    return n
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, replay: bool = True) -> None:
+    """Write one batch folder.  ``replay``: replace what an earlier try of the same
+    batch left; otherwise a number that is taken is an error and nothing is lost."""
+    df.write.mode("overwrite" if replay else "errorifexists").parquet(f"{path}/batch_id={batch_id}")
 
 
 def scan_rows(scored: DataFrame, batch_id: int, ts: Column | None = None) -> DataFrame:
@@ -60,9 +75,10 @@ def scan_rows(scored: DataFrame, batch_id: int, ts: Column | None = None) -> Dat
     )
 
 
-def append_scans(scored: DataFrame, path: str, batch_id: int) -> None:
+def append_scans(scored: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Append one scoring batch to the scan log."""
-    write_batch(scan_rows(scored, batch_id), path, batch_id)
+    number = next_batch(scored.sparkSession, path) if batch_id is None else batch_id
+    write_batch(scan_rows(scored, number), path, number, replay=batch_id is not None)
 
 
 def read_scans(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -84,17 +100,18 @@ def flip_label(label: Column) -> Column:
     return F.when(label == lists.PHISHING, F.lit(lists.LEGITIMATE)).otherwise(F.lit(lists.PHISHING))
 
 
-def append_corrections(reports: DataFrame, path: str, batch_id: int) -> DataFrame:
+def append_corrections(reports: DataFrame, path: str, batch_id: int | None = None) -> DataFrame:
     """L1 = P12 + S12: validate reports (``domain, corrected_label``), store
     the valid ones trimmed and lower-cased; returns the rejected rows."""
     ok = valid_correction(F.col("domain"), F.col("corrected_label"))
+    number = next_batch(reports.sparkSession, path) if batch_id is None else batch_id
     good = reports.where(ok).select(
-        batch_ids(batch_id).alias("id"),
+        batch_ids(number).alias("id"),
         F.lower(py_strip("domain")).alias("domain"),
         F.lower(py_strip("corrected_label")).alias("corrected_label"),
         F.current_timestamp().alias("ts"),
     )
-    write_batch(good, path, batch_id)
+    write_batch(good, path, number, replay=batch_id is not None)
     return reports.where(~ok | ok.isNull())
 
 
@@ -142,9 +159,10 @@ def read_service_table(spark: SparkSession, url: str, table: str, properties: di
 
 
 def import_service_log(spark: SparkSession, url: str, log_path: str, reports_path: str,
-                       properties: dict | None = None, batch_id: int = 0) -> None:
-    """Copy the service's scan log and corrections into the Parquet tables
-    (one batch partition each, rewritten on a re-run)."""
-    write_batch(scans_from_service(read_service_table(spark, url, SERVICE_SCANS, properties)), log_path, batch_id)
-    write_batch(reports_from_service(read_service_table(spark, url, SERVICE_REPORTS, properties)),
-                reports_path, batch_id)
+                       properties: dict | None = None, batch_id: int | None = None) -> None:
+    """Copy the service's scan log and corrections into the Parquet tables, as one
+    new batch each; a named batch is replaced on a re-run."""
+    for table, shape, path in ((SERVICE_SCANS, scans_from_service, log_path),
+                               (SERVICE_REPORTS, reports_from_service, reports_path)):
+        number = next_batch(spark, path) if batch_id is None else batch_id
+        write_batch(shape(read_service_table(spark, url, table, properties)), path, number, replay=batch_id is not None)

@@ -12,8 +12,9 @@ R2: the log itself is a streaming source; label counts and the phishing
 TLD histogram are running aggregations kept in the state store (complete
 mode -- the result has one row per label / TLD, not per scan).
 
-The reference has no event time, so no watermark is needed.  Checkpoint
-locations default to a folder under the cluster's ``spark.checkpoint.dir``.
+The reference has no event time, so no watermark is needed.  Checkpoints lie
+beside the log by default (``<log>.scoring``, ``<log>.stats``), so a restarted
+stream finds its offsets.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from hostscope.functions import lists
 from hostscope.functions.host import reject_reason
 from hostscope.operators.model import score_domains
 from hostscope.operators.scanlog import raw_tld
-from hostscope.session import shared_path
 from hostscope.functions.urls import js_trim, py_strip
-from hostscope.sources.tables import SCAN_SCHEMA, scan_rows, write_batch
+from hostscope.sources.tables import SCAN_SCHEMA, STREAM_BASE, scan_rows, write_batch
 
 
 def submitted_lines(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
@@ -49,9 +49,10 @@ def start_scoring(spark: SparkSession, source_dir: str, model: PipelineModel | s
     if isinstance(model, str):
         model = PipelineModel.load(model)
     lines = submitted_lines(spark, source_dir)
-    checkpoint = checkpoint or shared_path(spark, "streams", "scoring")
+    checkpoint = checkpoint or f"{log_path.rstrip('/')}.scoring"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch_id += STREAM_BASE
         # both sinks read the tagged batch: keep it for the two writes
         tagged = batch.withColumn("reason", reject_reason("domain")).persist()
         try:
@@ -98,7 +99,7 @@ def start_stats(spark: SparkSession, log_path: str, sink: str = "memory", name:
     ``<out_path>/tlds`` (tables on shared storage, one row per label / TLD);
     otherwise results go to ``sink`` (e.g. the in-memory sink for tests)."""
     log = log_stream(spark, log_path)
-    cp = checkpoint or shared_path(spark, "streams", "stats")
+    cp = checkpoint or f"{log_path.rstrip('/')}.stats"
     queries = []
     for part, df in (("labels", running_label_counts(log)), ("tlds", running_tld_counts(log))):
         w = df.writeStream.outputMode("complete").option("checkpointLocation", f"{cp}/{part}")

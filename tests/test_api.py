@@ -59,9 +59,9 @@ def test_single_and_batch_then_stats_and_history(spark, model, tmp_dir):
 def test_request_validation_and_reports(spark, model, tmp_dir):
     from hostscope.sources.feeds import read_corrections
 
-    with pytest.raises(api.InvalidInput, match="cannot be empty"):
+    with pytest.raises(api.InvalidInput, match="empty input"):
         api.predict_domain(spark, model, "   ")
-    with pytest.raises(api.InvalidInput, match="valid URL or domain"):
+    with pytest.raises(api.InvalidInput, match="neither a URL"):
         api.predict_domain(spark, model, "dfsdf")
     assert api.predict_domain(spark, model, " sbi-banking-verify.in ")["domain"] == "sbi-banking-verify.in"
     path = os.path.join(tmp_dir, "corr")
