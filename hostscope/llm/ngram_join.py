@@ -23,7 +23,8 @@ sets: a linear number.
 Where a bucket still spans several components, its remaining pairs across
 components are joined (small buckets) or compared in blocks of ``BLOCK``
 classes, with a sound filter (the
-difference of two bin histograms never exceeds the difference of the sets), and
+difference of two bin histograms never exceeds the difference of the sets; long
+sets have a second, finer histogram, so that the filter is as sharp for them), and
 what passes is verified exactly.  So no link between components is lost, while
 a group of thousands of near copies costs one pass instead of all its pairs.
 
@@ -49,6 +50,7 @@ SPARE = 0.1  # segments beyond H + 1, as a share of H
 FREQUENT_TASK, FREQUENT_ALL = 2_048, 65_536  # frequent keys kept: a task, in all
 BIN_BITS = 8
 BINS = 1 << BIN_BITS  # histogram bins of the filter
+FINE_SHARE = 8  # shingles a bin of the finer histogram, for sets of more than FINE_SHARE * BINS
 FEW = 64  # classes of a bucket up to which its pairs are joined directly
 BLOCK = 1_000  # classes that are compared with each other at once
 FLUSH = 4_000_000  # keys a task holds before it sends them on
@@ -129,29 +131,41 @@ def _merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.
     return k, n
 
 
-SETS = "kind int, a long, b long, c long, bins binary"
+SETS = "kind int, a long, b long, c long, bins binary, fine binary"
+
+
+def _fine_bins(shingles: np.ndarray) -> bytes | None:
+    """Histogram over a power of two of bins, about FINE_SHARE shingles each and
+    counted up to 255; None where the common histogram is as fine."""
+    if len(shingles) <= FINE_SHARE * BINS:
+        return None
+    bits = int(len(shingles) - 1).bit_length() - (FINE_SHARE.bit_length() - 1)
+    counts = np.bincount((shingles >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
 def _describe(width: int, scheme: Scheme):
-    """Rows of kind 0: doc_id, size, class, histogram; of kind 1: a frequent key
+    """Rows of kind 0: doc_id, size, class, histograms; of kind 1: a frequent key
     and its count in this task."""
 
-    def rows(kind, a, b, c, bins):
+    def rows(kind, a, b, c, bins, fine):
         n = len(a)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-             pa.array(c, pa.int64()), pa.array(bins, pa.binary())],
-            names=["kind", "a", "b", "c", "bins"],
+             pa.array(c, pa.int64()), pa.array(bins, pa.binary()), pa.array(fine, pa.binary())],
+            names=["kind", "a", "b", "c", "bins", "fine"],
         )
 
     def run(batches):
         keys, counts, held, seen = [], [], 0, set()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            size, label, bins = [0] * len(ids), [None] * len(ids), [None] * len(ids)
+            size, label = [0] * len(ids), [None] * len(ids)
+            bins, fine = [None] * len(ids), [None] * len(ids)
             for i, s in _shingle_sets(batch, width):
                 size[i], label[i] = len(s), _set_class(s)
                 bins[i] = np.bincount((s >> _U(64 - BIN_BITS)).astype(np.int64), minlength=BINS).astype("<u4").tobytes()
+                fine[i] = _fine_bins(s)
                 if label[i] not in seen:  # copies do not make a key dear
                     if len(seen) < 1_000_000:
                         seen.add(label[i])
@@ -162,20 +176,19 @@ def _describe(width: int, scheme: Scheme):
             if held > FLUSH // 2:
                 k, n = _merge_counts(keys, counts)
                 keys, counts, held = [k], [n], len(k)
-            yield rows(0, ids, size, label, bins)
+            yield rows(0, ids, size, label, bins, fine)
         if keys:
             k, n = _merge_counts(keys, counts)
             order = np.argsort(-n, kind="stable")[:FREQUENT_TASK]
             order = order[n[order] >= 3]
-            yield rows(1, C.signed(k[order].copy()), n[order], n[order], [None] * len(order))
+            yield rows(1, C.signed(k[order].copy()), n[order], n[order], [None] * len(order), [None] * len(order))
 
     return run
 
 
 def _emit_keys(width: int, scheme: Scheme, frequent: np.ndarray, times: np.ndarray):
-    """(spread, key, a, b): a bucket's local smallest class a with b null, to be
-    met by other tasks under the key; or a member b of a's bucket, which needs no
-    meeting and is spread over all tasks."""
+    """(key, a, b): a bucket's local smallest class a with b null, to be met by
+    other tasks under the key; or a member b of a's bucket, which needs no meeting."""
 
     def costs(keys):
         if not len(frequent):
@@ -194,13 +207,11 @@ def _emit_keys(width: int, scheme: Scheme, frequent: np.ndarray, times: np.ndarr
         first = np.ones(len(k), bool)
         first[1:] = k[1:] != k[:-1]
         low = c[np.flatnonzero(first)][np.cumsum(first) - 1]
-        spread = np.where(first, k, C.mix64(k ^ C.mix64(c.view(_U))))
         for a in range(0, len(k), 50_000):
             z = slice(a, a + 50_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(C.signed(spread[z].copy())), pa.array(C.signed(k[z].copy())), pa.array(low[z]),
-                 pa.array(c[z], mask=first[z])],
-                names=["spread", "key", "a", "b"],
+                [pa.array(C.signed(k[z].copy())), pa.array(low[z]), pa.array(c[z], mask=first[z])],
+                names=["key", "a", "b"],
             )
 
     def run(batches):
@@ -275,6 +286,27 @@ def _filter_pairs(num: int, den: int):
     return run
 
 
+def _filter_fine(num: int, den: int):
+    """The same test on the finer histograms; pairs without two of them pass."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(),
+                                    batch.column("fa"), batch.column("fb")):
+                if not (x.is_valid and y.is_valid):
+                    ok.append(True)
+                    continue
+                x = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64)
+                y = np.frombuffer(y.as_buffer(), np.uint8).astype(np.int64)
+                n = min(len(x), len(y))
+                apart = int(np.abs(x.reshape(n, -1).sum(1) - y.reshape(n, -1).sum(1)).sum())
+                ok.append(apart * (den + num) <= (na + nb) * (den - num))
+            yield batch.select(["a", "b", "n"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _cross_pairs(num: int, den: int):
     """Pairs of one block pair that lie in different components and pass the filter."""
 
@@ -328,7 +360,7 @@ def ngram_components(
 
     described = C.stored(rows.mapInArrow(_describe(width, scheme), SETS), "sets")
     sets = described.where("kind = 0").select(
-        F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("class"), "bins")
+        F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("class"), "bins", "fine")
     top = (
         described.where("kind = 1").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("times"))
         .orderBy(F.desc("times"), "key").limit(FREQUENT_ALL).collect()
@@ -339,16 +371,19 @@ def ngram_components(
 
     taking_part = sets.where("doc_id IS NOT NULL AND class IS NOT NULL")
     classes = C.stored(
-        taking_part.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("bins").alias("bins")), "classes")
+        taking_part.groupBy("class").agg(
+            F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"),
+            F.min("bins").alias("bins"), F.min("fine").alias("fine")), "classes")
 
     named = rows.where("doc_id IS NOT NULL")
     sent = named.mapInArrow(
-        _emit_keys(width, scheme, frequent[order], times), "spread long, key long, a long, b long")
-    # one row per (key, local smallest class); ranking by key alone meets them
+        _emit_keys(width, scheme, frequent[order], times), "key long, a long, b long")
+    # the rows to be met have no b and come together by key; the others have
+    # their b in the partitioning and are spread over all tasks
     forward = F.col("b").isNull()
-    low = F.min(F.when(forward, F.col("a"))).over(_by("spread", "key"))
+    low = F.min(F.when(forward, F.col("a"))).over(_by("key", "b"))
     buckets = C.stored(
-        sent.select("key", "spread", F.when(forward, low).otherwise(F.col("a")).alias("a"),
+        sent.select("key", F.when(forward, low).otherwise(F.col("a")).alias("a"),
                     F.when(forward, F.col("a")).otherwise(F.col("b")).alias("b"))
         .where("a <> b").select("key", "a", "b"), "buckets")
 
@@ -371,8 +406,14 @@ def ngram_components(
     def near(pairs: DataFrame) -> DataFrame:
         x = classes.select(F.col("class").alias("a"), F.col("bins").alias("ba"))
         y = classes.select(F.col("class").alias("b"), F.col("bins").alias("bb"))
-        return (pairs.join(x, "a").join(y, "b").select("a", "b", "n", "ba", "bb")
-                .mapInArrow(_filter_pairs(num, den), "a long, b long, n long"))
+        pairs = C.stored(
+            pairs.join(x, "a").join(y, "b").select("a", "b", "n", "ba", "bb")
+            .mapInArrow(_filter_pairs(num, den), "a long, b long, n long"), "close")
+        long_sets = classes.where("fine IS NOT NULL")
+        x = long_sets.select(F.col("class").alias("a"), F.col("size").alias("na"), F.col("fine").alias("fa"))
+        y = long_sets.select(F.col("class").alias("b"), F.col("size").alias("nb"), F.col("fine").alias("fb"))
+        return (pairs.join(x, "a", "left").join(y, "b", "left").select("a", "b", "n", "na", "nb", "fa", "fb")
+                .mapInArrow(_filter_fine(num, den), "a long, b long, n long"))
 
     def contracted(links: DataFrame) -> DataFrame:
         """(class, component) with the smallest id as component; also joins the

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,43 @@ def test_join_with_large_buckets(spark, monkeypatch):
     assert got == brute_components(rows, 5, 80, 100)
 
 
+def test_finer_histogram_never_parts_linked_sets():
+    """Exact distance against the histogram's, across the sizes where its bins double."""
+    rng = np.random.default_rng(3)
+    linked = parted = 0
+    for n in (2_040, 2_060, 4_090, 4_100, 9_000):
+        for share in (0.0, 0.5, 0.8, 0.89, 0.9, 0.95, 1.0):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64) * np.uint64(2))
+            both = a[: int(n * share)]
+            b = np.unique(np.concatenate([both, rng.integers(0, 2**62, n - len(both), dtype=np.int64).view(np.uint64)]))
+            fine = [ngram_join._fine_bins(x) for x in (a, b)]
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([1]), pa.array([2]), pa.array([1]), pa.array([len(a)]), pa.array([len(b)]),
+                 pa.array([fine[0]], pa.binary()), pa.array([fine[1]], pa.binary())],
+                names=["a", "b", "n", "na", "nb", "fa", "fb"])
+            passes = next(ngram_join._filter_fine(80, 100)(iter([batch]))).num_rows == 1
+            same = len(np.intersect1d(a, b))
+            if same * 100 >= 80 * (len(a) + len(b) - same):
+                linked += 1
+                assert passes
+            elif None not in fine and share <= 0.5:
+                parted += not passes
+    assert linked >= 10 and parted >= 6
+
+
+def test_join_of_long_texts(spark):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(1_500)]
+    rows = []
+    for i in range(12):
+        own = [f"u{i // 3}_{x}" for x in rng.permutation(2_700)] if i % 3 == 0 else own
+        extra = [f"e{i}_{j}" for j in range((i % 3) * 160)]
+        rows.append((i, " ".join(passage + own + extra)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(df, width=5).collect()}
+    assert got == brute_components(rows, 5, 80, 100)
+
+
 def test_join_odd_rows(spark):
     out = ngram_join.ngram_components(odd_docs(spark), width=4, threshold=(85, 100)).collect()
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None)
