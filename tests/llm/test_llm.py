@@ -334,6 +334,32 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs, docs, lab).columns == docs.columns
 
 
+def test_toxicity_counts_all_labels(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        w = [f"w{int(x)}" for x in rng.zipf(1.5, 60) % 500]
+        for j in range(4 * (i % 15 == 0)):
+            w[int(rng.integers(0, 60))] = f"slur{int(rng.integers(0, 6))}"
+        rows.append((i, " ".join(w), int(i % 15 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    # a bound on the rows of the regression is none on the counts: no toxic label in 15 may go
+    model = toxicity.learn(docs, docs, max_rows=45)
+    x = model.features(pa.array([t for _, t, _ in rows]))
+    held = {r.doc_id for r in docs.where(common.held_out(F.col("doc_id"))).collect()}
+    mean = {bad: np.mean([x[i, 1] for i, _, b in rows if i in held and b == bad]) for bad in (0, 1)}
+    assert mean[1] > 1.5 and mean[0] < 0.5
+    # counts that are too many to broadcast stay Spark tables, with the same scores
+    near = lambda: {r.doc_id: r.score for r in toxicity.score_documents(docs, docs).collect()}
+    kept = lambda: {r.doc_id for r in toxicity.drop_toxic(docs, docs, docs).collect()}
+    odd = docs.unionByName(spark.createDataFrame([(9000, None, None), (9001, "", None), (9001, "", None)], docs.schema))
+    one, few = near(), kept()
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    two = near()
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-5 and few == kept() and 0 < len(few) < 900
+    assert toxicity.score_documents(odd, docs).count() == 903
+
+
 def test_language(spark):
     docs = common.table(spark, SF, "documents")
     got = langid.detect_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
