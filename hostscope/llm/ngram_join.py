@@ -28,6 +28,10 @@ sets have a second, finer histogram, so that the filter is as sharp for them), a
 what passes is verified exactly.  So no link between components is lost, while
 a group of thousands of near copies costs one pass instead of all its pairs.
 
+Number of links.  Links lie inside components, so where not every pair of a
+component is a verified link already, all its pairs are compared once, in blocks of
+``INSIDE`` classes, by sizes, histogram and exact sets; only the counts leave a block.
+
 Shingles and words are compared by 64-bit hashes, the only approximation.
 """
 
@@ -53,6 +57,8 @@ BINS = 1 << BIN_BITS  # histogram bins of the filter
 FINE_SHARE = 8  # shingles a bin of the finer histogram, for sets of more than FINE_SHARE * BINS
 FEW = 64  # classes of a bucket up to which its pairs are joined directly
 BLOCK = 1_000  # classes that are compared with each other at once
+INSIDE = 300  # classes of a component that are compared with each other at once
+INSIDE_SHINGLES = 1_000_000  # and their shingles
 FLUSH = 4_000_000  # keys a task holds before it sends them on
 _U = np.uint64
 
@@ -332,18 +338,44 @@ def _cross_pairs(num: int, den: int):
     return run
 
 
+def _count_links(num: int, den: int):
+    """(class, n): links of the classes of one block pair of a component."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("class")
+        one, two = int(key[1]), int(key[2])
+        sets = [np.frombuffer(x, _U) for x in pdf["items"]]
+        size, block = np.array([len(x) for x in sets]), pdf["block"].to_numpy()
+        bins = np.stack([np.bincount((x >> _U(64 - BIN_BITS)).astype(np.int64), minlength=BINS) for x in sets])
+        universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids, np.cumsum(size)[:-1])
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        mark, n = np.zeros(len(universe), bool), np.zeros(len(sets), np.int64)
+        for i in left:
+            at = right if one != two else right[right > i]
+            at = at[_near(size[i], bins[i], size[at], bins[at], num, den)]
+            mark[ids[i]] = True
+            both = np.array([np.count_nonzero(mark[ids[j]]) for j in at], np.int64)
+            mark[ids[i]] = False
+            at = at[both * den >= num * (size[i] + size[at] - both)]
+            n[i] += len(at)
+            n[at] += 1
+        return pd.DataFrame({"class": pdf["class"].to_numpy(), "n": n})
+
+    return run
+
+
 def ngram_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    width: int = 5, threshold: tuple[int, int] = (80, 100),
+    width: int = 5, threshold: tuple[int, int] = (80, 100), count_links: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, n_links``.
 
     ``n_shingles`` is the size of the row's set of distinct ``width``-word
     shingles; rows link when den * intersection >= num * union; ``component_id``
     is the smallest id reachable by links, the own one included; ``n_links`` is
-    the number of verified links of the row's class of equal sets to other
-    classes (links inside a component that bucket linking did not need are not
-    counted).
+    the number of links of the row's class of equal sets to other classes; without
+    ``count_links`` the column is left out.
 
     Null, empty and blank texts have no shingles and link with nothing; fewer
     than ``width`` words make one shingle.  A row without id is returned with
@@ -466,16 +498,33 @@ def ngram_components(
         links = links.unionByName(more)
         parts = C.stored(contracted(links), "parts")
 
-    degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class")))
-    degree = degree.groupBy("class").agg(F.count("*").alias("n_links"))
-    of_class = parts.join(degree, "class", "left")
+    def degrees() -> DataFrame:
+        """(class, n_links) of the classes with links."""
+        known = links.join(parts.withColumnRenamed("class", "a"), "a").groupBy("component").agg(F.count("*").alias("known"))
+        sized = classes.select("class", "rep", "size").join(parts, "class")
+        whole = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+        inside = C.stored(sized.join(whole.join(known, "component", "left"), "component"), "inside")
+        closed = F.coalesce("known", F.lit(0)) == F.col("n") * (F.col("n") - 1) / 2
+        blocks = F.greatest(F.ceil(F.col("n") / INSIDE), F.ceil(F.col("total") / INSIDE_SHINGLES)).cast("int")
+        todo = inside.where(~closed).select("class", "component", "rep", blocks.alias("blocks")).withColumn(
+            "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        items = texts.join(C.joinable(todo.select(F.col("rep").alias("doc_id")).distinct(), "reps"), "doc_id", "left_semi")
+        cells = (
+            items.mapInArrow(_emit_sets(width), "class long, items binary")
+            .join(C.joinable(todo.drop("rep"), "todo"), "class")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+            .select("component", "one", "two", "class", "block", "items"))
+        counted = cells.groupBy("component", "one", "two").applyInPandas(_count_links(num, den), "class long, n long")
+        return counted.groupBy("class").agg(F.sum("n").alias("n_links")).unionByName(
+            inside.where(closed).select("class", (F.col("n") - 1).alias("n_links")))
+
+    of_class = parts.join(degrees(), "class", "left") if count_links else parts
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     key = F.when(F.col("doc_id").isNotNull(), F.col("class"))
     out = sets.withColumn("class", key).join(of_class, "class", "left")
-    return out.select(
-        "doc_id", "n_shingles",
-        F.coalesce(alone, F.col("component")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    n_links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", F.coalesce(alone, F.col("component")).alias("component_id"), *n_links)
 
 
 def _by(*cols):
@@ -488,7 +537,7 @@ def keep_one_per_group(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     """``docs`` with one document of each group: the one with the group's
     smallest ``doc_id``.  Documents without words and rows without id form no
     group and stay; exactly repeated rows of a kept document are returned once."""
-    parts = ngram_components(docs, width=width, threshold=threshold)
+    parts = ngram_components(docs, width=width, threshold=threshold, count_links=False)
     leaving = parts.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
     stay = docs.join(C.joinable(leaving, "leaving"), "doc_id", "left_anti")
     twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

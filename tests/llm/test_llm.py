@@ -295,6 +295,29 @@ def test_url_trees_learn_the_rules(spark):
     assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in out) >= 0.95 * len(out)
 
 
+@pytest.mark.parametrize("inside", [300, 4])
+def test_every_link_is_counted(spark, monkeypatch, inside):
+    monkeypatch.setattr(ngram_join, "INSIDE", inside)
+    rng = np.random.default_rng(9)
+    texts = []
+    for group, (copies, edits) in enumerate([(3, 1), (12, 1), (14, 5), (2, 1), (1, 0)]):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for _ in range(copies):
+            w = list(base)
+            for at in rng.choice(np.arange(0, 120, 6), edits, replace=False):
+                w[at] = f"x{int(rng.integers(0, 10**9))}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts)) + [(100, texts[0]), (101, ""), (101, None), (None, texts[1]), (2, texts[2])]
+    sets = {i: frozenset(zip(*(words(t)[k:] for k in range(4)))) for i, t in rows if i is not None and t}
+    classes = set(sets.values())
+    want = {i: sum(x != y and 85 * len(x | y) <= 100 * len(x & y) for y in classes) for i, x in sets.items()}
+    assert [want[i] for i in range(3)] == [2, 2, 2] and want[100] == 2
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=4, threshold=(85, 100))
+    got = got.collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_links) for r in got if r.doc_id in want} == set(want.items())
+    assert all(r.n_links == 0 for r in got if r.doc_id not in want)
+
+
 def test_pseudonyms(spark):
     texts = ["card 4845168114407329, 4111 1111 1111 1111 and 4868701055796358", "+1 (183) 555-1276 and 212-555-1000", "10.0.0.1 999.1.1.1 v1.2.3",
              "2024-02-29 2023-02-30 31/12/1999", "123-45-6789 666-12-1234", "Mail a.b@c.example.com. Mail a.b@c.example.com!", None, "", "nothing"]
