@@ -1,7 +1,9 @@
 """Personal data to format-preserving pseudonyms, in DataFrame functions only.
 
 Candidates are found by one pattern and validated (Luhn sum, octets, calendar,
-reserved blocks).  A valid value is replaced by a keyed permutation of its own
+reserved blocks).  Of a run of digit groups every span of groups that can be a card
+is tried, so a number beside a card does not hide it; the pattern of a text holds
+the spans that pass, and of two that overlap the first, then the longer one is taken.  A valid value is replaced by a keyed permutation of its own
 format: a Feistel network over two mixed-radix halves, whose round function is
 SHA-256 of the key, the kind, the round and the other half.  A permutation maps
 equal values to equal pseudonyms and different values to different ones, so
@@ -32,12 +34,15 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-PHONE = (r"(?<![0-9A-Za-z+(.-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+PHONE = (r"(?<![0-9A-Za-z+-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|-[0-9])"
          r"|(?<![0-9A-Za-z+])\+1[0-9]{10}(?![0-9A-Za-z])")
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 #: Tried in this order at every place of a text.
 KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "ipv4": IPV4, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+NOT_CARD = "|".join(f"(?:{p})" for k, p in KINDS.items() if k != "card")
+#: Every span of whole digit groups with so many digits, overlapping ones too.
+CARD_SPANS = [rf"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9A-Za-z]))" for n in range(19, 12, -1)]
 #: Without an @ or a run of digits there is nothing to find.
 HINT = r"@|[0-9]{2}|[0-9][.)]"
 
@@ -161,10 +166,20 @@ def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
         .otherwise(_card(value, key)))
 
 
+def _pattern(text: Column) -> Column:
+    """The pattern of a text's values: all kinds, and its spans with a Luhn sum of 0."""
+    spans = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CARD_SPANS])
+    cards = F.filter(F.array_distinct(spans), lambda x: _luhn_sum(_digits(x), False) % 10 == 0)
+    cards = F.when(text.rlike(CARD), cards)
+    return F.when(F.size(cards) > 0, F.concat(
+        F.lit(NOT_CARD + "|(?<![0-9A-Za-z])(?:"), F.array_join(cards, "|"), F.lit(")(?![0-9A-Za-z])"))).otherwise(F.lit(NOT_CARD))
+
+
 def _replaced(text: Column, key: str) -> Column:
     """struct(text, n, kinds of values changed) of a text with a hint in it."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    rest = F.split(text, ANY, -1)
+    pattern = _pattern(text)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    rest = F.split(text, pattern, -1)
     new = F.transform(found, lambda m: pseudonym(m, key))
     return F.struct(
         F.concat(rest[0], F.array_join(F.zip_with(new, F.slice(rest, 2, F.greatest(F.size(found), F.lit(1))),
