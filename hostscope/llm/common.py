@@ -30,11 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the cluster's shared folder and read it back: cuts the
-    lineage, survives lost executors and is columnar, unlike a checkpoint."""
+    lineage, survives lost executors and is columnar, unlike a checkpoint.  The
+    shuffle files of the write go as soon as it has ended."""
     spark = df.sparkSession
     path = shared_path(spark, "llm", name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 BROADCAST_ROWS = 1_000_000  # ids and other few-column rows: some tens of MB

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hostscope.llm import ann, decontam, langid, licenses, mixing, ngram_join, pii, toxicity, urlfilter, warc
+from hostscope.llm import (
+    ann, conversations, decontam, langid, licenses, mixing, ngram_join, pii, suffixes, toxicity, urlfilter, warc, whitening)
 from hostscope.llm.common import table
 
 BLOCK_RULES = ["net/", "example.com/de/"]
@@ -83,6 +84,22 @@ def op10_language(spark, sf):
     return langid.detect_languages(table(spark, sf, "documents"))
 
 
+@register("op11_whitening")
+def op11_whitening(spark, sf):
+    out = whitening.whiten(table(spark, sf, "embeddings"), components=4)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@register("op12_repeated_passages")
+def op12_repeated_passages(spark, sf):
+    return suffixes.repeated_passages(table(spark, sf, "documents"), least=50)
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark, sf):
+    return conversations.damage_and_repair(table(spark, sf, "conversations"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
