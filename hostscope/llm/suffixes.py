@@ -50,7 +50,7 @@ COVERS = {
     57: (0, 1, 3, 13, 32, 36, 43, 52),
 }
 BLOCK_BYTES = 4 << 20
-BUCKET_KEYS = 1 << 21  # sample hashes of a bucket, and four times the classes
+BUCKET_KEYS = 1 << 21  # sample hashes, or classes, of a bucket
 SUFFIX_BUCKET = 1 << 18  # suffixes of a block that are sorted at once
 WIDE_FROM = 1 << 31  # bytes of text from which fingerprints have 96 bits
 BROADCAST_SPANS = 250_000  # documents whose spans may go to every task
@@ -205,6 +205,19 @@ def unpack(blob) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=_U)
 
 
+def numbers(values: np.ndarray, below: int) -> bytes:
+    """Numbers in 3 or 4 bytes each."""
+    width = 3 if below <= 1 << 24 else 4
+    return bytes([width]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def read_numbers(blob) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    out = np.zeros(((len(raw) - 1) // int(raw[0]), 4), np.uint8)
+    out[:, : int(raw[0])] = raw[1:].reshape(len(out), -1)
+    return out.reshape(-1).view("<u4")
+
+
 def cut(keys: np.ndarray, bits: int, bucket_bits: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of ascending keys of ``bits`` bits, by leading bits."""
     if not len(keys):
@@ -279,19 +292,20 @@ def _meet_samples(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     run = _runs(keys[order])
     shared = np.zeros(len(keys), bool)
     shared[order] = np.bincount(run)[run] > 1
-    bits = [np.packbits(s).tobytes() for s in np.split(shared, np.cumsum(sizes)[:-1])]
+    shared = np.split(shared, np.cumsum(sizes)[:-1])
     yield pa.RecordBatch.from_arrays(
-        [table.column("block").combine_chunks() if table.num_rows == 1 else pa.concat_arrays(table.column("block").chunks),
-         pa.array([key[0].as_py()] * len(bits), pa.int64()), pa.array(bits, pa.binary())], names=["block", "bucket", "bits"])
+        [pa.concat_arrays(table.column("block").chunks), pa.array([key[0].as_py()] * len(shared), pa.int64()),
+         pa.array([np.packbits(s).tobytes() for s in shared], pa.binary()), pa.array([int(s.sum()) for s in shared], pa.int64())],
+        names=["block", "bucket", "bits", "n_shared"])
 
 
-CLASSES = "block long, bucket long, keys binary, more binary, holder binary, number binary, ids array<long>, shas array<string>, state binary"
+CLASSES = "block long, bucket long, keys binary, more binary, number binary, ids array<long>, firsts binary, shas array<string>, state binary"
 _CLASSES = pa.schema([
-    ("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("holder", pa.binary()),
-    ("number", pa.binary()), ("ids", pa.list_(pa.int64())), ("shas", pa.list_(pa.string())), ("state", pa.binary())])
+    ("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("number", pa.binary()),
+    ("ids", pa.list_(pa.int64())), ("firsts", pa.binary()), ("shas", pa.list_(pa.string())), ("state", pa.binary())])
 
 
-def _send_classes(least: int, bits: int, bucket_bits: int, wide: bool):
+def _send_classes(least: int, bits: int, first_bits: int, then_bits: int, wide: bool):
     """The classes of a block: a row of packed fingerprints a bucket, and one row
     (no keys) with the class of each of its suffixes, which passes the buckets as is."""
 
@@ -302,7 +316,7 @@ def _send_classes(least: int, bits: int, bucket_bits: int, wide: bool):
         block = Block(texts)
         at, keys, which = block.samples(least, bits)
         answers = sorted(answers.select(["bucket", "bits"]).to_pylist(), key=lambda r: r["bucket"])
-        sizes = [j - i for _, i, j in cut(keys, bits, answers_bits)]
+        sizes = [j - i for _, i, j in cut(keys, bits, first_bits)]
         elsewhere = np.concatenate([
             np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=n).astype(bool) for r, n in zip(answers, sizes)]
             or [np.zeros(0, bool)])
@@ -315,16 +329,12 @@ def _send_classes(least: int, bits: int, bucket_bits: int, wide: bool):
         marks = hash_at(words, heads, least, 1)
         more = hash_at(words, heads, least, 2).astype("<u4") if wide else None
         order = np.argsort(marks, kind="stable")
-        owner = block.text_of(heads)
-        rows = []
-        for bucket, i, j in cut(marks[order], 64, bucket_bits):
-            these = order[i:j]
-            texts_here, local = np.unique(owner[these], return_inverse=True)
-            rows.append({
-                "block": number, "bucket": bucket, "keys": pack(marks[these]),
-                "more": more[these].tobytes() if wide else None,
-                "holder": local.astype("<u2" if len(texts_here) < 1 << 16 else "<u4").tobytes(),
-                "number": these.astype("<u4").tobytes(), "ids": block.ids[texts_here].tolist()})
+        holders, firsts = np.unique(block.text_of(heads), return_index=True)  # classes are numbered by text
+        rows = [{
+            "block": number, "bucket": bucket, "keys": pack(marks[order[i:j]]),
+            "more": more[order[i:j]].tobytes() if wide else None, "number": numbers(order[i:j], len(heads)),
+            "ids": block.ids[holders].tolist(), "firsts": firsts.astype("<u4").tobytes()}
+            for bucket, i, j in cut(marks[order], 64, then_bits)]
         steps = np.diff(at, prepend=at[0] - 2)
         run_begin = np.flatnonzero(steps != 1)
         class_of = np.searchsorted(heads, holder)
@@ -338,8 +348,6 @@ def _send_classes(least: int, bits: int, bucket_bits: int, wide: bool):
             "shas": [block.shas[i] for i in with_any.tolist()], "state": zlib.compress(state, 1)})
         return pa.Table.from_pylist(rows, _CLASSES)
 
-    answers_bits = bucket_bits[0]
-    bucket_bits = bucket_bits[1]
     return run
 
 
@@ -351,30 +359,34 @@ _MET = pa.schema([("block", pa.int64()), ("number", pa.binary()), ("ids", pa.lis
 def _meet_classes(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every block the numbers of its classes that a smaller document of another
     block holds."""
-    blocks, keys, more, docs, numbers = [], [], [], [], []
+    blocks, keys, more, docs, counted = [], [], [], [], []
     for batch in batches:
         passing = batch.filter(pc.is_valid(batch.column("state")))
         if passing.num_rows:
             yield passing.select(["block", "number", "ids", "shas", "state"]).cast(_MET)
         for r in batch.filter(pc.is_valid(batch.column("keys"))).select(
-                ["block", "keys", "more", "holder", "number", "ids"]).to_pylist():
-            k, ids = unpack(r["keys"]), np.array(r["ids"], np.int64)
+                ["block", "keys", "more", "number", "ids", "firsts"]).to_pylist():
+            n = read_numbers(r["number"])
             blocks.append(r["block"])
-            keys.append(k)
-            more.append(np.zeros(len(k), "<u4") if r["more"] is None else np.frombuffer(r["more"], "<u4"))
-            docs.append(ids[np.frombuffer(r["holder"], f"<u{len(r['holder']) // len(k)}")])
-            numbers.append(np.frombuffer(r["number"], "<u4"))
+            keys.append(unpack(r["keys"]))
+            more.append(None if r["more"] is None else np.frombuffer(r["more"], "<u4"))
+            docs.append(np.array(r["ids"], np.int64)[np.searchsorted(np.frombuffer(r["firsts"], "<u4"), n, "right") - 1])
+            counted.append(n)
     if not keys:
         return
     sizes = np.cumsum([len(k) for k in keys])[:-1]
-    k, m, d = np.concatenate(keys), np.concatenate(more), np.concatenate(docs)
-    order = np.lexsort((d, m, k))
-    fresh = np.ones(len(k), bool)
-    fresh[1:] = (k[order][1:] != k[order][:-1]) | (m[order][1:] != m[order][:-1])
-    least = d[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    k, d = np.concatenate(keys), np.concatenate(docs)
+    if more[0] is None:
+        order = np.argsort(k, kind="stable")
+        run = _runs(k[order])
+    else:
+        m = np.concatenate(more)
+        order = np.lexsort((m, k))
+        run = _runs(_runs(k[order]) * (1 << 32) + m[order])
+    least = np.minimum.reduceat(d[order], np.flatnonzero(np.diff(run, prepend=-1)))[run]
     goes = np.zeros(len(k), bool)
     goes[order] = d[order] > least
-    out = [{"block": b, "number": n[g].tobytes()} for b, n, g in zip(blocks, numbers, np.split(goes, sizes)) if g.any()]
+    out = [{"block": b, "number": n[g].tobytes()} for b, n, g in zip(blocks, counted, np.split(goes, sizes)) if g.any()]
     yield pa.RecordBatch.from_pylist(out, _MET)
 
 
@@ -467,14 +479,15 @@ def repeated_spans(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
     period, cover = cover_of(least)
     bits = min(64, _power(total) + 16)
     first_bits = min(bits, _power(total * len(cover) / period / BUCKET_KEYS))
-    then_bits = _power(total / 4 / BUCKET_KEYS) + 2
     blocks = max(1, -(-total // BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
     answers = C.stored(
         dealt.groupBy("block").applyInArrow(_send_samples(least, bits, first_bits), "block long, bucket long, keys binary")
-        .groupBy("bucket").applyInArrow(_meet_samples, "block long, bucket long, bits binary"), "samples")
+        .groupBy("bucket").applyInArrow(_meet_samples, "block long, bucket long, bits binary, n_shared long"), "samples")
+    shared = answers.agg(F.sum("n_shared")).first()[0] or 0
+    then_bits = _power(shared * period / len(cover) / BUCKET_KEYS)
     classes = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _send_classes(least, bits, (first_bits, then_bits), total >= WIDE_FROM), CLASSES)
+        _send_classes(least, bits, first_bits, then_bits, total >= WIDE_FROM), CLASSES)
     met = C.stored(classes.groupBy("bucket").applyInArrow(_meet_classes, MET), "classes")
     C.discard(answers)
     spans = C.stored(met.groupBy("block").applyInArrow(_spans(least), SPANS), "spans")
