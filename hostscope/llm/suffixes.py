@@ -205,6 +205,24 @@ def unpack(blob) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=_U)
 
 
+def arrays(*values: np.ndarray) -> bytes:
+    """Whole numbers as compressed differences, for what is in order or in runs."""
+    steps = [np.diff(v.astype(np.int64), prepend=0) for v in values]
+    kinds = [next((t for t in ("<i1", "<i2", "<i4") if not len(s) or (np.iinfo(t).min <= s.min() and s.max() <= np.iinfo(t).max)), "<i8")
+             for s in steps]
+    head = np.array([[len(s), int(t[2])] for s, t in zip(steps, kinds)], "<u8").tobytes()
+    return bytes([len(values)]) + head + zlib.compress(b"".join(s.astype(t).tobytes() for s, t in zip(steps, kinds)), 1)
+
+
+def read_arrays(blob: bytes) -> list[np.ndarray]:
+    head = np.frombuffer(blob, "<u8", 2 * blob[0], 1).reshape(-1, 2).tolist()
+    raw, at, out = zlib.decompress(blob[1 + 16 * blob[0] :]), 0, []
+    for n, width in head:
+        out.append(np.cumsum(np.frombuffer(raw, f"<i{width}", n, at).astype(np.int64)))
+        at += n * width
+    return out
+
+
 def numbers(values: np.ndarray, below: int) -> bytes:
     """Numbers in 3 or 4 bytes each."""
     width = 3 if below <= 1 << 24 else 4
@@ -299,10 +317,10 @@ def _meet_samples(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         names=["block", "bucket", "bits", "n_shared"])
 
 
-CLASSES = "block long, bucket long, keys binary, more binary, number binary, ids array<long>, firsts binary, shas array<string>, state binary"
+CLASSES = "block long, bucket long, keys binary, more binary, number binary, holders binary, ids array<long>, shas array<string>, state binary"
 _CLASSES = pa.schema([
     ("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("number", pa.binary()),
-    ("ids", pa.list_(pa.int64())), ("firsts", pa.binary()), ("shas", pa.list_(pa.string())), ("state", pa.binary())])
+    ("holders", pa.binary()), ("ids", pa.list_(pa.int64())), ("shas", pa.list_(pa.string())), ("state", pa.binary())])
 
 
 def _send_classes(least: int, bits: int, first_bits: int, then_bits: int, wide: bool):
@@ -330,22 +348,19 @@ def _send_classes(least: int, bits: int, first_bits: int, then_bits: int, wide:
         more = hash_at(words, heads, least, 2).astype("<u4") if wide else None
         order = np.argsort(marks, kind="stable")
         holders, firsts = np.unique(block.text_of(heads), return_index=True)  # classes are numbered by text
+        holders = arrays(block.ids[holders], firsts)
         rows = [{
             "block": number, "bucket": bucket, "keys": pack(marks[order[i:j]]),
-            "more": more[order[i:j]].tobytes() if wide else None, "number": numbers(order[i:j], len(heads)),
-            "ids": block.ids[holders].tolist(), "firsts": firsts.astype("<u4").tobytes()}
+            "more": more[order[i:j]].tobytes() if wide else None, "number": numbers(order[i:j], len(heads)), "holders": holders}
             for bucket, i, j in cut(marks[order], 64, then_bits)]
         steps = np.diff(at, prepend=at[0] - 2)
         run_begin = np.flatnonzero(steps != 1)
         class_of = np.searchsorted(heads, holder)
         with_any = np.unique(block.text_of(at))
-        state = b"".join(
-            np.array(len(x), "<u4").tobytes() + x.astype("<i4").tobytes()
-            for x in (at[run_begin], np.diff(run_begin, append=len(at)), np.diff(class_of, prepend=0),
-                      block.starts[with_any], block.ends[with_any]))
+        state = arrays(at[run_begin], np.diff(run_begin, append=len(at)), class_of, block.starts[with_any])
         rows.append({
             "block": number, "bucket": rows[0]["bucket"], "ids": block.ids[with_any].tolist(),
-            "shas": [block.shas[i] for i in with_any.tolist()], "state": zlib.compress(state, 1)})
+            "shas": [block.shas[i] for i in with_any.tolist()], "state": state})
         return pa.Table.from_pylist(rows, _CLASSES)
 
     return run
@@ -365,12 +380,12 @@ def _meet_classes(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
         if passing.num_rows:
             yield passing.select(["block", "number", "ids", "shas", "state"]).cast(_MET)
         for r in batch.filter(pc.is_valid(batch.column("keys"))).select(
-                ["block", "keys", "more", "number", "ids", "firsts"]).to_pylist():
-            n = read_numbers(r["number"])
+                ["block", "keys", "more", "number", "holders"]).to_pylist():
+            n, (ids, firsts) = read_numbers(r["number"]), read_arrays(r["holders"])
             blocks.append(r["block"])
             keys.append(unpack(r["keys"]))
             more.append(None if r["more"] is None else np.frombuffer(r["more"], "<u4"))
-            docs.append(np.array(r["ids"], np.int64)[np.searchsorted(np.frombuffer(r["firsts"], "<u4"), n, "right") - 1])
+            docs.append(ids[np.searchsorted(firsts, n, "right") - 1])
             counted.append(n)
     if not keys:
         return
@@ -386,7 +401,7 @@ def _meet_classes(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     least = np.minimum.reduceat(d[order], np.flatnonzero(np.diff(run, prepend=-1)))[run]
     goes = np.zeros(len(k), bool)
     goes[order] = d[order] > least
-    out = [{"block": b, "number": n[g].tobytes()} for b, n, g in zip(blocks, counted, np.split(goes, sizes)) if g.any()]
+    out = [{"block": b, "number": arrays(np.sort(n[g]))} for b, n, g in zip(blocks, counted, np.split(goes, sizes)) if g.any()]
     yield pa.RecordBatch.from_pylist(out, _MET)
 
 
@@ -402,17 +417,11 @@ def _spans(least: int):
         for batch in batches:
             for r in batch.to_pylist():
                 if r["state"] is not None:
-                    state, ids, shas = zlib.decompress(r["state"]), np.array(r["ids"], np.int64), r["shas"]
+                    state, ids, shas = read_arrays(r["state"]), np.array(r["ids"], np.int64), r["shas"]
                 else:
-                    goes.append(np.frombuffer(r["number"], "<u4"))
-        parts, at = [], 0
-        for _ in range(5):
-            n = int(np.frombuffer(state, "<u4", 1, at)[0])
-            parts.append(np.frombuffer(state, "<i4", n, at + 4).astype(np.int64))
-            at += 4 + 4 * n
-        run_at, run_n, step, starts, ends = parts
+                    goes += read_arrays(r["number"])
+        run_at, run_n, class_of, starts = state
         at = np.repeat(run_at - np.concatenate([[0], np.cumsum(run_n)[:-1]]), run_n) + np.arange(int(run_n.sum()))
-        class_of = np.cumsum(step)
         text = np.searchsorted(starts, at, "right") - 1
         _, head = np.unique(class_of, return_index=True)
         gone = ids[text] > ids[text[head]][class_of]
@@ -514,7 +523,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     rows = _documents(docs, id_col, text_col)
     known = C.stored(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     taking_part = known.where((F.col("n_bytes") >= least) & F.col("doc_id").isNotNull())
-    earliest = taking_part.groupBy("sha").agg(F.min("doc_id").alias("earliest"))
+    earliest = taking_part.groupBy("sha").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"))
+    earliest = C.joinable(earliest.where("latest > earliest").drop("latest"), "earliest")
     copies = C.joinable(
         taking_part.join(earliest, "sha").where("doc_id > earliest").select("doc_id", "sha").distinct(), "copies")
     originals = rows.where((F.octet_length("text") >= least) & F.col("doc_id").isNotNull()).join(copies, ["doc_id", "sha"], "left_anti")

@@ -93,6 +93,10 @@ def test_packed_keys_round_trip():
     for n, top in [(0, 10), (1, 2**64 - 1), (1000, 2**40), (1000, 2**55), (5, 2**64 - 1)]:
         keys = np.sort(r.integers(0, top, n, dtype=np.uint64))
         assert (sx.unpack(sx.pack(keys)) == keys).all()
+    some = [np.array([], int), np.array([-5, 9**17, 3]), np.arange(300) * 7, np.array([1, 200, -60_000])]
+    assert [x.tolist() for x in sx.read_arrays(sx.arrays(*some))] == [x.tolist() for x in some]
+    for below in (5, 1 << 25):
+        assert sx.read_numbers(sx.numbers(np.array([4, 0, 2]), below)).tolist() == [4, 0, 2]
 
 
 def test_empty_tables(spark):
