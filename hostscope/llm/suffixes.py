@@ -224,16 +224,20 @@ def read_arrays(blob: bytes) -> list[np.ndarray]:
 
 
 def numbers(values: np.ndarray, below: int) -> bytes:
-    """Numbers in 3 or 4 bytes each."""
-    width = 3 if below <= 1 << 24 else 4
-    return bytes([width]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+    """Numbers of 20 bits, if all are below 2^20, or of 32 bits each."""
+    if below > 1 << 20:
+        return b"\x20" + values.astype("<u4").tobytes()
+    high = np.append(values >> 16, 0)[: len(values) + len(values) % 2].astype(np.uint8)
+    return bytes([20, len(values) % 2]) + (values & 0xFFFF).astype("<u2").tobytes() + (high[::2] | high[1::2] << 4).tobytes()
 
 
 def read_numbers(blob) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8)
-    out = np.zeros(((len(raw) - 1) // int(raw[0]), 4), np.uint8)
-    out[:, : int(raw[0])] = raw[1:].reshape(len(out), -1)
-    return out.reshape(-1).view("<u4")
+    if blob[0] == 32:
+        return np.frombuffer(blob, "<u4", offset=1).astype(np.int64)
+    n = (len(blob) - 2 - 3 * blob[1]) // 5 * 2 + blob[1]  # a pair has 5 bytes, an odd one 3
+    pairs = np.frombuffer(blob, np.uint8, offset=2 + 2 * n).astype(np.int64)
+    high = np.stack([pairs & 15, pairs >> 4], 1).ravel()[:n]
+    return np.frombuffer(blob, "<u2", n, 2).astype(np.int64) | high << 16
 
 
 def cut(keys: np.ndarray, bits: int, bucket_bits: int) -> list[tuple[int, int, int]]:

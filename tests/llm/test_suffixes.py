@@ -95,8 +95,9 @@ def test_packed_keys_round_trip():
         assert (sx.unpack(sx.pack(keys)) == keys).all()
     some = [np.array([], int), np.array([-5, 9**17, 3]), np.arange(300) * 7, np.array([1, 200, -60_000])]
     assert [x.tolist() for x in sx.read_arrays(sx.arrays(*some))] == [x.tolist() for x in some]
-    for below in (5, 1 << 25):
-        assert sx.read_numbers(sx.numbers(np.array([4, 0, 2]), below)).tolist() == [4, 0, 2]
+    for below, n in [(1 << 20, 0), (1 << 20, 1), (1 << 20, 2), (1 << 20, 7), (1 << 25, 0), (1 << 25, 5)]:
+        values = r.integers(0, below, n)
+        assert (sx.read_numbers(sx.numbers(values, below)) == values).all()
 
 
 def test_empty_tables(spark):
