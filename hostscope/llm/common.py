@@ -54,6 +54,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """The tables that one operator stores, to be deleted together once its result
+    no longer reads them."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(stored(df, name))
+        return self.tables[-1]
+
+    def joinable(self, df: DataFrame, name: str) -> DataFrame:
+        side = self.stored(df, name)
+        return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 BROADCAST_ROWS = 1_000_000  # ids and other few-column rows: some tens of MB
 
 

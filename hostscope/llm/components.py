@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostscope.llm.common import stored
+from hostscope.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -49,7 +49,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("u", "v").where(F.col("u") != F.col("v")).distinct(), "links")
     last = _state(edges)
     while last[0]:
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+        discard(before)
         now = _state(edges)
         if now == last:
             break

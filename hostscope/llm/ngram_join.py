@@ -21,12 +21,15 @@ which includes the size).  Every bucket of a key pairs its classes with the
 smallest one; of its pairs every class has one verified, exactly on the shingle
 sets: a linear number.
 Where a bucket still spans several components, its remaining pairs across
-components are joined (small buckets) or compared in blocks of ``BLOCK``
-classes, with a sound filter (the
-difference of two bin histograms never exceeds the difference of the sets; long
-sets have a second, finer histogram, so that the filter is as sharp for them), and
-what passes is verified exactly.  So no link between components is lost, while
-a group of thousands of near copies costs one pass instead of all its pairs.
+components are met with a sound filter (the difference of two bin histograms
+never exceeds the difference of the sets; long sets have a second, finer
+histogram, so that the filter is as sharp for them), and what passes is verified
+exactly.  Pairs of small buckets are joined.  Large buckets are compared in blocks
+of ``BLOCK`` classes: a first pass names the classes that pass the filter with any
+class of another component, a second one has their exact sets and returns only
+links that join components.  So no link between components is lost, while a group
+of thousands of near copies costs one pass instead of all its pairs, and the rows
+that leave a block are at most those of its classes.
 
 Number of links.  Links lie inside components, so where not every pair of a
 component is a verified link already, all its pairs are compared once, in blocks of
@@ -42,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostscope.llm import common as C
@@ -57,7 +60,7 @@ BINS = 1 << BIN_BITS  # histogram bins of the filter
 FINE_SHARE = 8  # shingles a bin of the finer histogram, for sets of more than FINE_SHARE * BINS
 FEW = 64  # classes of a bucket up to which its pairs are joined directly
 BLOCK = 1_000  # classes that are compared with each other at once
-INSIDE = 300  # classes of a component that are compared with each other at once
+INSIDE = 300  # classes whose exact sets are compared with each other at once
 INSIDE_SHINGLES = 1_000_000  # and their shingles
 FLUSH = 4_000_000  # keys a task holds before it sends them on
 _U = np.uint64
@@ -313,27 +316,59 @@ def _filter_fine(num: int, den: int):
     return run
 
 
-def _cross_pairs(num: int, den: int):
-    """Pairs of one block pair that lie in different components and pass the filter."""
+def _near_other(num: int, den: int):
+    """(key, class) of the classes of one block pair that pass the filter with a class
+    of another component."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = int(key[1]), int(key[2])
         bins = np.frombuffer(b"".join(pdf["bins"]), "<u4").reshape(-1, BINS).astype(np.int64)
-        size, comp, cls = bins.sum(1), pdf["component"].to_numpy(), pdf["class"].to_numpy()
-        block = pdf["block"].to_numpy()
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        size, comp, block = bins.sum(1), pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        hit = np.zeros(len(pdf), bool)
+        for i, at in _pairs_across(block, int(key[1]), int(key[2]), comp):
+            at = at[_near(size[i], bins[i], size[at], bins[at], num, den)]
+            hit[at] = True
+            hit[i] |= len(at) > 0
+        return pd.DataFrame({"key": np.full(int(hit.sum()), key[0]), "class": pdf["class"].to_numpy()[hit]})
+
+    return run
+
+
+def _pairs_across(block: np.ndarray, one: int, two: int, group: np.ndarray):
+    """(i, members that i is to be compared with) in a block pair; ``group`` is read
+    anew at every step, so that what was joined meanwhile is left out."""
+    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    for i in left:
+        at = right if one != two else right[right > i]
+        at = at[group[at] != group[i]]
+        if len(at):
+            yield i, at
+
+
+def _cross_links(num: int, den: int):
+    """Links of one block pair that join components, on the exact sets: a spanning
+    forest, so at most one row less than there are components."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("class")
+        sets = [np.frombuffer(x, _U) for x in pdf["items"]]
+        size, cls = np.array([len(x) for x in sets]), pdf["class"].to_numpy()
+        bins = np.stack([np.bincount((x >> _U(64 - BIN_BITS)).astype(np.int64), minlength=BINS) for x in sets])
+        universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(ids, np.cumsum(size)[:-1])
+        group, mark = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1], np.zeros(len(universe), bool)
         a, b = [], []
-        for i in left:
-            at = right if one != two else right[right > i]
-            at = at[comp[at] != comp[i]]
-            if len(at):
-                at = at[_near(size[i], bins[i], size[at], bins[at], num, den)]
-                a.append(np.full(len(at), cls[i]))
-                b.append(cls[at])
-        if not a:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        for i, at in _pairs_across(pdf["block"].to_numpy(), int(key[1]), int(key[2]), group):
+            at = at[_near(size[i], bins[i], size[at], bins[at], num, den)]
+            mark[ids[i]] = True
+            for j in at:
+                if group[j] != group[i]:
+                    both = int(np.count_nonzero(mark[ids[j]]))
+                    if both * den >= num * (size[i] + size[j] - both):
+                        a.append(min(cls[i], cls[j]))
+                        b.append(max(cls[i], cls[j]))
+                        group[group == group[j]] = group[i]
+            mark[ids[i]] = False
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
@@ -390,6 +425,7 @@ def ngram_components(
     scheme = Scheme(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    tmp = C.Scratch()
     described = C.stored(rows.mapInArrow(_describe(width, scheme), SETS), "sets")
     sets = described.where("kind = 0").select(
         F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("class"), "bins", "fine")
@@ -402,7 +438,7 @@ def ngram_components(
     times = np.array([r.times for r in top], np.int64)[order]
 
     taking_part = sets.where("doc_id IS NOT NULL AND class IS NOT NULL")
-    classes = C.stored(
+    classes = tmp.stored(
         taking_part.groupBy("class").agg(
             F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"),
             F.min("bins").alias("bins"), F.min("fine").alias("fine")), "classes")
@@ -414,31 +450,34 @@ def ngram_components(
     # their b in the partitioning and are spread over all tasks
     forward = F.col("b").isNull()
     low = F.min(F.when(forward, F.col("a"))).over(_by("key", "b"))
-    buckets = C.stored(
+    buckets = tmp.stored(
         sent.select("key", F.when(forward, low).otherwise(F.col("a")).alias("a"),
                     F.when(forward, F.col("a")).otherwise(F.col("b")).alias("b"))
         .where("a <> b").select("key", "a", "b"), "buckets")
 
     texts = named  # whole texts again for the few classes that need their sets
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link, on their exact sets."""
-        pairs = C.stored(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """(class, items) of the given distinct classes."""
         wanted = ends.join(classes, "class").select("class", F.col("rep").alias("doc_id"))
-        items = texts.join(C.joinable(wanted.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi")
+        items = texts.join(tmp.joinable(wanted.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi")
         items = items.mapInArrow(_emit_sets(width), "class long, items binary")
-        items = C.stored(items.join(ends, "class", "left_semi"), "items")
+        return tmp.stored(items.join(ends, "class", "left_semi"), "items")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that link, on their exact sets."""
+        pairs = tmp.stored(pairs, "pairs")
+        items = sets_of(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
         x = items.select(F.col("class").alias("a"), F.col("items").alias("x"))
         y = items.select(F.col("class").alias("b"), F.col("items").alias("y"))
-        return C.stored(
+        return tmp.stored(
             pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
             .mapInArrow(_verify(num, den), "a long, b long").distinct(), "links")
 
     def near(pairs: DataFrame) -> DataFrame:
         x = classes.select(F.col("class").alias("a"), F.col("bins").alias("ba"))
         y = classes.select(F.col("class").alias("b"), F.col("bins").alias("bb"))
-        pairs = C.stored(
+        pairs = tmp.stored(
             pairs.join(x, "a").join(y, "b").select("a", "b", "n", "ba", "bb")
             .mapInArrow(_filter_pairs(num, den), "a long, b long, n long"), "close")
         long_sets = classes.where("fine IS NOT NULL")
@@ -464,10 +503,10 @@ def ngram_components(
     # one pair per class first: what it links need not be verified again
     # (the one with the most buckets in common)
     common = near(buckets.groupBy("a", "b").agg(F.count("*").alias("n")))
-    tried = C.stored(
+    tried = tmp.stored(
         common.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"), "tried")
     links = verified(tried)
-    parts = C.stored(contracted(links), "parts")
+    parts = tmp.stored(contracted(links), "parts")
 
     # what the buckets still have to say: pairs across components
     members = buckets.select("key", F.col("a").alias("class")).union(
@@ -476,42 +515,50 @@ def ngram_components(
     mixed = members.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")
     ).where("lo <> hi").select("key", "n")
-    members = C.stored(members.join(mixed, "key"), "members")
+    members = tmp.stored(members.join(mixed, "key"), "members")
     few, many = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
     # at most FEW / 2 pairs per row of a small bucket
     x = few.select("key", F.col("class").alias("a"), F.col("component").alias("ca"))
     y = few.select("key", F.col("class").alias("b"), F.col("component").alias("cb"))
     rest = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
     rest = near(rest.withColumn("n", F.lit(0).cast("long"))).select("a", "b")
-    if not many.isEmpty():
-        spread = (
-            many.join(classes.select("class", "bins"), "class")
-            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-            .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-        )
-        rest = rest.unionByName(
-            spread.groupBy("key", "one", "two").applyInPandas(_cross_pairs(num, den), "a long, b long")).distinct()
     more = verified(rest.join(tried, ["a", "b"], "left_anti"))  # a < b in both
+    if not many.isEmpty():
+        def block_pairs(rows: DataFrame, blocks: Column) -> DataFrame:
+            return (
+                rows.withColumn("blocks", blocks.cast("int"))
+                .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")))
+
+        hit = tmp.stored(
+            block_pairs(many.join(classes.select("class", "bins"), "class"), F.ceil(F.col("n") / BLOCK))
+            .groupBy("key", "one", "two").applyInPandas(_near_other(num, den), "key long, class long").distinct(), "hit")
+        sized = hit.join(classes.select("class", "size"), "class")
+        sized = sized.join(sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "key")
+        cells = block_pairs(
+            sized.join(parts, "class"), F.greatest(F.ceil(F.col("n") / INSIDE), F.ceil(F.col("total") / INSIDE_SHINGLES))
+        ).join(sets_of(hit.select("class").distinct()), "class").select("key", "one", "two", "class", "component", "block", "items")
+        found = cells.groupBy("key", "one", "two").applyInPandas(_cross_links(num, den), "a long, b long")
+        more = more.unionByName(tmp.stored(found.distinct(), "links"))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        parts = C.stored(contracted(links), "parts")
+        links = links.unionByName(more).distinct()
+        parts = tmp.stored(contracted(links), "parts")
 
     def degrees() -> DataFrame:
         """(class, n_links) of the classes with links."""
         known = links.join(parts.withColumnRenamed("class", "a"), "a").groupBy("component").agg(F.count("*").alias("known"))
         sized = classes.select("class", "rep", "size").join(parts, "class")
         whole = sized.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
-        inside = C.stored(sized.join(whole.join(known, "component", "left"), "component"), "inside")
+        inside = tmp.stored(sized.join(whole.join(known, "component", "left"), "component"), "inside")
         closed = F.coalesce("known", F.lit(0)) == F.col("n") * (F.col("n") - 1) / 2
         blocks = F.greatest(F.ceil(F.col("n") / INSIDE), F.ceil(F.col("total") / INSIDE_SHINGLES)).cast("int")
         todo = inside.where(~closed).select("class", "component", "rep", blocks.alias("blocks")).withColumn(
             "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        items = texts.join(C.joinable(todo.select(F.col("rep").alias("doc_id")).distinct(), "reps"), "doc_id", "left_semi")
+        items = texts.join(tmp.joinable(todo.select(F.col("rep").alias("doc_id")).distinct(), "reps"), "doc_id", "left_semi")
         cells = (
             items.mapInArrow(_emit_sets(width), "class long, items binary")
-            .join(C.joinable(todo.drop("rep"), "todo"), "class")
+            .join(tmp.joinable(todo.drop("rep"), "todo"), "class")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
             .select("component", "one", "two", "class", "block", "items"))
@@ -519,7 +566,8 @@ def ngram_components(
         return counted.groupBy("class").agg(F.sum("n").alias("n_links")).unionByName(
             inside.where(closed).select("class", (F.col("n") - 1).alias("n_links")))
 
-    of_class = parts.join(degrees(), "class", "left") if count_links else parts
+    of_class = C.stored(parts.join(degrees(), "class", "left") if count_links else parts, "components")
+    tmp.clear()
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
     key = F.when(F.col("doc_id").isNotNull(), F.col("class"))
     out = sets.withColumn("class", key).join(of_class, "class", "left")
