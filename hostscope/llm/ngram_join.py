@@ -25,8 +25,8 @@ components are met with a sound filter (the difference of two bin histograms
 never exceeds the difference of the sets; long sets have a second, finer
 histogram, so that the filter is as sharp for them), and what passes is verified
 exactly.  Pairs of small buckets are joined.  Large buckets are compared in blocks
-of ``BLOCK`` classes: a first pass names the classes that pass the filter with any
-class of another component, a second one has their exact sets and returns only
+of ``BLOCK`` classes, each pair under the least bucket key it shares: a first pass
+names the classes that pass the filter with any class of another component, a second one has their exact sets and returns only
 links that join components.  So no link between components is lost, while a group
 of thousands of near copies costs one pass instead of all its pairs, and the rows
 that leave a block are at most those of its classes.
@@ -318,14 +318,16 @@ def _filter_fine(num: int, den: int):
 
 def _near_other(num: int, den: int):
     """(key, class) of the classes of one block pair that pass the filter with a class
-    of another component."""
+    of another component.  Two classes are met under the least key they share."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        earlier = [frozenset(k) for k in pdf["earlier"]]
         bins = np.frombuffer(b"".join(pdf["bins"]), "<u4").reshape(-1, BINS).astype(np.int64)
         size, comp, block = bins.sum(1), pdf["component"].to_numpy(), pdf["block"].to_numpy()
         hit = np.zeros(len(pdf), bool)
         for i, at in _pairs_across(block, int(key[1]), int(key[2]), comp):
             at = at[_near(size[i], bins[i], size[at], bins[at], num, den)]
+            at = [j for j in at if earlier[i].isdisjoint(earlier[j])]
             hit[at] = True
             hit[i] |= len(at) > 0
         return pd.DataFrame({"key": np.full(int(hit.sum()), key[0]), "class": pdf["class"].to_numpy()[hit]})
@@ -531,8 +533,12 @@ def ngram_components(
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                 .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")))
 
+        # of a class, as many keys as it keeps at most
+        shared = many.groupBy("class").agg(F.collect_list("key").alias("keys"))
+        spread = many.join(shared, "class").select(
+            "key", "class", "component", "n", F.filter("keys", lambda k: k < F.col("key")).alias("earlier"))
         hit = tmp.stored(
-            block_pairs(many.join(classes.select("class", "bins"), "class"), F.ceil(F.col("n") / BLOCK))
+            block_pairs(spread.join(classes.select("class", "bins"), "class"), F.ceil(F.col("n") / BLOCK))
             .groupBy("key", "one", "two").applyInPandas(_near_other(num, den), "key long, class long").distinct(), "hit")
         sized = hit.join(classes.select("class", "size"), "class")
         sized = sized.join(sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "key")
