@@ -62,6 +62,7 @@ FEW = 64  # classes of a bucket up to which its pairs are joined directly
 BLOCK = 1_000  # classes that are compared with each other at once
 INSIDE = 300  # classes whose exact sets are compared with each other at once
 INSIDE_SHINGLES = 1_000_000  # and their shingles
+CROSS, CROSS_SHINGLES = 2_000, 4_000_000  # the same for links that join components: fewer, larger blocks
 FLUSH = 4_000_000  # keys a task holds before it sends them on
 _U = np.uint64
 
@@ -543,7 +544,7 @@ def ngram_components(
         sized = hit.join(classes.select("class", "size"), "class")
         sized = sized.join(sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "key")
         cells = block_pairs(
-            sized.join(parts, "class"), F.greatest(F.ceil(F.col("n") / INSIDE), F.ceil(F.col("total") / INSIDE_SHINGLES))
+            sized.join(parts, "class"), F.greatest(F.ceil(F.col("n") / CROSS), F.ceil(F.col("total") / CROSS_SHINGLES))
         ).join(sets_of(hit.select("class").distinct()), "class").select("key", "one", "two", "class", "component", "block", "items")
         found = cells.groupBy("key", "one", "two").applyInPandas(_cross_links(num, den), "a long, b long")
         more = more.unionByName(tmp.stored(found.distinct(), "links"))
