@@ -296,23 +296,21 @@ def _filter_pairs(num: int, den: int):
     return run
 
 
-def _filter_fine(num: int, den: int):
-    """The same test on the finer histograms; pairs without two of them pass."""
+def _near_fine(na: int, x: bytes | None, nb: int, y: bytes | None, num: int, den: int) -> bool:
+    """The same test on the finer histograms; True without two of them."""
+    if x is None or y is None:
+        return True
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    n = min(len(x), len(y))
+    apart = int(np.abs(x.reshape(n, -1).sum(1) - y.reshape(n, -1).sum(1)).sum())
+    return apart * (den + num) <= (na + nb) * (den - num)
+
 
+def _filter_fine(num: int, den: int):
     def run(batches):
         for batch in batches:
-            ok = []
-            for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(),
-                                    batch.column("fa"), batch.column("fb")):
-                if not (x.is_valid and y.is_valid):
-                    ok.append(True)
-                    continue
-                x = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64)
-                y = np.frombuffer(y.as_buffer(), np.uint8).astype(np.int64)
-                n = min(len(x), len(y))
-                apart = int(np.abs(x.reshape(n, -1).sum(1) - y.reshape(n, -1).sum(1)).sum())
-                ok.append(apart * (den + num) <= (na + nb) * (den - num))
-            yield batch.select(["a", "b", "n"]).filter(pa.array(ok, pa.bool_()))
+            sides = zip(*(batch.column(c).to_pylist() for c in ("na", "fa", "nb", "fb")))
+            yield batch.select(["a", "b", "n"]).filter(pa.array([_near_fine(*s, num, den) for s in sides], pa.bool_()))
 
     return run
 
@@ -322,13 +320,14 @@ def _near_other(num: int, den: int):
     of another component.  Two classes are met under the least key they share."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        earlier = [frozenset(k) for k in pdf["earlier"]]
+        earlier, fine = [frozenset(k) for k in pdf["earlier"]], pdf["fine"].tolist()
         bins = np.frombuffer(b"".join(pdf["bins"]), "<u4").reshape(-1, BINS).astype(np.int64)
         size, comp, block = bins.sum(1), pdf["component"].to_numpy(), pdf["block"].to_numpy()
         hit = np.zeros(len(pdf), bool)
         for i, at in _pairs_across(block, int(key[1]), int(key[2]), comp):
             at = at[_near(size[i], bins[i], size[at], bins[at], num, den)]
-            at = [j for j in at if earlier[i].isdisjoint(earlier[j])]
+            at = [j for j in at if earlier[i].isdisjoint(earlier[j])
+                  and _near_fine(size[i], fine[i], size[j], fine[j], num, den)]
             hit[at] = True
             hit[i] |= len(at) > 0
         return pd.DataFrame({"key": np.full(int(hit.sum()), key[0]), "class": pdf["class"].to_numpy()[hit]})
@@ -539,7 +538,7 @@ def ngram_components(
         spread = many.join(shared, "class").select(
             "key", "class", "component", "n", F.filter("keys", lambda k: k < F.col("key")).alias("earlier"))
         hit = tmp.stored(
-            block_pairs(spread.join(classes.select("class", "bins"), "class"), F.ceil(F.col("n") / BLOCK))
+            block_pairs(spread.join(classes.select("class", "bins", "fine"), "class"), F.ceil(F.col("n") / BLOCK))
             .groupBy("key", "one", "two").applyInPandas(_near_other(num, den), "key long, class long").distinct(), "hit")
         sized = hit.join(classes.select("class", "size"), "class")
         sized = sized.join(sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total")), "key")
