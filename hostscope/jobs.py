@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from hostscope.operators.model import TreeSettings, load_model, score_domains
 from hostscope.operators.requests import require_valid
-from hostscope.operators.scanlog import class_share, stats_document
+from hostscope.operators.scanlog import share_of, stats_of
 from hostscope.operators.training import train_job
 from hostscope.functions.urls import py_strip
 from hostscope.session import get_spark, input_bytes, size_shuffles
 from hostscope.sources.feeds import read_corrections, read_labelled, resolve_dataset, write_labelled
-from hostscope.sources.tables import append_scans, read_scans
+from hostscope.sources.log_index import log_sums
+from hostscope.sources.tables import append_scans
 
 
 def _train(spark, a) -> dict:
@@ -55,11 +56,10 @@ def _score(spark, a) -> dict:
 
 
 def _stats(spark, a) -> dict:
-    size_shuffles(spark, input_bytes(spark, [a.log]))
-    log = read_scans(spark, a.log, ["id", "domain", "label"])
-    doc = stats_document(log).first()
+    sums = log_sums(spark, a.log)  # from the index; the log itself is read for new batches only
+    doc = stats_of(sums).first()
     out = {
-        "share": class_share(log).first().asDict(),
+        "share": share_of(sums).first().asDict(),
         "labels": dict(doc["label_counts"]),
         "top_risky_tlds": [x.asDict() for x in doc["top_risky_tlds"]],
     }
@@ -79,9 +79,7 @@ def _stream(spark, a) -> dict:
 def _stream_stats(spark, a) -> dict:
     from hostscope.streaming.scoring import start_stats
 
-    q1, q2 = start_stats(spark, a.log, out_path=a.out, trigger_seconds=a.trigger)
-    q1.awaitTermination()
-    q2.awaitTermination()
+    start_stats(spark, a.log, out_path=a.out, trigger_seconds=a.trigger)[0].awaitTermination()
     return {}
 
 
@@ -129,7 +127,7 @@ def main(argv=None) -> None:
     im.add_argument("--user")
     im.add_argument("--password")
     im.add_argument("--driver")
-    im.add_argument("--batch-id", type=int, default=0, dest="batch_id")
+    im.add_argument("--batch-id", type=int, dest="batch_id", help="replace this batch; without it a new one is appended")
     ss = sub.add_parser("stream-stats")
     ss.add_argument("--log", required=True)
     ss.add_argument("--out", required=True)

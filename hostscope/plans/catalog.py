@@ -577,6 +577,77 @@ def scan_history(spark, sf):
     return out.withColumn("ts", _ts_text(F.col("ts")))
 
 
+_STATS_SQL = _with(["scans"], [
+    ("lab", "SELECT label, sum(one)::BIGINT AS n FROM (SELECT label, 1 AS one FROM scans UNION ALL SELECT 'legitimate', 0 "
+            "UNION ALL SELECT 'phishing', 0) GROUP BY label"),
+    ("t", "SELECT lower(string_split(domain, '.')[-1]) AS tld, id FROM scans WHERE label = 'phishing' AND contains(domain, '.')"),
+    ("g", "SELECT tld, count(*) AS cnt, min(id) AS first_id FROM t GROUP BY tld"),
+]) + (
+    "SELECT 'total' AS section, 1::BIGINT AS rank, 'rows' AS key, count(*)::BIGINT AS n FROM scans "
+    "UNION ALL SELECT 'label', row_number() OVER (ORDER BY label), label, n FROM lab "
+    "UNION ALL SELECT * FROM (SELECT 'tld', row_number() OVER (ORDER BY cnt DESC, first_id) AS rank, tld, cnt::BIGINT FROM g) "
+    f"WHERE rank <= {lists.TOP_TLDS}"
+)
+
+
+@register("stats_document", _STATS_SQL)
+def stats_document(spark, sf):
+    """G4 from one scan of the log."""
+    return S.stats_rows(S.stats_document(DV.spark_scans(spark, sf)))
+
+
+LOG_BATCHES = 12
+
+
+def _batched_log(spark, sf) -> str:
+    """The derived scan log as a stored log of ``LOG_BATCHES`` batches, by time."""
+    from hostscope.session import shared_path
+    from hostscope.sources.tables import SCAN_SCHEMA
+
+    scans = DV.spark_scans(spark, sf)
+    lo, hi = scans.agg(F.min("ts"), F.max("ts")).first()
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = F.unix_micros(F.lit(hi).cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp")) + 1
+    batch = F.floor((at - F.unix_micros(F.lit(lo).cast("timestamp"))) * LOG_BATCHES / span).cast("int")
+    path = shared_path(spark, "scanlog")
+    rows = scans.select(
+        "id", "domain", "label", "confidence", F.col("ts").cast("timestamp").alias("ts"),
+        F.lit(None).cast(SCAN_SCHEMA["features"].dataType).alias("features"), batch.alias("batch_id"))
+    rows.write.partitionBy("batch_id").parquet(path)
+    return path
+
+
+@register("stats_from_slices", _STATS_SQL)
+def stats_from_slices(spark, sf):
+    """R2 + G4: a log of several batches, indexed, one batch replaced by a replay with
+    new files, and the statistics summed from the slices."""
+    from hostscope.session import remove_path
+    from hostscope.sources.log_index import index_path, indexed_stats, refresh_index
+    from hostscope.sources.tables import SCAN_SCHEMA, write_batch
+
+    log = _batched_log(spark, sf)
+    refresh_index(spark, log)
+    last = spark.read.schema(SCAN_SCHEMA).parquet(f"{log}/batch_id={LOG_BATCHES - 1}")
+    write_batch(last.checkpoint(eager=True), log, LOG_BATCHES - 1)
+    out = S.stats_rows(indexed_stats(spark, log))
+    remove_path(spark, log)
+    remove_path(spark, index_path(log))
+    return out
+
+
+@register("history_from_zones", _HIST_SQL)
+def history_from_zones(spark, sf):
+    """O2 + L4 over a stored log, reading only batches that can hold a latest row."""
+    from hostscope.session import remove_path
+    from hostscope.sources.log_index import index_path, indexed_history
+
+    log = _batched_log(spark, sf)
+    out = indexed_history(spark, log)
+    remove_path(spark, log)
+    remove_path(spark, index_path(log))
+    return out.drop("features").withColumn("ts", _ts_text(F.col("ts")))
+
+
 @register(
     "ranked_head",
     _with(["ranked"]) + f"SELECT rank, domain FROM ranked WHERE rank <= {lists.RANKED_HEAD_APP}",

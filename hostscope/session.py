@@ -73,6 +73,12 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts, uuid.uuid4().hex)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own on any file system Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 

@@ -76,9 +76,12 @@ def scan_rows(scored: DataFrame, batch_id: int, ts: Column | None = None) -> Dat
 
 
 def append_scans(scored: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append one scoring batch to the scan log."""
+    """Append one scoring batch to the scan log, with its slice of the index."""
+    from hostscope.sources.log_index import index_batch
+
     number = next_batch(scored.sparkSession, path) if batch_id is None else batch_id
     write_batch(scan_rows(scored, number), path, number, replay=batch_id is not None)
+    index_batch(scored.sparkSession, path, number)
 
 
 def read_scans(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -8,9 +8,11 @@ the scan log.  Each micro-batch writes its own ``batch_id=<n>`` partition in
 overwrite mode, so a replayed batch after a failure replaces its output
 (exactly-once together with the checkpointed offsets).
 
-R2: the log itself is a streaming source; label counts and the phishing
-TLD histogram are running aggregations kept in the state store (complete
-mode -- the result has one row per label / TLD, not per scan).
+R2: the log's files are a streaming source that says when something was written;
+the statistics are the sums of the log's slices (``sources.log_index``), which are
+replaced together with their batch.  A batch that is written again, after a failure or
+by another import, therefore counts once, and a restart reads only batches whose slice
+is missing or old.
 
 The reference has no event time, so no watermark is needed.  Checkpoints lie
 beside the log by default (``<log>.scoring``, ``<log>.stats``), so a restarted
@@ -24,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hostscope.functions import lists
 from hostscope.functions.host import reject_reason
 from hostscope.operators.model import score_domains
-from hostscope.operators.scanlog import raw_tld
 from hostscope.functions.urls import js_trim, py_strip
+from hostscope.sources.log_index import index_batch, log_sums
 from hostscope.sources.tables import SCAN_SCHEMA, STREAM_BASE, scan_rows, write_batch
 
 
@@ -61,6 +62,7 @@ def start_scoring(spark: SparkSession, source_dir: str, model: PipelineModel | s
             valid = tagged.where(F.col("reason").isNull()).select(py_strip("domain").alias("domain"))
             scored = score_domains(valid, model, "domain")
             write_batch(scan_rows(scored, batch_id), log_path, batch_id)
+            index_batch(spark, log_path, batch_id)
         finally:
             tagged.unpersist()
 
@@ -74,41 +76,41 @@ def log_stream(spark: SparkSession, log_path: str) -> DataFrame:
     return spark.readStream.schema(SCAN_SCHEMA).parquet(log_path)
 
 
-def running_label_counts(log: DataFrame) -> DataFrame:
+def running_label_counts(sums: DataFrame) -> DataFrame:
     """R2 (G1/G2): rows per label over everything logged so far."""
-    return log.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sums.where(F.col("kind") == "label").select(F.col("key").alias("label"), "n")
 
 
-def running_tld_counts(log: DataFrame) -> DataFrame:
+def running_tld_counts(sums: DataFrame) -> DataFrame:
     """R2 (G3): phishing TLD histogram with first-seen id for tie-breaks."""
-    return (
-        log.where(F.col("label") == lists.PHISHING)
-        .select(raw_tld(F.col("domain")).alias("tld"), "id")
-        .where(F.col("tld").isNotNull())
-        .groupBy("tld")
-        .agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("first_id"))
-    )
+    return sums.where(F.col("kind") == "tld").select(F.col("key").alias("tld"), F.col("n").alias("count"), "first_id")
 
 
 def start_stats(spark: SparkSession, log_path: str, sink: str = "memory", name: str = "scan_stats",
                 checkpoint: str | None = None, out_path: str | None = None,
                 trigger_seconds: int | None = None) -> tuple[StreamingQuery, StreamingQuery]:
-    """R2: two complete-mode aggregations over the live log.
+    """R2: keep the statistics of a live log.
 
     With ``out_path`` each trigger overwrites ``<out_path>/labels`` and
     ``<out_path>/tlds`` (tables on shared storage, one row per label / TLD);
-    otherwise results go to ``sink`` (e.g. the in-memory sink for tests)."""
-    log = log_stream(spark, log_path)
+    otherwise they are the temporary views ``<name>_labels`` and ``<name>_tlds``.
+    One query keeps both; it is returned for each."""
+    if not out_path and sink != "memory":
+        raise ValueError("give out_path for tables on storage")
     cp = checkpoint or f"{log_path.rstrip('/')}.stats"
-    queries = []
-    for part, df in (("labels", running_label_counts(log)), ("tlds", running_tld_counts(log))):
-        w = df.writeStream.outputMode("complete").option("checkpointLocation", f"{cp}/{part}")
-        if trigger_seconds:
-            w = w.trigger(processingTime=f"{trigger_seconds} seconds")
-        if out_path:
-            target = f"{out_path}/{part}"
-            w = w.foreachBatch(lambda batch, _id, target=target: batch.write.mode("overwrite").parquet(target))
-        else:
-            w = w.format(sink).queryName(f"{name}_{part}")
-        queries.append(w.start())
-    return queries[0], queries[1]
+    parts = {"labels": running_label_counts, "tlds": running_tld_counts}
+
+    def handle(_batch: DataFrame, _batch_id: int) -> None:
+        sums = log_sums(spark, log_path)
+        for part, of in parts.items():
+            if out_path:
+                of(sums).write.mode("overwrite").parquet(f"{out_path}/{part}")
+            else:
+                of(sums).checkpoint(eager=True).createOrReplaceTempView(f"{name}_{part}")
+
+    w = log_stream(spark, log_path).writeStream.foreachBatch(handle).queryName(f"{name}_labels")
+    w = w.option("checkpointLocation", f"{cp}/index")
+    if trigger_seconds:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    query = w.start()
+    return query, query
