@@ -43,14 +43,18 @@ def min_brand_distance(root: ColumnOrName, brands: list[str] | None = None) -> C
 
 
 def nearest_brand(root: ColumnOrName, brands: list[str] | None = None) -> Column:
-    """J5 variant: the first brand (list order) at the smallest distance."""
+    """J5 variant: struct of ``distance`` and ``brand``, the first brand (list order)
+    at the smallest distance, from one measurement of each brand."""
     brands = lists.KNOWN_BRANDS if brands is None else brands
-    pairs = [
-        F.struct(d.alias("d"), F.lit(i).alias("i"))
-        for i, d in enumerate(brand_distances(root, brands))
-    ]
-    best = F.least(*pairs) if len(pairs) > 1 else pairs[0]
-    return F.element_at(F.array(*[F.lit(b) for b in brands]), best["i"] + 1)
+    if not brands:
+        return F.struct(F.lit(lists.EMPTY_BRAND_DISTANCE).alias("distance"), F.lit(None).cast("string").alias("brand"))
+    ranked = [d * F.lit(len(brands)) + F.lit(i) for i, d in enumerate(brand_distances(root, brands))]
+    best = F.least(*ranked) if len(ranked) > 1 else ranked[0]
+    names = F.array(*[F.lit(b) for b in brands])
+    parts = F.transform(F.array(best), lambda x: F.struct(
+        F.floor(x / len(brands)).cast("int").alias("distance"),
+        F.element_at(names, (x % len(brands) + 1).cast("int")).alias("brand")))
+    return F.element_at(parts, 1)
 
 
 def brand_match_exact(root: ColumnOrName, brands: list[str] | None = None) -> Column:

@@ -21,8 +21,9 @@ from hostscope.operators import metrics as M
 from hostscope.operators.features import with_host_features, with_notebook_features
 from hostscope.operators.joins import hot_keys, key_counts, split_join
 from hostscope.operators.model import TreeSettings, feature_importance, fit, predict, save_model
-from hostscope.session import ensure_checkpoint_dir
-from hostscope.sources.feeds import append_feature_cache, curated_rows, read_feature_cache
+from hostscope.session import ensure_checkpoint_dir, remove_path
+from hostscope.sources.feature_cache import create_cache, open_cache, upsert
+from hostscope.sources.feeds import append_feature_cache, curated_rows, path_exists, read_feature_cache
 
 
 def build_dataset(spark: SparkSession, labelled: DataFrame, corrections: DataFrame | None = None,
@@ -57,18 +58,24 @@ def row_key(df: DataFrame):
 def features_with_cache(spark: SparkSession, domains: DataFrame, cache_path: str | None,
                         distinct: bool = False) -> DataFrame:
     """S8 + J2 + H22 + S9 (L3): features for every domain, extracting only
-    the ones the cache lacks and appending those to it.  ``distinct`` says
-    the domains are already unique (no extra shuffle)."""
+    the ones the cache lacks and adding those to it (a keyed cache; a plain folder
+    is used and appended to as it is).  ``distinct`` says the domains are already
+    unique (no extra shuffle)."""
     uniq = domains.select("domain")
     if not distinct:
         uniq = uniq.distinct()  # D3: once per domain
-    cached = read_feature_cache(spark, cache_path) if cache_path else None
+    if not cache_path:
+        return with_host_features(uniq, "domain")
+    if open_cache(spark, cache_path) is not None:
+        upsert(spark, uniq, cache_path, lambda d: with_host_features(d, "domain"))
+        return open_cache(spark, cache_path)
+    cached = read_feature_cache(spark, cache_path)  # a plain folder, as older runs left it
     if cached is None:
-        feats = with_host_features(uniq, "domain")
-        if cache_path:
-            feats.write.mode("overwrite").parquet(cache_path)
-            feats = spark.read.parquet(cache_path)
-        return feats
+        if path_exists(spark, cache_path):  # it lacks model columns
+            remove_path(spark, cache_path)
+            remove_path(spark, f"{cache_path.rstrip('/')}.buckets")
+        create_cache(with_host_features(uniq, "domain"), cache_path)
+        return open_cache(spark, cache_path)
     missing = uniq.join(cached.select("domain"), "domain", "left_anti")  # J2
     new = with_host_features(missing, "domain")
     append_feature_cache(new, cache_path)

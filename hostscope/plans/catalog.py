@@ -170,10 +170,8 @@ def brand_distance(spark, sf):
     f"{Q.min_brand_distance('root')} AS distance FROM hp",
 )
 def nearest_brand(spark, sf):
-    return _hosts(spark, sf).select(
-        "src", "uid", "root", FT.nearest_brand("root").alias("nearest_brand"),
-        FT.min_brand_distance("root").alias("distance"),
-    )
+    out = _hosts(spark, sf).select("src", "uid", "root", FT.nearest_brand("root").alias("best"))
+    return out.select("src", "uid", "root", F.col("best.brand").alias("nearest_brand"), F.col("best.distance").alias("distance"))
 
 
 @register("trusted_root",
@@ -419,11 +417,22 @@ def balance_downsample(spark, sf):
     return D.balance_downsample(lab, F.col("id")).select("id", "domain", "label")
 
 
+def _drawn_sql(n: str, total: str, draw: str) -> str:
+    """Rows drawn from a class of ``n`` when ``draw`` of ``total`` are drawn: the whole
+    part of its share, and one more for the largest remainders."""
+    share = f"(({draw}) * {n})"
+    return (f"{share} // {total} + CASE WHEN row_number() OVER (ORDER BY {share} % {total} DESC, label) "
+            f"<= ({draw}) - sum({share} // {total}) OVER () THEN 1 ELSE 0 END")
+
+
 @register(
     "stratified_split",
     _with(["labelled"], [
-        ("cnt", "SELECT label, count(*) AS m, ceil(0.3::DOUBLE * count(*)) AS t FROM labelled GROUP BY label"),
-        ("cuts", "SELECT label, m - t AS c1, m - t + (t - ceil(0.5::DOUBLE * t)) AS c2 FROM cnt"),
+        ("cnt", "SELECT label, count(*) AS m, sum(count(*)) OVER () AS total FROM labelled GROUP BY label"),
+        ("held", f"SELECT label, m, {_drawn_sql('m', 'total', 'ceil(0.3::DOUBLE * total)::BIGINT')} AS t FROM cnt"),
+        ("held_total", "SELECT label, m, t, sum(t) OVER () AS total FROM held"),
+        ("tested", f"SELECT label, m, t, {_drawn_sql('t', 'total', 'ceil(0.5::DOUBLE * total)::BIGINT')} AS e FROM held_total"),
+        ("cuts", "SELECT label, m - t AS c1, m - e AS c2 FROM tested"),
         ("rk", f"SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_BAL_KEY_SQL}) AS rn FROM labelled"),
     ])
     + "SELECT id, rk.label, CASE WHEN rn <= c1 THEN 'train' WHEN rn <= c2 THEN 'valid' ELSE 'test' END AS split "
@@ -475,6 +484,32 @@ def feature_cache_missing(spark, sf):
     return _round_entropy(FT.with_host_features(missing, "domain"))
 
 
+@register(
+    "feature_cache_keyed",
+    _with(["labelled", "ranked"], [
+        Q.rules_cte(),
+        ("known", "SELECT DISTINCT domain FROM (SELECT domain FROM ranked UNION ALL SELECT domain FROM labelled) WHERE domain IS NOT NULL"),
+        ("known_a", f"SELECT domain, {Q.clean_host('domain')} AS host FROM known"),
+        *Q.split_ctes("known_a", "host", "khp"),
+        ("feat", f"SELECT domain, {_feature_sql()} FROM khp"),
+    ])
+    + "SELECT l.id, l.label, f.* FROM labelled l LEFT JOIN feat f ON l.domain = f.domain",
+)
+def feature_cache_keyed(spark, sf):
+    """L3 with J1: a cache of the ranked domains, upserted twice with the labelled ones,
+    then read by the labelled rows bucket to bucket."""
+    from hostscope.session import shared_path
+    from hostscope.sources.feature_cache import create_cache, open_cache, upsert
+
+    path = shared_path(spark, "feature-cache")
+    create_cache(FT.with_host_features(DV.spark_ranked(spark, sf).select("domain").distinct(), "domain"), path)
+    labelled = DV.spark_labelled(spark, sf)
+    for _ in range(2):
+        upsert(spark, labelled.select("domain"), path, lambda d: FT.with_host_features(d, "domain"))
+    rows = labelled.join(open_cache(spark, path), "domain", "left")
+    return _round_entropy(rows.select("id", "label", "domain", *FT.FEATURE_COLUMNS))
+
+
 @register(
     "feature_join",
     _with(["feed_text_raw", "feed_csv_raw", "ranked", "corrections"], _DATASET_SQL + [
