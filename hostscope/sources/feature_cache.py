@@ -79,7 +79,10 @@ def missing_domains(spark: SparkSession, domains: DataFrame, path: str) -> DataF
     name, buckets = _table(spark, path)
     # each domain once (combined before the shuffle), then dealt as the buckets are
     wanted = domains.select(KEY).where(F.col(KEY).isNotNull()).distinct().repartition(buckets, KEY)
-    return wanted.join(spark.table(name).select(KEY), KEY, "left_anti")
+    # an outer join and a test, as the planner would push an anti-join below the dealing
+    # and then shuffle the cache
+    cached = spark.table(name).select(KEY, F.lit(True).alias("__cached"))
+    return wanted.join(cached, KEY, "left").where(F.col("__cached").isNull()).select(KEY)
 
 
 def upsert(spark: SparkSession, domains: DataFrame, path: str, extract: Callable[[DataFrame], DataFrame]) -> None:
