@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,8 +167,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
     known = np.array([prototypes[n] for n in names]).reshape(len(names), dim)
 
     def predict(batches):
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["text"].tolist()]
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             for a, b in _blocks(texts) if names else []:
                 v, n = text_vectors(texts[a:b], dim)
@@ -177,9 +178,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
                 for i in np.flatnonzero((n > 0) & (norm > 0)):
                     pred[a + i] = names[best[i]]
                     score[a + i] = min(1.0, max(0.0, cos[i, best[i]]))
-            yield pd.DataFrame({"key": pdf["key"], "lang_pred": pred, "score": score})
+            # the ids stay in Arrow: pandas would turn them to doubles beside a null
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["key", "lang_pred", "score"])
 
-    return docs.select(F.col("key").cast("long"), F.col("text").cast("string")).mapInPandas(
+    return docs.select(F.col("key").cast("long"), F.col("text").cast("string")).mapInArrow(
         predict, "key long, lang_pred string, score double")
 
 
