@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from hostscope.llm import common as C
 
-#: Any 13 aligned words with 2 substitutions keep at least one of these whole
-#: (a test tries all placements).
+#: Any 13 aligned words with 2 substitutions, and any 11 or 12 with 1, keep at
+#: least one of these whole (a test tries all placements).
 MASKS = ("111111", "11001010011")
 WINDOW, SUBSTITUTIONS = 13, 2
 BLOCK_WORDS = 1_000_000
@@ -35,12 +35,23 @@ _U = np.uint64
 _FACTOR = C.mix64(np.arange(101, 101 + max(map(len, MASKS)), dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of ``n`` words.  An item of 7 to 10 words gets three
+    of its own length, each blind to every third word, so whatever word is replaced
+    one of them does not see it; shorter items must stand word for word."""
+    if n > 10:
+        return MASKS
+    if n > WINDOW // SUBSTITUTIONS:
+        return tuple("".join("0" if j % 3 == k else "1" for j in range(n)) for k in range(3))
+    return ("1" * n,) if n else ()
+
+
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the masked words at every position where the mask fits."""
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, _U)
-    out = np.full(n, _U(MASKS.index(mask) + 1))
+    out = np.full(n, _U(int("1" + mask, 2)))
     for j, bit in enumerate(mask):
         if bit == "1":
             out += words[j : j + n] * _FACTOR[j]
@@ -55,9 +66,11 @@ class SeedIndex:
         column = pa.array([t for _, t in items], pa.string())
         self.words, self.at = C.word_hashes(*C.text_bytes(column), C.IS_PUNCTUATION)
         seeds, item, place = [], [], []
+        self.masks: set[str] = set()  # those that some item needs
         for k in range(len(items)):
             mine = self.words[self.at[k] : self.at[k + 1]]
-            for mask in MASKS:
+            for mask in masks_of(len(mine)):
+                self.masks.add(mask)
                 h = seed_hashes(mine, mask)
                 seeds.append(h)
                 item.append(np.full(len(h), k, np.int32))
@@ -73,7 +86,7 @@ class SeedIndex:
     def alignments(self, words: np.ndarray) -> set[tuple[int, int]]:
         """(item, diagonal) of all hits in a document."""
         found: set[tuple[int, int]] = set()
-        for mask in MASKS:
+        for mask in sorted(self.masks):
             h = seed_hashes(words, mask)
             at = np.flatnonzero(self.maybe[(h >> _U(64 - BITS)).astype(np.int64)])
             if not len(at):
@@ -171,9 +184,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``item_ids`` are the benchmark items found, in order; ``longest`` the most
     equal words of one alignment (0 if none).  Words are runs of ASCII letters,
     digits and non-ASCII characters, A-Z lower-cased, so punctuation and
-    layout do not matter.  Null and empty texts are clean; items that are null,
-    or shorter than the shortest mask (6 words), are never found; an item of
-    fewer than 13 words must stand whole, with substitutions in proportion.
+    layout do not matter.  Null and empty texts are clean; items that are null or
+    without words are never found; an item of fewer than 13 words must stand
+    whole, with substitutions in proportion: one from 7 words on, none below.
     Repeated rows are each judged, in either table; an empty benchmark leaves
     all clean; other columns are ignored.
     """
@@ -186,6 +199,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item."""
+    """``docs`` without the rows whose text holds a benchmark item.
+
+    Rows with a null or empty text stay; repeated rows stay or go together; all
+    columns are kept, whatever their names.  An empty benchmark drops nothing,
+    an empty table gives an empty result.
+    """
     hits = benchmark_hits(docs.sparkSession, benchmark, F.col("text"))
     return docs.where(F.size(hits) == 0)

@@ -158,6 +158,28 @@ def test_mix(spark):
         map(tuple, mixing.mix_plan(docs).toPandas().values))
 
 
+def test_mix_rates_solve_the_dual(spark):
+    """Every source's rates against bisection over its single documents."""
+    plan = mixing.mix_plan(common.table(spark, SF, "documents")).toPandas()
+    tilted = 0
+    for _, rows in plan.groupby("source", dropna=False):
+        size, target, rate = rows["size"].to_numpy(float), rows.target.iloc[0], rows.rate.to_numpy()
+        some = size > 0
+        assert (rate[~some] == 0).all()
+        size, rate = size[some], rate[some]
+        if target >= 3 * size.sum() * (1 - 1e-12):
+            assert (rate == 3).all()
+            continue
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            taken = (size * np.minimum(3, np.exp(np.minimum(lam * size, 700)))).sum()
+            lo, hi = (lam, hi) if taken < target else (lo, lam)
+        assert rate == pytest.approx(np.minimum(3, np.exp(np.minimum(lo * size, 700))), rel=1e-6, abs=1e-9)
+        tilted += len(set(rate)) > 2
+    assert tilted
+
+
 def test_mix_targets_equal_repeated_resharing(spark):
     masses = {"a": 10.0, "b": 1000.0, "c": 5.0, "d": 300.0, "e": 0.0, None: 40.0}
     order = sorted(k for k in masses if k is not None) + [None]
@@ -231,6 +253,23 @@ def test_masks_survive_two_substitutions():
             for mask in decontam.MASKS for at in range(decontam.WINDOW - len(mask) + 1))
 
 
+def test_masks_see_short_items():
+    """Whatever word of an item of 7 to 12 words is replaced, or none of a shorter
+    one, the item is found; with one more replaced it is not."""
+    for n in range(1, 13):
+        words = [f"w{j}" for j in range(n)]
+        index = decontam.SeedIndex([(1, " ".join(words))])
+
+        def found(lost):
+            text = " ".join(["before", *("other" if j in lost else w for j, w in enumerate(words)), "after"])
+            hashes, _ = common.word_hashes(*common.text_bytes(pa.array([text])), common.IS_PUNCTUATION)
+            return index.hits(hashes) == {1: n - len(lost)}
+
+        allowed = decontam.SUBSTITUTIONS * n // decontam.WINDOW
+        assert all(found(lost) for lost in itertools.combinations(range(n), allowed))
+        assert not any(found(lost) for lost in itertools.combinations(range(n), allowed + 1))
+
+
 def test_decontamination(spark, monkeypatch):
     item = [f"i{j}" for j in range(20)]
     changed = item[:]
