@@ -46,6 +46,17 @@ def python_extra_digit_points() -> tuple[int, ...]:
     )
 
 
+@lru_cache(maxsize=None)
+def nfkc_delimiter_class() -> str:
+    """Class of the non-ASCII characters whose NFKC form holds a URL delimiter
+    (``/ ? # @ :``).  None of these delimiters composes with a following mark, so a
+    text's NFKC form holds one exactly if a character's does."""
+    return java_class([
+        cp for cp in range(0x80, sys.maxunicode + 1)
+        if not 0xD800 <= cp <= 0xDFFF and set("/?#@:") & set(unicodedata.normalize("NFKC", chr(cp)))
+    ])
+
+
 # FIXED VALUES: ECMAScript WhiteSpace + LineTerminator (used by trim and \s).
 JS_SPACE_POINTS = (
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680,

@@ -104,12 +104,13 @@ def is_ipv4(d: ColumnOrName) -> Column:
     return F.coalesce(F.when(c.rlike(_IPV4_SHAPE), octets_ok), F.lit(False))
 
 
-def _ipv6_pattern() -> str:
-    """RFC 3986 ``IPv6address`` grammar, optional zone id, trailing spaces."""
+def _ipv6_pattern(embedded: bool) -> str:
+    """RFC 3986 ``IPv6address`` grammar, with or without a dotted IPv4 tail; optional
+    zone id, trailing spaces."""
     h = "[0-9A-Fa-f]{1,4}"
     octet = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     v4 = rf"{octet}(?:\.{octet}){{3}}"
-    ls32 = f"(?:{h}:{h}|{v4})"
+    ls32 = f"(?:{h}:{h}|{v4})" if embedded else f"{h}:{h}"
     alts = [f"(?:{h}:){{6}}{ls32}", f"::(?:{h}:){{5}}{ls32}"]
     # [ *k( h16 ":" ) h16 ] "::" tail, for k = 0..6
     tails = [f"(?:{h}:){{4}}{ls32}", f"(?:{h}:){{3}}{ls32}", f"(?:{h}:){{2}}{ls32}",
@@ -120,15 +121,15 @@ def _ipv6_pattern() -> str:
     return r"^(?:" + "|".join(alts) + r")(?:%.+)?\s*$"
 
 
-IPV6_PATTERN = _ipv6_pattern()
+IPV6_PATTERN = _ipv6_pattern(embedded=False)
 # Address literal only: optional zone id, nothing around it.  Patterns that
 # must end at the very end of the text use \z: Java's $ also matches before
 # a final line terminator (\n, \r, U+0085, U+2028, U+2029).
-IPV6_STRICT_PATTERN = IPV6_PATTERN.replace(r"(?:%.+)?\s*$", r"(?:%[^%]+)?\z")
+IPV6_STRICT_PATTERN = _ipv6_pattern(embedded=True).replace(r"(?:%.+)?\s*$", r"(?:%[^%]+)?\z")
 
 
 def is_ip(d: ColumnOrName) -> Column:
-    """IPv4 with octets 0-255, else the IPv6 grammar."""
+    """IPv4 with octets 0-255, else the IPv6 grammar without dotted tails."""
     c = _col(d)
     return is_ipv4(c) | F.coalesce(c.rlike(IPV6_PATTERN), F.lit(False))
 

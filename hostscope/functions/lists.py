@@ -81,6 +81,12 @@ NOTEBOOK_BRANDS = [
     "netflix", "linkedin", "twitter", "sbi", "hdfc", "icici", "axis", "uidai",
     "epfo",
 ]
+# The second feature set's brands; its TLD lists are the app's.
+NOTEBOOK_BRANDS_2 = [
+    "google", "facebook", "amazon", "paypal", "microsoft", "apple", "instagram",
+    "netflix", "linkedin", "twitter", "sbi", "hdfc", "icici", "axis", "uidai",
+    "epfo", "gov",
+]
 NOTEBOOK_ROOTS = [
     "google.com", "facebook.com", "amazon.com", "paypal.com", "microsoft.com",
     "apple.com", "instagram.com",

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hostscope.functions import lists
-from hostscope.functions.chars import python_space_points
+from hostscope.functions.chars import nfkc_delimiter_class, python_space_points
 
 ColumnOrName = Column | str
 
@@ -38,6 +38,8 @@ def _split_netloc(url: Column) -> Column:
         F.when(url.isNull(), F.lit(None))
         .when(bad, F.lit(None))
         .when(both & ~_bracketed_ok(net), F.lit(None))
+        # characters that turn into delimiters under NFKC make it raise, too
+        .when(net.rlike(nfkc_delimiter_class()), F.lit(None))
         .otherwise(net)
     )
 

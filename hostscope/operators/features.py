@@ -165,6 +165,7 @@ def with_notebook_features(
     rules: DataFrame | None = None,
     brands: list[str] | None = None,
     roots: list[str] | None = None,
+    keep_suffix: str | None = None,
 ) -> DataFrame:
     """Notebook feature set (H9, H17, H20, H21) on the domain as given."""
     brands = lists.NOTEBOOK_BRANDS if brands is None else brands
@@ -193,4 +194,21 @@ def with_notebook_features(
         H.unicode_ratio(d).alias("unicode_ratio"),
         in_set(suffix, lists.NOTEBOOK_COMMON_TLDS).alias("is_common_tld"),
         in_set(suffix, lists.NOTEBOOK_SUSPICIOUS_TLDS).alias("is_suspicious_tld"),
+        *([suffix.alias(keep_suffix)] if keep_suffix else []),
+    )
+
+
+def with_notebook_features_2(df: DataFrame, domain: ColumnOrName = "domain", rules: DataFrame | None = None) -> DataFrame:
+    """The notebook's second feature set (H9, H15, H20, H21): 17 brands, the app's TLD
+    lists with country codes, no address flag."""
+    base = list(df.columns)
+    out = with_notebook_features(df.withColumn("__given", _col(domain)), "__given", rules, lists.NOTEBOOK_BRANDS_2,
+                                 keep_suffix="__tld")
+    suffix = F.col("__tld")
+    names = [c for c in out.columns if c not in (*base, "__given", "__tld", "is_ip_address", "is_common_tld", "is_suspicious_tld")]
+    return out.select(
+        *[F.col(c) for c in base], *names,
+        in_set(suffix, lists.COUNTRY_CODE_TLDS).alias("is_country_code_tld"),
+        in_set(suffix, lists.COMMON_TLDS).alias("is_common_tld"),
+        in_set(suffix, lists.HIGH_RISK_TLDS).alias("is_suspicious_tld"),
     )

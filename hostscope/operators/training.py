@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hostscope.functions import lists
 from hostscope.operators import dataset as D
 from hostscope.operators import metrics as M
-from hostscope.operators.features import with_host_features, with_notebook_features
+from hostscope.operators.features import with_host_features, with_notebook_features_2
 from hostscope.operators.joins import hot_keys, key_counts, split_join
 from hostscope.operators.model import TreeSettings, feature_importance, fit, predict, save_model
 from hostscope.session import ensure_checkpoint_dir, remove_path
@@ -165,7 +165,7 @@ def _train_notebook(spark: SparkSession, labelled: DataFrame, model_path: str |
     # A4 (notebook); written once: the counts and both join branches read it
     balanced = D.balance_downsample(data, key, only_shrink=lists.LEGITIMATE).checkpoint(eager=True)
     counts = key_counts(balanced, ["domain"]).checkpoint(eager=True)
-    feats = with_notebook_features(counts.select("domain"), "domain")
+    feats = with_notebook_features_2(counts.select("domain"), "domain")
     rows = split_join(balanced, feats, ["domain"], hot_keys(counts, ["domain"])).checkpoint(eager=True)
     rows = D.stratified_split(rows, F.concat_ws(":", "domain", "label"))  # A6
     if s.weight_col == "weight":

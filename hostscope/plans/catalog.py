@@ -272,6 +272,34 @@ _NB_SELECT = (
 _NB_SQL = _with(["domains"], _NB_CTES) + _NB_SELECT
 
 
+_NB2_SQL = _with(["domains"], _NB_CTES) + (
+    "SELECT id, "
+    + ", ".join([
+        f"{Q.length('domain')} AS length", f"{Q.subdomain_count('domain')} AS subdomain_count",
+        f"{Q.subdomain_count('domain')} AS domain_depth", f"{Q.hyphen_count('domain')} AS hyphen_count",
+        f"{Q.digit_count('domain')} AS digit_count", f"{Q.special_char_count('domain')} AS special_char_count",
+        f"{_rs(Q.entropy('domain'))} AS entropy",
+        *[f"{Q.has_keyword('domain', w)} AS has_{w}" for w in lists.FEATURE_KEYWORDS],
+        f"{Q.brand_match_substring('domain', lists.NOTEBOOK_BRANDS_2)} AS brand_match",
+        f"{Q.known_brand_root('nb_root', 'nb_suffix', lists.NOTEBOOK_ROOTS)} AS known_brand_root",
+        f"{Q.min_brand_distance('nb_root', lists.NOTEBOOK_BRANDS_2)} AS min_brand_distance",
+        f"{Q.has_punycode('domain')} AS has_punycode", f"{Q.contains_unicode('domain')} AS contains_unicode",
+        f"{Q.unicode_ratio('domain')} AS unicode_ratio",
+        f"{Q.flag('nb_suffix', lists.COUNTRY_CODE_TLDS)} AS is_country_code_tld",
+        f"{Q.flag('nb_suffix', lists.COMMON_TLDS)} AS is_common_tld",
+        f"{Q.flag('nb_suffix', lists.HIGH_RISK_TLDS)} AS is_suspicious_tld",
+    ])
+    + " FROM nb"
+)
+
+
+@register("notebook_features_v2", _NB2_SQL)
+def notebook_features_v2(spark, sf):
+    """The notebook's second feature set, which its final model is trained on."""
+    out = FT.with_notebook_features_2(DV.spark_domains(spark, sf), "domain")
+    return _round_entropy(out.drop("domain"))
+
+
 @register("notebook_features", _NB_SQL)
 def notebook_features(spark, sf):
     out = FT.with_notebook_features(DV.spark_domains(spark, sf), "domain")
@@ -315,7 +343,7 @@ def batch_lines_q(spark, sf):
 
 
 def _feeds(spark, sf):
-    ranked = DV.spark_ranked(spark, sf).where(F.col("rank") <= lists.RANKED_HEAD_APP).select(
+    ranked = DV.spark_ranked_head(spark, sf, lists.RANKED_HEAD_APP).select(
         "domain", F.lit(lists.LEGITIMATE).alias("label"), F.lit(3).alias("source_prio"),
         F.col("rank").cast("long").alias("pos"),
     )
@@ -331,7 +359,7 @@ _FEEDS_SQL = [
      f"SELECT {Q.py_strip('domain')} AS domain, label, source_prio, pos FROM ("
      f"SELECT {Q.netloc_app('url')} AS domain, 'phishing' AS label, 1 AS source_prio, pos::BIGINT AS pos FROM feed_text_raw "
      f"UNION ALL SELECT {Q.netloc_app('url')} AS domain, 'phishing', 2, pos::BIGINT FROM feed_csv_raw "
-     f"UNION ALL SELECT domain, 'legitimate', 3, rank::BIGINT FROM ranked WHERE rank <= {lists.RANKED_HEAD_APP}) "
+     f"UNION ALL SELECT domain, 'legitimate', 3, rank::BIGINT FROM {DV.sql_ranked_head(lists.RANKED_HEAD_APP)}) "
      "WHERE domain IS NOT NULL"),
     ("combined",
      "SELECT domain, label, source_prio, pos FROM (SELECT *, row_number() OVER "
@@ -685,10 +713,10 @@ def history_from_zones(spark, sf):
 
 @register(
     "ranked_head",
-    _with(["ranked"]) + f"SELECT rank, domain FROM ranked WHERE rank <= {lists.RANKED_HEAD_APP}",
+    _with(["ranked"]) + f"SELECT rank, domain FROM {DV.sql_ranked_head(lists.RANKED_HEAD_APP)}",
 )
 def ranked_head(spark, sf):
-    return DV.spark_ranked(spark, sf).where(F.col("rank") <= lists.RANKED_HEAD_APP).select("rank", "domain")
+    return DV.spark_ranked_head(spark, sf, lists.RANKED_HEAD_APP).select("rank", "domain")
 
 
 # ------------------------------------------------------------ metrics
@@ -796,7 +824,7 @@ def _nb_feeds(spark, sf):
     )
     phish = part.select(netloc_notebook("url").alias("domain"), F.lit(lists.PHISHING).alias("label"),
                         F.lit(1).alias("source_prio"), "pos")
-    ranked = DV.spark_ranked(spark, sf).where(F.col("rank") <= lists.RANKED_HEAD_NOTEBOOK).select(
+    ranked = DV.spark_ranked_head(spark, sf, lists.RANKED_HEAD_NOTEBOOK).select(
         "domain", F.lit(lists.LEGITIMATE).alias("label"), F.lit(2).alias("source_prio"),
         F.col("rank").cast("long").alias("pos"),
     )
@@ -814,7 +842,7 @@ _NB_SUBS_SQL = "SELECT * FROM (VALUES " + ", ".join(
         ("nb_feeds",
          f"SELECT lower({Q.py_strip('domain')}) AS domain, label, source_prio, pos FROM ("
          f"SELECT {Q.netloc_notebook('url')} AS domain, 'phishing' AS label, 1 AS source_prio, pos::BIGINT AS pos FROM feed_text_raw "
-         f"UNION ALL SELECT domain, 'legitimate', 2, rank::BIGINT FROM ranked WHERE rank <= {lists.RANKED_HEAD_NOTEBOOK} "
+         f"UNION ALL SELECT domain, 'legitimate', 2, rank::BIGINT FROM {DV.sql_ranked_head(lists.RANKED_HEAD_NOTEBOOK)} "
          "UNION ALL SELECT domain, 'legitimate', 3, pos::BIGINT FROM nb_subs) WHERE domain IS NOT NULL"),
     ])
     + "SELECT domain, label, source_prio, pos FROM (SELECT *, row_number() OVER "

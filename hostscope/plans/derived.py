@@ -11,7 +11,7 @@ relations Spark derives from them (their work grows with the tables):
                     (all ``part`` rows, all ``customer`` rows, all
                     ``customer`` + ``supplier`` rows as a ranked list);
 * ``scans``      -- the scan log, one row per ``events`` row;
-* ``corrections``-- reported corrections, the ``signup`` events;
+* ``corrections``-- reported corrections, one per ``events`` row;
 * ``predictions``-- a (y, pred, prob) relation over ``events``.
 
 ``spark_*`` functions return DataFrames; ``SQL`` holds the same relations as
@@ -77,7 +77,9 @@ def gen_domain(key: str, name: str, size: str, dialect: str) -> str:
     quad = (f"CAST({key} % 256 AS {text}) || '.' || CAST({_div(key, 256, dialect)} % 256 AS {text}) "
             f"|| '.1.' || CAST({key} % 300 AS {text})")
     ace = f"CASE WHEN {key} % 11 = 7 THEN 'xn--' ELSE '' END"
-    return f"(CASE WHEN {key} % 13 = 5 THEN {quad} ELSE {sub} || {ace} || ({core}) || '.' || {tld} END)"
+    # some cores begin with a Cyrillic or an accented letter
+    mark = f"CASE WHEN {key} % 19 = 4 THEN '\u0430' WHEN {key} % 23 = 6 THEN '\u00e9' ELSE '' END"
+    return f"(CASE WHEN {key} % 13 = 5 THEN {quad} ELSE {sub} || {ace} || {mark} || ({core}) || '.' || {tld} END)"
 
 
 def gen_url(key: str, name: str, size: str, dialect: str) -> str:
@@ -89,7 +91,10 @@ def gen_url(key: str, name: str, size: str, dialect: str) -> str:
     # every 17th URL is pasted with surrounding blanks
     lead = f"CASE WHEN {key} % 17 = 2 THEN '  ' ELSE '' END"
     trail = f"CASE WHEN {key} % 17 = 2 THEN ' ' ELSE '' END"
-    return f"({lead} || {scheme} || {user} || {gen_domain(key, name, size, dialect)} || {port} || {path} || {trail})"
+    # every 29th host ends in a character that NFKC turns into a/c or a full-width slash
+    sign = f"CASE {key} % 58 WHEN 8 THEN '\u2100' WHEN 37 THEN '\uff0f' ELSE '' END"
+    return (f"({lead} || {scheme} || {user} || {gen_domain(key, name, size, dialect)} || {sign} || {port} || {path} "
+            f"|| {trail})")
 
 
 def _brand_host(key: str, tld_key: str, dialect: str, extra: str | None = None) -> str:
@@ -164,18 +169,27 @@ def spark_feed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spark_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Popularity list (rank, domain): suppliers first, then customers."""
+    """Popularity list (rank, domain): every 11th rank a supplier, the others customers."""
     s = table(spark, sf_dir, "supplier").select(
-        (F.col("s_suppkey") + 1).alias("rank"),
+        F.expr("s_suppkey * 11 + 11").alias("rank"),
         F.expr(_brand_host("s_suppkey", "s_nationkey", "spark")).alias("domain"),
     )
     c = table(spark, sf_dir, "customer").select(
-        (F.col("c_custkey") + 1 + F.lit(1_000_000_000)).alias("rank"),
+        F.expr("c_custkey + c_custkey div 10 + 1").alias("rank"),
         F.expr(_brand_host("c_custkey + 3", "c_nationkey + 1", "spark")).alias("domain"),
     )
     return s.unionByName(c)
 
 
+def spark_ranked_head(spark: SparkSession, sf_dir: str, head: int) -> DataFrame:
+    """The first ``head`` rows of the list, by position: the numbers may have gaps."""
+    return spark_ranked(spark, sf_dir).orderBy("rank").limit(head)
+
+
+def sql_ranked_head(head: int) -> str:
+    return f"(SELECT rank, domain FROM ranked ORDER BY rank LIMIT {head})"
+
+
 def spark_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     dom = _scan_domain("spark")
@@ -190,7 +204,7 @@ def spark_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spark_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"),
         F.expr(_scan_domain("spark")).alias("domain"),
@@ -233,8 +247,8 @@ def _sql_defs() -> dict[str, str]:
             + " || '/' AS url FROM customer"
         ),
         "ranked": (
-            f"SELECT s_suppkey + 1 AS rank, {_brand_host('s_suppkey', 's_nationkey', d)} AS domain FROM supplier "
-            f"UNION ALL SELECT c_custkey + 1 + 1000000000 AS rank, "
+            f"SELECT s_suppkey * 11 + 11 AS rank, {_brand_host('s_suppkey', 's_nationkey', d)} AS domain FROM supplier "
+            f"UNION ALL SELECT c_custkey + c_custkey // 10 + 1 AS rank, "
             f"{_brand_host('c_custkey + 3', 'c_nationkey + 1', d)} AS domain FROM customer"
         ),
         "scans": (
@@ -244,7 +258,7 @@ def _sql_defs() -> dict[str, str]:
         ),
         "corrections": (
             f"SELECT event_id AS id, {dom} AS domain, CASE WHEN value > 50 THEN 'phishing' "
-            "ELSE 'legitimate' END AS label, ts FROM events WHERE event_type = 'signup'"
+            "ELSE 'legitimate' END AS label, ts FROM events"
         ),
         "predictions": (
             f"SELECT id, y, prob, CASE WHEN prob >= 0.5 THEN 1 ELSE 0 END AS pred, brand_match FROM ("

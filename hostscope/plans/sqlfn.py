@@ -10,6 +10,7 @@ from hostscope.functions import lists
 from hostscope.functions.chars import (
     JS_SPACE_POINTS,
     js_space_class,
+    nfkc_delimiter_class,
     py_digit_class,
     py_space_class,
     python_space_points,
@@ -41,6 +42,7 @@ def _netloc(x: str) -> str:
         f"CASE WHEN ({x}) IS NULL THEN NULL "
         f"WHEN contains({net}, '[') <> contains({net}, ']') THEN NULL "
         f"WHEN contains({net}, '[') AND contains({net}, ']') AND NOT {_bracketed_ok(net)} THEN NULL "
+        f"WHEN regexp_matches({net}, '{nfkc_delimiter_class()}') THEN NULL "
         f"ELSE {net} END"
     )
 
@@ -145,17 +147,22 @@ def has_mixed_script(x: str) -> str:
     )
 
 
+def _one_byte(root: str) -> str:
+    """The engine measures bytes: characters that no brand holds become one each."""
+    return f"regexp_replace(lower({root}), '[^\\x00-\\x7F]', '~', 'g')"
+
+
 def min_brand_distance(root: str, brands: list[str] | None = None) -> str:
     brands = lists.KNOWN_BRANDS if brands is None else brands
     if not brands:
         return str(lists.EMPTY_BRAND_DISTANCE)
-    return "CAST(least(" + ", ".join(f"levenshtein(lower({root}), {q(b)})" for b in brands) + ") AS INTEGER)"
+    return "CAST(least(" + ", ".join(f"levenshtein({_one_byte(root)}, {q(b)})" for b in brands) + ") AS INTEGER)"
 
 
 def nearest_brand(root: str, brands: list[str] | None = None) -> str:
     brands = lists.KNOWN_BRANDS if brands is None else brands
     pairs = ", ".join(
-        f"{{'d': levenshtein(lower({root}), {q(b)}), 'i': {i}}}" for i, b in enumerate(brands)
+        f"{{'d': levenshtein({_one_byte(root)}, {q(b)}), 'i': {i}}}" for i, b in enumerate(brands)
     )
     arr = "[" + ", ".join(q(b) for b in brands) + "]"
     return f"{arr}[least({pairs}).i + 1]"

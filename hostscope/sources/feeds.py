@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,11 +67,16 @@ def read_csv_feed(spark: SparkSession, path: str, prio: int = 2, url_col: str =
 
 
 def read_ranked(spark: SparkSession, path: str, head: int = lists.RANKED_HEAD_APP, prio: int = 3) -> DataFrame:
-    """S4 + O1: headerless ``rank,domain`` list, first ``head`` ranks, legitimate."""
-    df = spark.read.schema("rank INT, domain STRING").csv(path)
-    return df.where(F.col("rank") <= head).select(
+    """S4 + O1: headerless ``rank,domain`` list, its first ``head`` rows whatever their
+    numbers, legitimate.  The order is that of the file, by split and row; the head
+    is kept per task, so the list is neither sorted nor collected as a whole."""
+    df = spark.read.schema("rank INT, domain STRING").csv(path).select(
+        "domain", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                           F.monotonically_increasing_id()).alias("place"))
+    first = df.orderBy("place").limit(head)
+    return first.select(
         "domain", F.lit(lists.LEGITIMATE).alias("label"), F.lit(prio).alias("source_prio"),
-        F.col("rank").cast("long").alias("pos"),
+        F.row_number().over(Window.orderBy("place")).cast("long").alias("pos"),
     )
 
 

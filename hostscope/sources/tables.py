@@ -57,6 +57,57 @@ def next_batch(spark: SparkSession, path: str) -> int:
     return n
 
 
+def claim_number(spark: SparkSession, log: str, owner: str, batch_id: int) -> int:
+    """The log's number for micro-batch ``batch_id`` of the stream that keeps its
+    offsets under ``owner``.  A number is claimed by creating ``<log>.claims/<n>``,
+    which only one writer can, and noted under ``<owner>/numbers``; a replay finds
+    the note, so it writes the same number again.  A crash between the two leaves a
+    number unused, never used twice."""
+    notes, claims = f"{owner.rstrip('/')}/numbers", f"{log.rstrip('/')}.claims"
+    noted = f"{notes}/{batch_id}"
+    if path_exists(spark, noted):
+        return int(_read_note(spark, noted))
+    before = f"{notes}/{batch_id - 1}"
+    n = int(_read_note(spark, before)) + 1 if path_exists(spark, before) else STREAM_BASE
+    while path_exists(spark, f"{log}/batch_id={n}") or not _create(spark, f"{claims}/{n}", ""):
+        n += 1
+    # a note is whole or absent
+    fs, path = _fs(spark, f"{noted}.new")
+    if path_exists(spark, f"{noted}.new"):
+        fs.delete(path, False)
+    _create(spark, f"{noted}.new", str(n))
+    fs.rename(path, _fs(spark, noted)[1])
+    return n
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file; False if there is one already."""
+    fs, p = _fs(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception as exc:  # Py4J wraps what the file system throws
+        if path_exists(spark, path):
+            return False
+        raise exc
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _read_note(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return "".join(chr(stream.read()) for _ in range(int(fs.getFileStatus(p).getLen())))
+    finally:
+        stream.close()
+
+
 def write_batch(df: DataFrame, path: str, batch_id: int, replay: bool = True) -> None:
     """Write one batch folder.  ``replay``: replace what an earlier try of the same
     batch left; otherwise a number that is taken is an error and nothing is lost."""

@@ -15,8 +15,9 @@ by another import, therefore counts once, and a restart reads only batches whose
 is missing or old.
 
 The reference has no event time, so no watermark is needed.  Checkpoints lie
-beside the log by default (``<log>.scoring``, ``<log>.stats``), so a restarted
-stream finds its offsets.
+beside the log by default (``<log>.<name>``, ``<log>.stats``), so a restarted
+stream finds its offsets.  Batch numbers are claimed one by one (``claim_number``),
+so streams that share a log never take each other's.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from hostscope.functions.host import reject_reason
 from hostscope.operators.model import score_domains
 from hostscope.functions.urls import js_trim, py_strip
 from hostscope.sources.log_index import index_batch, log_sums
-from hostscope.sources.tables import SCAN_SCHEMA, STREAM_BASE, scan_rows, write_batch
+from hostscope.sources.tables import SCAN_SCHEMA, claim_number, scan_rows, write_batch
 
 
 def submitted_lines(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
@@ -45,15 +46,17 @@ def submitted_lines(spark: SparkSession, source_dir: str, max_files: int | None
 
 def start_scoring(spark: SparkSession, source_dir: str, model: PipelineModel | str, log_path: str,
                   reject_path: str | None = None, checkpoint: str | None = None,
-                  trigger_seconds: int | None = None) -> StreamingQuery:
-    """Continuous scoring into the scan log."""
+                  trigger_seconds: int | None = None, name: str = "scoring") -> StreamingQuery:
+    """Continuous scoring into the scan log.  Several streams may write one log:
+    give each its own ``name`` (or ``checkpoint``), under which it finds its offsets
+    and the numbers of its batches after a restart."""
     if isinstance(model, str):
         model = PipelineModel.load(model)
     lines = submitted_lines(spark, source_dir)
-    checkpoint = checkpoint or f"{log_path.rstrip('/')}.scoring"
+    checkpoint = checkpoint or f"{log_path.rstrip('/')}.{name}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch_id += STREAM_BASE
+        batch_id = claim_number(spark, log_path, f"{checkpoint.rstrip('/')}.batches", batch_id)
         # both sinks read the tagged batch: keep it for the two writes
         tagged = batch.withColumn("reason", reject_reason("domain")).persist()
         try:

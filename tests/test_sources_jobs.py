@@ -48,6 +48,10 @@ def test_resolve_combined_and_missing(spark, tmp_dir):
 def test_ranked_head(spark, tmp_dir):
     _write(f"{tmp_dir}/top.csv", "\n".join(f"{i},d{i}.com" for i in range(1, 11)))
     assert feeds.read_ranked(spark, f"{tmp_dir}/top.csv", head=4).count() == 4
+    # the first rows count, not the numbers that stand in them
+    _write(f"{tmp_dir}/gaps.csv", "\n".join(f"{i},d{i}.com" for i in (7, 3, 90, 12, 1)))
+    got = feeds.read_ranked(spark, f"{tmp_dir}/gaps.csv", head=3).orderBy("pos").collect()
+    assert [(r.domain, r.pos) for r in got] == [("d7.com", 1), ("d3.com", 2), ("d90.com", 3)]
 
 
 def test_feature_cache_column_check(spark, tmp_dir):
