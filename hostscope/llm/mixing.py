@@ -160,7 +160,7 @@ def entropy_balance(
     may be null; sizes must not.  An empty table gives an empty result.
     """
     counts = C.stored(rows.groupBy("grp", "size").agg(F.count("*").alias("n")), "counts")
-    groups = C.stored(solve_dual(counts, targets, float(cap)).withColumnRenamed("grp", "g"), "tilts")
+    groups = C.joinable(solve_dual(counts, targets, float(cap)).withColumnRenamed("grp", "g"), "tilts")
     tilted = rows.join(groups, F.col("grp").eqNullSafe(F.col("g")), "left").drop("g")
     tilted = tilted.withColumn("rate", tilt(F.col("lam"), F.col("size"), cap))
 
@@ -201,7 +201,7 @@ def entropy_balance(
         (F.col("mass") - F.coalesce("heavy_mass", F.lit(0.0))).alias("light_mass"),
         F.coalesce("error", F.lit(0.0)).alias("error"))
     shift = F.when(F.col("light_mass") > 0, F.col("error") / F.col("light_mass")).otherwise(F.lit(0.0))
-    lightened = lightened.select("lg", shift.alias("shift"))
+    lightened = C.joinable(lightened.select("lg", shift.alias("shift")), "shifts")
 
     out = tilted.join(lightened, F.col("grp").eqNullSafe(F.col("lg")), "left").drop("lg")
     wanted = F.least(F.greatest(F.col("rate") + F.col("shift"), F.lit(0.0)), F.lit(float(cap)))
