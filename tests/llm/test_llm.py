@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -439,6 +440,69 @@ def test_toxicity_counts_all_labels(spark, monkeypatch):
     assert toxicity.score_documents(odd, docs).count() == 903
 
 
+def brute_evidence(texts, labels):
+    """Evidence of every pair of words (None before the first) of class-conditional
+    Kneser-Ney models, from dictionaries of counts."""
+    n = [Counter(), Counter()]
+    for text, label in zip(texts, labels):
+        n[label].update({(v, w) for v, w in zip([None, *words(text)], words(text))})
+
+    def discounted(counts):
+        m = Counter(counts.values())
+        y = m[1] / (m[1] + 2 * m[2])
+        d = {j: min(max(j - (j + 1) * y * m[j + 1] / m[j], 0.05), j) for j in (1, 2, 3)}
+        return {k: x - d[min(x, 3)] for k, x in counts.items()}
+
+    pairs = set(n[0]) | set(n[1])
+    before = Counter(w for _, w in pairs)
+    c = [Counter(w for _, w in x) for x in n]
+    dc, dn = [discounted(x) for x in c], [discounted(x) for x in n]
+    less = [labels.count(k) / min(labels.count(0), labels.count(1)) for k in (0, 1)]
+    taken = lambda d, x: 1 - sum(sum(y.values()) for y in d) / sum(sum(y.values()) for y in x)
+    g = taken(dc, c)
+
+    def one(k, w):
+        shared = (before[w] + 0.5) / (len(pairs) + 0.5 * len(before) + 0.5)
+        return (1 - g) * dc[k].get(w, 0) / sum(dc[k].values()) + g * shared
+
+    of = lambda x, v: {p: y for p, y in x.items() if p[0] == v}
+    out = {}
+    for v in {v for v, _ in pairs}:
+        seen, left = [of(x, v) for x in n], [of(x, v) for x in dn]
+        g_v = max(taken(left, seen), 0.05)
+        for w in {w for u, w in pairs if u == v}:
+            alone = math.log(one(1, w) / one(0, w))
+            two = [(1 - g_v) * left[k].get((v, w), 0) / sum(left[k].values()) + g_v * one(k, w) if left[k] else one(k, w) for k in (0, 1)]
+            often = [sum(x[w] / s for x, s in zip(c, less)), sum(x[v, w] / s for x, s in zip(n, less))]
+            clip = lambda x, most: min(max(x, -most), most)
+            more = clip(math.log(two[1] / two[0]) - alone, 3) * often[1] / (often[1] + toxicity.PAIR_SIGHTS)
+            out[v, w] = clip(alone * often[0] / (often[0] + toxicity.WORD_SIGHTS), 3), clip(more, 0.5)
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.6, 30) % 200) + (" bad word" if i % 4 == 0 else " fair word") for i in range(400)]
+    labels = [int(i % 4 == 0) for i in range(400)]
+    docs = spark.createDataFrame(list(zip(range(400), texts, labels)), "doc_id long, text string, toxic int")
+    kept = sorted(r.doc_id for r in docs.where(~common.held_out(F.col("doc_id"))).collect())
+    want = brute_evidence([texts[i] for i in kept], [labels[i] for i in kept])
+    model = toxicity.learn(docs, docs)
+    for text in [texts[i] for i in kept]:
+        hashes, at = common.word_hashes(*common.text_bytes(pa.array([text])), common.IS_PUNCTUATION)
+        got = model.ratios(hashes, at)
+        parts = [want[p] for p in zip([None, *words(text)], words(text))]
+        assert len(got) == len(parts)
+        # both parts are kept in steps
+        assert all(abs(r - max(min(a + b, 3), -3)) <= 0.5 / 16 + 0.5 / 8 + 1e-5 for r, (a, b) in zip(got, parts))
+    assert max(a for a, _ in want.values()) > 1 and max(abs(b) for _, b in want.values()) > 0.1
+
+
+def test_discounts_are_estimated():
+    assert toxicity.discounts(10, 4, 2, 1) == pytest.approx([1 - 2 * (10 / 18) * 0.4, 2 - 3 * (10 / 18) * 0.5, 3 - 4 * (10 / 18) * 0.5])
+    assert toxicity.discounts(0, 0, 0, 0) == [0.5, 0.5, 0.5]
+
+
 def test_language(spark):
     docs = common.table(spark, SF, "documents")
     got = langid.detect_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
