@@ -15,20 +15,26 @@ records stay linked across documents while the values go.
     IPv4       four octets: the 32 bits are permuted
     SSN        ddd-dd-dddd outside reserved blocks: permuted among the valid ones
     dates      yyyy-mm-dd, and dd/mm/yyyy or mm/dd/yyyy where it is a date, from
-               1800 to 2199 (one Gregorian cycle): the day is permuted in the cycle
+               1800 to 2199 (one Gregorian cycle): the day is permuted in the cycle,
+               that of mm/dd/yyyy among the days that dd/mm/yyyy cannot mean
     e-mail     not a number: replaced by a keyed hash at example.invalid
 
 What does not validate stays as it is.  A text's matches are replaced one by one
 between its unmatched pieces; whole texts are processed and no row is shuffled.
+
+Who knows the key can undo the pseudonyms, so there is no default: callers pass
+one, jobs that of the setting ``KEY_SETTING``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "hostscope"
+KEY_SETTING = "spark.hostscope.pii.key"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
@@ -47,6 +53,15 @@ CARD_SPANS = [rf"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9A-Za-
 HINT = r"@|[0-9]{2}|[0-9][.)]"
 
 CYCLE_START, CYCLE_DAYS = "1800-01-01", 146_097  # 400 Gregorian years; 146,097 = 189 * 773
+LATE_DAYS, CYCLE_MONTHS = 88_497, 4_800  # of these after the 12th of a month: 88,497 = 9 * 9,833
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key of ``KEY_SETTING``; where it is unset, a random one for this session,
+    so that values stay linked within it and nobody can undo them."""
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
 
 
 def _round(key: str, kind: str, i: Column, half: Column) -> Column:
@@ -146,9 +161,24 @@ def _date(x: Column, key: str) -> Column:
         new = feistel(day, F.lit(189), F.lit(773), key, "date")
         return F.when((day >= 0) & (day < CYCLE_DAYS), F.date_format(F.date_add(first, new.cast("int")), fmt))
 
+    def moved_late() -> Column:
+        """A date that is only mm/dd/yyyy, as its day is after the 12th: permuted
+        among such days, so the result cannot be read as, or meet, a dd/mm/yyyy."""
+        date = F.try_to_timestamp(x, F.lit("MM/dd/yyyy")).cast("date")
+        day = F.datediff(date, first)
+        month = (F.year(date) - 1800) * 12 + F.month(date) - 1
+        # 12 days of this month and of every month before are left out
+        new = feistel(day - 12 * (month + 1), F.lit(9), F.lit(9_833), key, "late date")
+        start = lambda m: F.datediff(F.add_months(first, m), first)
+        guess = F.floor(new * CYCLE_MONTHS / LATE_DAYS).cast("int")
+        # months differ by 3 days: the right one is beside the guess
+        found = F.array_max(F.filter(F.sequence(guess - 2, guess + 2), lambda m: start(m) - 12 * m <= new))
+        return F.when((day >= 0) & (day < CYCLE_DAYS) & (F.dayofmonth(date) > 12), F.date_format(
+            F.date_add(first, (new + 12 * (found + 1)).cast("int")), "MM/dd/yyyy"))
+
     return F.coalesce(
         F.when(F.substr(x, F.lit(5), F.lit(1)) == "-", moved("yyyy-MM-dd"))
-        .otherwise(F.coalesce(moved("dd/MM/yyyy"), moved("MM/dd/yyyy"))), x)
+        .otherwise(F.coalesce(moved("dd/MM/yyyy"), moved_late())), x)
 
 
 def _email(x: Column, key: str) -> Column:
@@ -156,7 +186,7 @@ def _email(x: Column, key: str) -> Column:
                     F.lit("@example.invalid"))
 
 
-def pseudonym(value: Column, key: str = DEFAULT_KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one candidate; the candidate itself where it is not valid."""
     whole = lambda p: value.rlike(rf"\A(?:{p})\z")
     return (
@@ -187,15 +217,17 @@ def _replaced(text: Column, key: str) -> Column:
         F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda d: d)).alias("n"))
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
-    """``docs`` with the personal data of ``text_col`` replaced; ``count_col``, if
-    given, gets the number of values replaced.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """``docs`` with the personal data of ``text_col`` replaced under ``key``, which
+    must not be empty; ``count_col``, if given, gets the number of values replaced.
 
     Null texts stay null with count 0; a text without personal data is returned
     as it is; very long texts and very many values in one text are fine; repeated
     rows get equal results; other columns are kept (one called like ``count_col``
     is replaced).  An empty table gives an empty result.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col)
     some = text.rlike(HINT) & text.rlike(ANY)
     out = docs.withColumn("__pii", F.when(some, _replaced(text, key)))

@@ -362,7 +362,7 @@ def test_pseudonyms(spark):
     texts = ["card 4845168114407329, 4111 1111 1111 1111 and 4868701055796358", "+1 (183) 555-1276 and 212-555-1000", "10.0.0.1 999.1.1.1 v1.2.3",
              "2024-02-29 2023-02-30 31/12/1999", "123-45-6789 666-12-1234", "Mail a.b@c.example.com. Mail a.b@c.example.com!", None, "", "nothing"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n", F.lit("old"))
-    out = {r.doc_id: r for r in pii.pseudonymise(df, count_col="n").collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k", count_col="n").collect()}
     assert [out[i].n for i in range(9)] == [2, 2, 1, 2, 1, 2, 0, 0, 0]
     for i, (old, new) in enumerate((t, out[i].text) for i, t in enumerate(texts)):
         if i != 5 and old:
@@ -379,7 +379,7 @@ def test_pseudonyms_beside_other_numbers(spark):
              ("(555-123-4567)", "555-123-4567", 1), ("tel.555-123-4567", "555-123-4567", 1), ("(555) 123-4567", "555) 123-4567", 1),
              ("2024-02-29 4111111111111111", "4111111111111111", 2), ("4111111111111112 12", "\0", 0)]
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(df, count_col="n").collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k", count_col="n").collect()}
     for i, (text, value, n) in enumerate(cases):
         assert out[i].n == n and value not in out[i].text, text
         assert re.sub("[0-9]", "0", out[i].text) == re.sub("[0-9]", "0", text)
@@ -394,6 +394,30 @@ def test_feistel_is_a_permutation(spark):
     assert tuple(x.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first()) == (146_097, 0, 146_096)
 
 
+def test_dates_get_distinct_pseudonyms(spark):
+    days = spark.range(146_097).select(F.expr("date_add(date'1800-01-01', cast(id as int))").alias("d"))
+    late = days.where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("text"))
+    both = late.unionByName(days.where("day(d) <= 2").select(F.date_format("d", "dd/MM/yyyy").alias("text")))
+    got = both.withColumn("new", pii._date(F.col("text"), "k"))
+    n = both.count()
+    assert late.count() == pii.LATE_DAYS and got.select("new").distinct().count() == n
+    assert got.where("new = text").count() < n / 1000
+    assert got.where(F.col("text").rlike("^[0-9]{2}/(1[3-9]|[23])") != F.col("new").rlike("^[0-9]{2}/(1[3-9]|[23])")).count() == 0
+
+
+def test_key_is_required(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame([("x",)], "text string"), "")
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) >= 16
+    df = spark.createDataFrame([("4111 1111 1111 1111",)] * 2, "text string")
+    one, two = (pii.pseudonymise(df, k).distinct().collect() for k in ("a", "b"))
+    assert len(one) == len(two) == 1 and one != two
+    assert pii.pseudonymise(df.limit(0), "a").count() == 0
+    long = " ".join(["word"] * 50_000 + ["10.0.0.1"])
+    out = pii.pseudonymise(spark.createDataFrame([(long,)], "text string"), "a").first().text
+    assert out.startswith("word word") and not out.endswith(" 10.0.0.1") and out.count(".") == 3
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     rows, labels = [], []
