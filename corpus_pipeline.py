@@ -29,7 +29,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(docs, count_col="__replaced")
+    out = pii.pseudonymise(docs, pii.session_key(spark), count_col="__replaced")
     length = F.when(F.col("__replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", length).drop("__replaced")
 
