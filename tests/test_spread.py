@@ -53,3 +53,10 @@ def test_gains_do_not_depend_on_the_deal(spark, tmp_dir, monkeypatch):
     once = sorted(map(tuple, tree_split_gains(spark, sf).collect()))
     monkeypatch.setattr(DV, "spread", lambda df: spread(df, 400))
     assert sorted(map(tuple, tree_split_gains(spark, sf).collect())) == once and len(once) > 4
+
+
+def test_filters_run_after_the_deal(spark, tmp_dir):
+    lab = DV.spark_labelled(spark, _tables(tmp_dir, TASK_ROWS + 1))
+    plan = lab.where("label = 'phishing'")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Repartition", 1)
+    assert "md5(" in above and "md5(" not in below
