@@ -65,9 +65,9 @@ class Scratch:
         self.tables.append(stored(df, name))
         return self.tables[-1]
 
-    def joinable(self, df: DataFrame, name: str) -> DataFrame:
+    def joinable(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
         side = self.stored(df, name)
-        return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+        return F.broadcast(side) if side.count() <= (BROADCAST_ROWS if most is None else most) else side
 
     def clear(self) -> None:
         discard(*self.tables)

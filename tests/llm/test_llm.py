@@ -553,3 +553,27 @@ def test_pipeline_keeps_clean_documents_and_columns(spark):
     assert seen.where(F.col("text").rlike(r"@mail[0-9]")).count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, seen, SF)
     assert last.where("copies < 1 or copies > 3").count() == 0
+
+
+def test_toxicity_words_and_contexts_by_broadcast_or_shuffle(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(1, 12)) + (" vile scum" if i % 3 == 0 else " kind words")) for i in range(240)]
+    rows += [(None, "vile scum"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    sides = []
+    joinable = common.Scratch.joinable
+
+    def seen(self, df, name, *most):
+        out = joinable(self, df, name, *most)
+        sides.append((name, "broadcast" in out._jdf.queryExecution().logical().toString().lower()))
+        return out
+
+    monkeypatch.setattr(common.Scratch, "joinable", seen)
+    got = []
+    for most in (toxicity.JOIN_ROWS, 10):
+        monkeypatch.setattr(toxicity, "JOIN_ROWS", most)
+        sides.clear()
+        got.append(sorted(map(tuple, toxicity.score_documents(docs, labels).collect()), key=str))
+        assert {hinted for name, hinted in sides if name.endswith("of_pairs")} == {most > 10}
+    assert got[0] == got[1] and len({r[2] for r in got[0]}) > 2
+    assert toxicity.JOIN_ROWS < common.BROADCAST_ROWS
