@@ -60,3 +60,68 @@ def test_filters_run_after_the_deal(spark, tmp_dir):
     plan = lab.where("label = 'phishing'")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Repartition", 1)
     assert "md5(" in above and "md5(" not in below
+
+
+def test_splits_are_measured_by_one_walk_of_a_task(spark):
+    """Nulls go left, NaN goes right, a null label has no gradient; places are added up
+    in the tasks, so rows are not expanded by trees and levels."""
+    from hostscope.operators.boosting import BoostedTrees, Node, measured_splits
+
+    trees = BoostedTrees(["a", "b"], [
+        Node(0, 0, "a", 1.0, 0.0, 0.0, 0.0), Node(0, 1, None, None, 0.5, 0.0, 0.0), Node(0, 2, "b", 0.0, 0.0, 0.0, 0.0),
+        Node(0, 5, None, None, -0.25, 0.0, 0.0), Node(0, 6, None, None, 1.0, 0.0, 0.0),
+        Node(1, 0, None, None, 2.0, 0.0, 0.0), Node(2, 0, "b", -1.0, 0.0, 0.0, 0.0), Node(2, 1, None, None, 0.0, 0.0, 0.0),
+        Node(2, 2, None, None, 0.0, 0.0, 0.0)], 0.1)
+    given = [(None, 1.0, True), (float("nan"), 0.0, False), (2.0, None, True), (2.0, 5.0, None), (0.0, -3.0, False)] * 7
+    rows = spark.createDataFrame(given, "a double, b double, y boolean").repartition(3)
+    out = measured_splits(rows, trees, F.col("y"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    got = {(r.tree, r.node): (r.feature, r.n, r.gain) for r in out.collect()}
+
+    import math
+
+    above = lambda x, t: x is not None and (math.isnan(x) or x > t)
+    sums: dict = {}
+    for a, b, y in given:
+        margin = 0.0
+        for tree in range(3):
+            p = 1 / (1 + math.exp(-(0.1 + margin)))
+            g, h = (0.0 if y is None else p - y), p * (1 - p)
+
+            def visit(node, right):
+                s = sums.setdefault((tree, node), [0, 0.0, 0.0, 0.0, 0.0])
+                s[0], s[1 + 2 * right], s[2 + 2 * right] = s[0] + 1, s[1 + 2 * right] + g, s[2 + 2 * right] + h
+
+            if tree == 0:
+                visit(0, above(a, 1.0))
+                if above(a, 1.0):
+                    visit(2, above(b, 0.0))
+                    margin += 1.0 if above(b, 0.0) else -0.25
+                else:
+                    margin += 0.5
+            elif tree == 1:
+                margin += 2.0
+            else:
+                visit(0, above(b, -1.0))
+    assert set(got) == set(sums)
+    score = lambda g, h: g * g / (h + 1.0)
+    for key, (n, gl, hl, gr, hr) in sums.items():
+        assert got[key][1] == n and math.isclose(
+            got[key][2], score(gl, hl) + score(gr, hr) - score(gl + gr, hl + hr), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_brand_distance_equals_the_plain_one(spark):
+    """One step for a batch of texts and all brands, not a comparison for each."""
+    from hostscope.functions import lists
+    from hostscope.operators import features as FT
+
+    texts = [None, "", "a", "GOOGLE", "g00gle", "secure-paypal", "аpple", "\U0001d4b3google", "x" * 300, *lists.KNOWN_BRANDS]
+    texts += [b[1:] + "q" + b[:i] for b in lists.KNOWN_BRANDS for i in range(4)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for brands in (lists.KNOWN_BRANDS, lists.NOTEBOOK_BRANDS_2, ["é", "b" * 40, "c" * 64, "", "d" * 70]):
+        out = FT.min_brand_distance("t", brands)
+        both = df.select("t", F.least(*FT.brand_distances("t", brands)).alias("plain"), out.alias("got"))
+        assert both.where("NOT plain <=> got").collect() == []
+    plan = df.select(FT.min_brand_distance("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan
