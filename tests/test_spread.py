@@ -125,3 +125,22 @@ def test_brand_distance_equals_the_plain_one(spark):
         assert both.where("NOT plain <=> got").collect() == []
     plan = df.select(FT.min_brand_distance("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" not in plan
+
+
+def test_levels_of_the_fit_have_few_tasks(spark, monkeypatch):
+    """Each of a hundred short jobs would have a task for every part of the features."""
+    from hostscope.operators import model as M
+
+    seen = []
+
+    class Pipe:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+
+    monkeypatch.setattr(M, "build_pipeline", lambda s: Pipe())
+    few = 3 * spark.sparkContext.defaultParallelism
+    rows = spark.range(1_000).selectExpr("double(id) AS a", "'x' AS label")
+    for parts in (2, 5 * few):
+        M.fit(rows.repartition(parts), M.TreeSettings(features=["a"]))
+    assert seen == [(2, 1_000), (few, 1_000)]
+    assert M.fit_tasks(spark, 100 * few * M.FIT_ROWS) == 100 * few
