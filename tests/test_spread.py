@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from hostscope.operators import features as FT
 from hostscope.plans import derived as DV
 from hostscope.plans.tree_queries import tree_split_gains
 from hostscope.session import TASK_ROWS, spread
@@ -62,6 +63,20 @@ def test_filters_run_after_the_deal(spark, tmp_dir):
     assert "md5(" in above and "md5(" not in below
 
 
+def test_splits_read_only_the_features_that_split(spark):
+    """The cost of a feature no tree splits on, such as the entropy, is not paid."""
+    from hostscope.operators import boosting as B
+    from hostscope.plans import tree_queries as T
+
+    rows = FT.with_host_features(spark.createDataFrame(
+        [("login-amaz0n.example.com", "phishing"), ("a.b.org", "legitimate")], "domain string, label string"), "domain")
+    splits = B.measured_splits(rows, T.GIVEN, F.col("label") == "phishing")
+    plan = splits._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "log2" not in plan.lower() and "split(" in plan
+    shares = {r.feature: r.importance for r in B.average_gain(splits, T.GIVEN.features).collect()}
+    assert list(sorted(shares)) == sorted(T.GIVEN.features) and shares["entropy"] == 0 and abs(sum(shares.values()) - 1) < 1e-9
+
+
 def test_splits_are_measured_by_one_walk_of_a_task(spark):
     """Nulls go left, NaN goes right, a null label has no gradient; places are added up
     in the tasks, so rows are not expanded by trees and levels."""
