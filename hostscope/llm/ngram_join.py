@@ -11,10 +11,13 @@ Allocation.  Bands with few differences to allow (``H <= DELETION_H``) use
 one-deletion neighbourhood: two sets must agree on a segment up to one shingle,
 so one of them has a key of the other.  All other bands use ``m = H + 1 + spare``
 exact keys, and every set keeps only its ``H + 1`` cheapest ones, by the order
-(times a frequent key was seen, key).  The cheapest segment on which two sets
-agree has at most ``H`` cheaper keys in either set, so both keep it: leaving the
-dear keys out loses no pair.  The costs come from a bounded list of frequent
-keys; they only choose among valid allocations, never whether a pair is found.
+(empty segment, times a frequent key was seen, key).  The cheapest segment on which
+two sets agree has at most ``H`` cheaper keys in either set, so both keep it: leaving
+the dear keys out loses no pair.  An empty segment's key, which all sets of a band
+share that have nothing there, is told by its top bit; there are as many as segments
+of all bands, so they have no place in the list.  The costs come from a bounded list
+of frequent keys; they only choose among valid allocations, never whether a pair is
+found.
 
 Verification.  Equal sets become one class first (by their 64-bit set hash,
 which includes the size).  Every bucket of a key pairs its classes with the
@@ -65,6 +68,7 @@ INSIDE_SHINGLES = 1_000_000  # and their shingles
 CROSS, CROSS_SHINGLES = 2_000, 4_000_000  # the same for links that join components: fewer, larger blocks
 FLUSH = 4_000_000  # keys a task holds before it sends them on
 _U = np.uint64
+EMPTY = _U(1 << 63)  # set in the keys of empty segments that a set may leave out
 
 
 class Scheme:
@@ -101,15 +105,17 @@ class Scheme:
             np.add.at(sums, part, values)
             raw = np.concatenate([sums, sums[part] - values])
             part = np.concatenate([np.arange(m), part])
-            keep = len(raw)
+            keep, empty = len(raw), np.zeros(len(raw), bool)
         else:
             m = most + 1 + max(1, int(SPARE * most))
             part = (values % _U(m)).astype(np.int64)
             raw = np.zeros(m, _U)
             np.add.at(raw, part, C.mix64(values))
+            empty = np.bincount(part, minlength=m) == 0
             part = np.arange(m)
             keep = own + 1
-        return C.mix64(raw + salt + (part.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)), keep
+        keys = C.mix64(raw + salt + (part.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+        return np.where(empty, keys | EMPTY, keys & ~EMPTY), keep
 
     def all_keys(self, shingles: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         if self.differences(len(shingles)):  # else only equal sets link
@@ -179,10 +185,12 @@ def _describe(width: int, scheme: Scheme):
                 if label[i] not in seen:  # copies do not make a key dear
                     if len(seen) < 1_000_000:
                         seen.add(label[i])
-                    for k, _ in scheme.all_keys(s):
-                        keys.append(k)
-                        counts.append(np.ones(len(k), np.int64))
-                        held += len(k)
+                    for k, keep in scheme.all_keys(s):
+                        if keep < len(k):
+                            k = k[k < EMPTY]
+                            keys.append(k)
+                            counts.append(np.ones(len(k), np.int64))
+                            held += len(k)
             if held > FLUSH // 2:
                 k, n = _merge_counts(keys, counts)
                 keys, counts, held = [k], [n], len(k)
@@ -234,7 +242,7 @@ def _emit_keys(width: int, scheme: Scheme, frequent: np.ndarray, times: np.ndarr
                 seen.add(label)
                 for k, keep in scheme.all_keys(s):
                     if keep < len(k):
-                        k = k[np.lexsort((k, costs(k)))[:keep]]
+                        k = k[np.lexsort((k, costs(k), k >= EMPTY))[:keep]]
                     keys.append(k)
                     classes.append((label, len(k)))
                     held += len(k)

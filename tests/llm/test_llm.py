@@ -147,6 +147,24 @@ def test_scheme_keeps_every_linked_pair():
             assert len(a) == len(b) or kept[0] & kept[1]
 
 
+def test_keys_of_empty_segments_are_left_out():
+    """Unrelated texts meet in no bucket, though every one has segments without a shingle
+    and no list tells which keys are frequent; a near copy meets its original."""
+    scheme, rng = ngram_join.Scheme(80, 100), np.random.default_rng(7)
+    texts = [[f"w{x}" for x in rng.integers(0, 10**9, n)] for n in range(300, 460, 4)]
+    texts += [[*t[:-8], "other", "end"] for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [" ".join(t) for t in texts]})
+    label = [ngram_join._set_class(s) for _, s in ngram_join._shingle_sets(batch, 5)]
+    assert any((k >= ngram_join.EMPTY).any() for _, s in ngram_join._shingle_sets(batch, 5) for k, _ in scheme.all_keys(s))
+    none = np.zeros(0, np.int64)
+    met = {(r["a"], r["b"]) for out in ngram_join._emit_keys(5, scheme, none.view(np.uint64), none)([batch])
+           for r in out.to_pylist() if r["b"] is not None}
+    assert met == {(min(p), max(p)) for p in zip(label[:40], label[40:])}
+    # nor do they take places in the list of frequent keys
+    unrelated = batch.slice(0, 40)
+    assert not [r for out in ngram_join._describe(5, scheme)([unrelated]) for r in out.to_pylist() if r["kind"] == 1]
+
+
 def test_mix(spark):
     docs = common.table(spark, SF, "documents")
     plan = mixing.mix_plan(docs).toPandas()
